@@ -8,6 +8,7 @@ from idlecost.operators.attribution import (
     attributed_statements_region,
     customer_clusters,
     customer_workspaces,
+    fetch_top_accounts,
     non_serverless_clusters,
     top_accounts,
 )
@@ -43,6 +44,7 @@ __all__ = [
     "day_slices",
     "dbu_cost_always_on",
     "dbu_cost_on_demand",
+    "fetch_top_accounts",
     "grand_totals",
     "idle_sessions",
     "merge_sessions",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from idlecost.functions.money import from_micros, sum_micros
 from idlecost.sources.schemas import require_columns
+from idlecost.sources.tables import local_table
 
 
 class NoWorkspaceError(ValueError):
@@ -84,6 +85,20 @@ def top_accounts(
     return top.select("account_name", from_micros("_dbus").alias("total_dbus"))
 
 
+def fetch_top_accounts(top: DataFrame, top_x: int, check: bool = True) -> DataFrame:
+    """Run the top-k once and keep its rows as a local table.
+
+    The result has at most ``top_x`` rows (a parameter, not a data size), so
+    holding it on the driver is bounded; downstream joins then broadcast a
+    literal table instead of recomputing the billing aggregation for the guard
+    and again for the query.
+    """
+    rows = top.limit(top_x).collect()
+    if check and not rows:
+        raise NoWorkspaceError("no account has SQL usage in the selected sales region and dates")
+    return local_table(top.sparkSession, [tuple(r) for r in rows], top.schema)
+
+
 def account_workspaces(workspaces: DataFrame, accounts: DataFrame, check: bool = True) -> DataFrame:
     """(workspace_id, customer_name) of the given accounts, names compared case-insensitively.
 

@@ -63,7 +63,17 @@ def merge_sessions(
         .select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"))
         .withColumn("_bucket", floor_div(F.col("_s"), int(bucket_us)))
     )
-    w = Window.partitionBy(*bkey).orderBy("_s", "_e")
+    # Spell out the null checks the join below would infer for one side only,
+    # so both uses of ``rows`` stay identical (one shuffle, reused).
+    not_null = F.col("_bucket").isNotNull()
+    for k in part:
+        not_null = not_null & F.col(k).isNotNull()
+    rows = rows.filter(not_null)
+    # The extra columns only break ties; they also keep both uses of ``rows``
+    # (bucket summary, join back) identical below the shuffle, so Spark runs
+    # the statement branch and its shuffle once (ReusedExchange).
+    extras = [k for k in keys if k not in part]
+    w = Window.partitionBy(*bkey).orderBy("_s", "_e", *extras)
     rows = rows.withColumn("_prev_end", F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     local_open = F.col("_prev_end").isNull() | (F.col("_s") - gap > F.col("_prev_end"))
     rows = rows.withColumn(

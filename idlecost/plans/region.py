@@ -29,9 +29,14 @@ class RegionAnalysis:
         return op.top_accounts(self.inputs.billing, p.billing_start_date, p.billing_end_date, p.sales_region,
                                p.top_accounts, p.sku_substring)
 
+    @cached_property
+    def selected_accounts(self) -> DataFrame:
+        """The top accounts, computed once and held as a local table of at most ``top_accounts`` rows."""
+        return op.fetch_top_accounts(self.top_accounts, self.params.top_accounts, self.check)
+
     @cached_property
     def account_workspaces(self) -> DataFrame:
-        return op.account_workspaces(self.inputs.workspaces, self.top_accounts, self.check)
+        return op.account_workspaces(self.inputs.workspaces, self.selected_accounts, self.check)
 
     @property
     def statements(self) -> DataFrame:

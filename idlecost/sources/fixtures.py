@@ -26,8 +26,17 @@ AWS_WORKER = "i3.2xlarge"
 SQL_PRIORITIES = ["1-URGENT", "2-HIGH"]
 
 
+_READS: dict[tuple[int, str], DataFrame] = {}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Each driver table is opened once per session (schema discovery is a Spark job)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _READS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _READS[key] = spark.read.parquet(path)
+    return df
 
 
 def _pick(index: F.Column, values: list[str]) -> F.Column:
@@ -134,8 +143,16 @@ def workloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_INPUTS: dict[tuple[int, str], Inputs] = {}
+
+
 def load_fixture_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    return Inputs(
+    """The six logical inputs over ``sf_dir`` (built once per session: they are lazy plans)."""
+    key = (id(spark), sf_dir.rstrip("/"))
+    found = _INPUTS.get(key)
+    if found is not None and found.statements.sparkSession is spark:
+        return found
+    _INPUTS[key] = inputs = Inputs(
         statements=statements(spark, sf_dir),
         endpoints=endpoints(spark, sf_dir),
         cluster_events=cluster_events(spark, sf_dir),
@@ -143,3 +160,4 @@ def load_fixture_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
         workloads=workloads(spark, sf_dir),
         billing=billing(spark, sf_dir),
     )
+    return inputs

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from idlecost.sources.tables import local_table
+
 # ---------------------------------------------------------------------------
 # These must equal the original analysis for equal results.
 # ---------------------------------------------------------------------------
@@ -223,17 +225,17 @@ DEFAULTS_SCHEMA = T.StructType([
 
 
 def dbu_prices(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ON_DEMAND_DBU_USD, DBU_SCHEMA)
+    return local_table(spark, ON_DEMAND_DBU_USD, DBU_SCHEMA)
 
 
 def vm_prices(spark: SparkSession, book: str = "customer") -> DataFrame:
     """Long form of a VM book: (region, option, node_type, usd_per_hour)."""
-    return spark.createDataFrame(vm_price_rows(book), VM_LONG_SCHEMA)
+    return local_table(spark, vm_price_rows(book), VM_LONG_SCHEMA)
 
 
 def vm_prices_wide(spark: SparkSession, book: str = "customer") -> DataFrame:
-    return spark.createDataFrame(vm_price_wide_rows(book), VM_WIDE_SCHEMA)
+    return local_table(spark, vm_price_wide_rows(book), VM_WIDE_SCHEMA)
 
 
 def region_defaults(spark: SparkSession, book: str = "customer") -> DataFrame:
-    return spark.createDataFrame(region_default_rows(book), DEFAULTS_SCHEMA)
+    return local_table(spark, region_default_rows(book), DEFAULTS_SCHEMA)

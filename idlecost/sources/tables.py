@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from idlecost.sources.schemas import SCHEMAS, require_columns
 
@@ -43,3 +45,18 @@ def load_inputs(spark: SparkSession, locations: dict[str, str], fmt: str = "parq
     if missing:
         raise ValueError(f"no location for {missing}")
     return Inputs(**{n: read_table(spark, locations[n], fmt) for n in SCHEMAS}).validated()
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A small literal table as a ``LocalRelation``.
+
+    Built from pandas (Arrow), so the optimizer knows its exact size: joins
+    against it are planned as broadcasts from statistics, unlike an RDD-backed
+    ``createDataFrame(list)`` whose size is unknown.  Only for data whose size is
+    fixed by code or by a parameter (price book, a top-k list).
+    """
+    pdf = pd.DataFrame.from_records(rows, columns=schema.fieldNames())
+    for f in schema.fields:
+        if isinstance(f.dataType, T.StringType):
+            pdf[f.name] = pdf[f.name].astype(object)
+    return spark.createDataFrame(pdf, schema)
