@@ -59,6 +59,7 @@ def day_slices(
     start: str = "start_us",
     end: str = "end_us",
     date_col: str = "date",
+    extra: dict[str, F.Column] | None = None,
 ) -> DataFrame:
     """Cut each interval ``[start, end)`` at UTC midnights: one row per day it touches.
 
@@ -67,18 +68,22 @@ def day_slices(
     at midnight gets no empty piece on the next day; a zero-length interval
     keeps one zero-length slice.  Rows without bounds are dropped.  The row
     count grows by the number of days spanned, which the date range bounds.
+    ``extra``: more columns computed from the slice bounds (named ``start``/``end``).
     """
     first = day_number(F.col(start))
     last = day_number(F.greatest(F.col(start), F.col(end) - F.lit(1)))
     others = [c for c in df.columns if c not in (start, end, date_col)]
     exploded = df.select(*others, start, end, F.explode(F.sequence(first, last)).alias("_day"))
     day_begin = day_start_us("_day")
-    return exploded.select(
+    cut = exploded.select(
         *others,
         F.date_from_unix_date(F.col("_day").cast("int")).alias(date_col),
         F.greatest(F.col(start), day_begin).alias(start),
         F.least(F.col(end), day_begin + F.lit(MICROS_PER_DAY)).alias(end),
     )
+    if extra:
+        cut = cut.select("*", *[expr.alias(name) for name, expr in extra.items()])
+    return cut
 
 
 def with_date_of(df: DataFrame, us_col: str, date_col: str = "date") -> DataFrame:

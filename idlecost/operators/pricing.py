@@ -18,15 +18,15 @@ def dbu_cost_always_on(daily: DataFrame, cost_per_dbu: float) -> DataFrame:
     A missing worker count gives missing DBUs (and so a missing total).
     """
     dbus = (F.col("max_pricing_units") + F.col("max_workers") * F.lit(2)) * F.col("node_hours")
-    return daily.withColumn("dbus", dbus).withColumn("dbu_usd", F.col("dbus") * F.lit(float(cost_per_dbu)))
+    return daily.select("*", dbus.alias("dbus"), (dbus * F.lit(float(cost_per_dbu))).alias("dbu_usd"))
 
 
 def _discounted(price: Column, discount_pct: int) -> Column:
     return price * F.lit(100 - int(discount_pct)) / F.lit(100)
 
 
-def with_vm_rates(df: DataFrame, book: str = "customer", discount_pct: int = 0) -> DataFrame:
-    """Add ``vm_rate_on_demand`` and ``vm_rate_spot``: $/hour of the driver plus its workers.
+def _vm_rates(df: DataFrame, book: str, discount_pct: int, spot: bool) -> tuple[DataFrame, Column, Column | None]:
+    """Join the book onto ``df``; return it with the on-demand (and spot) $/hour expressions.
 
     Rules (per option): a region that is missing or not in the book is priced as
     ``us-east-1``; a driver type not in that region's book is replaced, together
@@ -59,10 +59,14 @@ def with_vm_rates(df: DataFrame, book: str = "customer", discount_pct: int = 0)
         worker = F.when(F.col(d).isNotNull(), F.coalesce(F.col(w), F.col(dw))).otherwise(F.col(dw))
         return _discounted(driver, discount_pct) + _discounted(worker, discount_pct) * workers
 
-    x = x.withColumn("vm_rate_on_demand", rate("_d_od", "_w_od", "_dd_od", "_dw_od"))
-    x = x.withColumn("vm_rate_spot", rate("_d_sp", "_w_sp", "_dd_sp", "_dw_sp"))
-    return x.drop("_region_eff", "_dr", "_dn", "_d_od", "_d_sp", "_wr", "_wn", "_w_od", "_w_sp",
-                  "_fr", "_dd_od", "_dd_sp", "_dw_od", "_dw_sp")
+    on_demand = rate("_d_od", "_w_od", "_dd_od", "_dw_od")
+    return x, on_demand, (rate("_d_sp", "_w_sp", "_dd_sp", "_dw_sp") if spot else None)
+
+
+def with_vm_rates(df: DataFrame, book: str = "customer", discount_pct: int = 0) -> DataFrame:
+    """Add ``vm_rate_on_demand`` and ``vm_rate_spot``: $/hour of the driver plus its workers."""
+    x, on_demand, spot = _vm_rates(df, book, discount_pct, spot=True)
+    return x.select(*df.columns, on_demand.alias("vm_rate_on_demand"), spot.alias("vm_rate_spot"))
 
 
 def vm_cost(daily_with_dbu: DataFrame, discount_pct: int) -> DataFrame:
@@ -71,20 +75,23 @@ def vm_cost(daily_with_dbu: DataFrame, discount_pct: int) -> DataFrame:
     A spot row has zero on-demand cost and vice versa (missing ``is_spot`` is
     on-demand); total = VM on-demand + VM spot + DBU dollars.
     """
-    x = with_vm_rates(daily_with_dbu, "customer", discount_pct)
+    x, on_demand, spot_rate = _vm_rates(daily_with_dbu, "customer", discount_pct, spot=True)
     spot = F.coalesce(F.col("is_spot"), F.lit(False))
-    x = x.withColumn("vm_on_demand_usd", F.when(spot, F.lit(0.0)).otherwise(F.col("vm_rate_on_demand")) * F.col("node_hours"))
-    x = x.withColumn("vm_spot_usd", F.when(spot, F.col("vm_rate_spot")).otherwise(F.lit(0.0)) * F.col("node_hours"))
-    x = x.withColumn("total_usd", F.col("vm_on_demand_usd") + F.col("vm_spot_usd") + F.col("dbu_usd"))
-    return x.drop("vm_rate_on_demand", "vm_rate_spot")
+    od_usd = F.when(spot, F.lit(0.0)).otherwise(on_demand) * F.col("node_hours")
+    sp_usd = F.when(spot, spot_rate).otherwise(F.lit(0.0)) * F.col("node_hours")
+    return x.select(
+        *daily_with_dbu.columns,
+        od_usd.alias("vm_on_demand_usd"),
+        sp_usd.alias("vm_spot_usd"),
+        (od_usd + sp_usd + F.col("dbu_usd")).alias("total_usd"),
+    )
 
 
 def vm_cost_region(daily_with_dbu: DataFrame, discount_pct: int) -> DataFrame:
     """Machine dollars at on-demand prices of the per-region book (C12); total = VM + DBU dollars."""
-    x = with_vm_rates(daily_with_dbu, "region", discount_pct)
-    x = x.withColumn("vm_usd", F.col("vm_rate_on_demand") * F.col("node_hours"))
-    x = x.withColumn("total_usd", F.col("vm_usd") + F.col("dbu_usd"))
-    return x.drop("vm_rate_on_demand", "vm_rate_spot")
+    x, on_demand, _ = _vm_rates(daily_with_dbu, "region", discount_pct, spot=False)
+    vm = on_demand * F.col("node_hours")
+    return x.select(*daily_with_dbu.columns, vm.alias("vm_usd"), (vm + F.col("dbu_usd")).alias("total_usd"))
 
 
 def dbu_cost_on_demand(usage: DataFrame, discount_pct: int, default_price: float) -> DataFrame:
@@ -96,4 +103,4 @@ def dbu_cost_on_demand(usage: DataFrame, discount_pct: int, default_price: float
         F.col("region").alias("_pr"), F.col("usd_per_dbu").alias("_p")))
     x = usage.join(prices, F.col("region") == F.col("_pr"), "left")
     price = _discounted(F.coalesce(F.col("_p"), F.lit(float(default_price))), discount_pct)
-    return x.withColumn("usd_per_dbu", price).withColumn("on_demand_usd", F.col("dbus") * F.col("usd_per_dbu")).drop("_pr", "_p")
+    return x.select(*usage.columns, price.alias("usd_per_dbu"), (F.col("dbus") * price).alias("on_demand_usd"))

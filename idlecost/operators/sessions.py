@@ -48,8 +48,9 @@ def merge_sessions(
     ``partition_by``: keys that scope a session (``['cluster_id']``, or ``[]``
     for one busy period over all rows).  ``group_by``: extra columns the output
     is split by (the reference splits a global session per cluster, endpoint,
-    workspace).  Returns ``partition_by + group_by`` columns and
-    ``start_us`` (earliest start), ``end_us`` (latest end), ``statements``.
+    workspace).  Returns ``partition_by + group_by`` columns, ``_session`` (the
+    start of the statement that opened the session), ``start_us`` (earliest
+    start), ``end_us`` (latest end) and ``statements``.
     """
     if gap_us < 0:
         raise ValueError("gap must be >= 0")
@@ -58,45 +59,42 @@ def merge_sessions(
     bkey = part + ["_bucket"]
     gap = F.lit(int(gap_us))
 
-    rows = (
-        df.filter(F.col(start).isNotNull() & F.col(end).isNotNull())
-        .select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"))
-        .withColumn("_bucket", floor_div(F.col("_s"), int(bucket_us)))
-    )
-    # Spell out the null checks the join below would infer for one side only,
-    # so both uses of ``rows`` stay identical (one shuffle, reused).
-    not_null = F.col("_bucket").isNotNull()
+    rows = df.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"),
+                     floor_div(F.col(start), int(bucket_us)).alias("_bucket"))
+    # Null checks spelled out, including the ones the join below would infer
+    # for one side only, so both uses of ``rows`` stay identical below the
+    # shuffle and Spark runs the statement branch and its shuffle once.
+    not_null = F.col("_s").isNotNull() & F.col("_e").isNotNull() & F.col("_bucket").isNotNull()
     for k in part:
         not_null = not_null & F.col(k).isNotNull()
     rows = rows.filter(not_null)
     # The extra columns only break ties; they also keep both uses of ``rows``
-    # (bucket summary, join back) identical below the shuffle, so Spark runs
-    # the statement branch and its shuffle once (ReusedExchange).
+    # (bucket summary, join back) identical below the shuffle.
     extras = [k for k in keys if k not in part]
     w = Window.partitionBy(*bkey).orderBy("_s", "_e", *extras)
-    rows = rows.withColumn("_prev_end", F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.select("*", F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev_end"))
     local_open = F.col("_prev_end").isNull() | (F.col("_s") - gap > F.col("_prev_end"))
-    rows = rows.withColumn(
-        "_lo", F.max(F.when(local_open, F.col("_s"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.select(
+        *keys, "_s", "_e", "_bucket",
+        F.max(F.when(local_open, F.col("_s"))).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_lo"),
     )
 
     # per-bucket summary and its prefix scan (small: one row per key and bucket)
     wb = (Window.partitionBy(*part) if part else Window).orderBy("_bucket")
     earlier = wb.rowsBetween(Window.unboundedPreceding, -1)
     buckets = rows.groupBy(*bkey).agg(F.max("_e").alias("_bmax"), F.max("_lo").alias("_blo"))
-    buckets = buckets.withColumn("_cin", F.max("_bmax").over(earlier))
+    buckets = buckets.select(*bkey, "_blo", F.max("_bmax").over(earlier).alias("_cin"))
     bucket_open = F.when(F.col("_cin").isNull() | (F.col("_blo") - gap > F.col("_cin")), F.col("_blo"))
-    buckets = buckets.withColumn("_bopen", bucket_open)
-    carry = buckets.withColumn("_copen", F.max("_bopen").over(earlier)).select(*bkey, "_cin", "_copen")
+    carry = buckets.select(*bkey, "_cin", F.max(bucket_open).over(earlier).alias("_copen"))
 
     joined = rows.join(carry, on=bkey, how="inner")
     opens_here = F.col("_cin").isNull() | (F.col("_lo") - gap > F.col("_cin"))
-    keyed = joined.withColumn(SESSION_KEY, F.when(opens_here, F.col("_lo")).otherwise(F.col("_copen")))
-    return keyed.groupBy(*keys, SESSION_KEY).agg(
+    session = F.when(opens_here, F.col("_lo")).otherwise(F.col("_copen"))
+    return joined.groupBy(*keys, session.alias(SESSION_KEY)).agg(
         F.min("_s").alias("start_us"),
         F.max("_e").alias("end_us"),
         F.count(F.lit(1)).alias("statements"),
-    ).drop(SESSION_KEY)
+    )
 
 
 def idle_sessions(
@@ -127,7 +125,7 @@ def idle_sessions(
         bucket_us=bucket_s * MICROS_PER_SECOND,
     )
     return s.select(
-        *[c for c in s.columns if c not in ("start_us", "end_us", "statements")],
+        *[c for c in s.columns if c not in ("start_us", "end_us", "statements", SESSION_KEY)],
         date_of_us("start_us").alias("date"),
         "start_us",
         "end_us",

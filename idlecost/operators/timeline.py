@@ -27,12 +27,13 @@ def timeline_segments(
     base = df.select(*keys, F.col(start).alias("start_us"), F.col(end).alias("end_us"))
     sl = day_slices(base)
     midnight = day_start_us(F.unix_date(F.col("date")))
-    sl = sl.select(
+    start_off = F.col("start_us") - midnight
+    end_off = F.col("end_us") - midnight
+    return sl.select(
         "date",
         *keys,
-        (F.col("start_us") - midnight).alias("start_offset_us"),
-        (F.col("end_us") - midnight).alias("end_offset_us"),
-    )
-    return sl.withColumn("start_display", time_of_day_display("start_offset_us")).withColumn(
-        "end_display", time_of_day_display("end_offset_us")
+        start_off.alias("start_offset_us"),
+        end_off.alias("end_offset_us"),
+        time_of_day_display(start_off).alias("start_display"),
+        time_of_day_display(end_off).alias("end_display"),
     )

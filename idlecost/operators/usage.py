@@ -59,8 +59,7 @@ def always_on_daily(spans: DataFrame, workloads: DataFrame, end_date: dt.date |
             F.bool_or("is_spot").alias("is_spot"),
         )
     )
-    cut = day_slices(daily)
-    return cut.withColumn("node_hours", hours_between("start_us", "end_us"))
+    return day_slices(daily, extra={"node_hours": hours_between("start_us", "end_us")})
 
 
 def always_on_daily_region(spans: DataFrame, workloads: DataFrame, end_date: dt.date | None = None) -> DataFrame:
@@ -102,4 +101,4 @@ def on_demand_usage(sessions: DataFrame, workloads: DataFrame, end_date: dt.date
     )
     seconds = ((floor_to_second("end_autostop_us") - floor_to_second("start_us")) / F.lit(MICROS_PER_SECOND)).cast("long")
     rate = (F.col("max_pricing_units") + F.col("max_workers") * F.lit(2)) / F.lit(3600)
-    return usage.withColumn("dbus", rate * seconds)
+    return usage.select("*", (rate * seconds).alias("dbus"))
