@@ -41,7 +41,7 @@ def merge_sessions(
     group_by: list[str],
     start: str = "start_us",
     end: str = "end_us",
-    bucket_us: int = 900 * MICROS_PER_SECOND,
+    bucket_us: int = 60 * MICROS_PER_SECOND,
 ) -> DataFrame:
     """Sessions of ``df``'s intervals.
 
@@ -102,7 +102,7 @@ def idle_sessions(
     auto_stop_s: int,
     scope: str = "cluster",
     group_by: list[str] | None = None,
-    bucket_s: int = 900,
+    bucket_s: int = 60,
 ) -> DataFrame:
     """Busy sessions of attributed statements under an auto-stop time-out.
 
