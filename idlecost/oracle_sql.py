@@ -380,6 +380,13 @@ def _with_ctes(body: str, ctes: dict[str, str]) -> str:
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
+def _check_view(body: str) -> str:
+    """Nullable worker counts as double, as in the Spark check views."""
+    if "max_workers" not in body:
+        return body
+    return f"SELECT * REPLACE (CAST(max_workers AS DOUBLE) AS max_workers) FROM ({body}) AS q"
+
+
 def oracle_sql() -> dict[str, str]:
     ctes = _ctes()
-    return {k: _with_ctes(v, ctes) for k, v in _queries().items()}
+    return {k: _with_ctes(_check_view(v), ctes) for k, v in _queries().items()}
