@@ -12,8 +12,14 @@ from pyspark.sql import functions as F
 from idlecost.functions.money import from_micros, sum_micros, sum_usd, to_micros
 
 
-def _sorted(df: DataFrame, by: str, sort: bool) -> DataFrame:
-    return df.orderBy(F.col(by).asc_nulls_first()) if sort else df
+def _sorted(df: DataFrame, by: str, sort: bool, max_rows: int | None = None) -> DataFrame:
+    """Sort a report.  With a known bound on its rows (a top-k), sort inside one
+    partition; otherwise a range-partitioned global sort."""
+    if not sort:
+        return df
+    if max_rows is not None:
+        return df.coalesce(1).sortWithinPartitions(F.col(by).asc_nulls_first())
+    return df.orderBy(F.col(by).asc_nulls_first())
 
 
 def always_on_by_endpoint(costs: DataFrame, sort: bool = True) -> DataFrame:
@@ -33,20 +39,23 @@ def on_demand_by_endpoint(costs: DataFrame, sort: bool = True) -> DataFrame:
     return _sorted(out, "on_demand_usd", sort)
 
 
-def always_on_by_customer(costs: DataFrame, sort: bool = True) -> DataFrame:
-    """Always-on dollars per customer: total, DBU, VM."""
+def always_on_by_customer(costs: DataFrame, sort: bool = True, max_customers: int | None = None) -> DataFrame:
+    """Always-on dollars per customer: total, DBU, VM.
+
+    ``max_customers``: a bound on the customers (the top-k parameter), which
+    allows a single-partition sort."""
     out = costs.groupBy("customer_name").agg(
         sum_usd("total_usd").alias("always_on_usd"),
         sum_usd("dbu_usd").alias("dbu_usd"),
         sum_usd("vm_usd").alias("vm_usd"),
     )
-    return _sorted(out, "always_on_usd", sort)
+    return _sorted(out, "always_on_usd", sort, max_customers)
 
 
-def on_demand_by_customer(costs: DataFrame, sort: bool = True) -> DataFrame:
+def on_demand_by_customer(costs: DataFrame, sort: bool = True, max_customers: int | None = None) -> DataFrame:
     """On-demand dollars per customer."""
     out = costs.groupBy("customer_name").agg(sum_usd("on_demand_usd").alias("on_demand_usd"))
-    return _sorted(out, "on_demand_usd", sort)
+    return _sorted(out, "on_demand_usd", sort, max_customers)
 
 
 def grand_totals(always_on_costs: DataFrame, on_demand_costs: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def merge_sessions(
 
     ``partition_by``: keys that scope a session (``['cluster_id']``, or ``[]``
     for one busy period over all rows).  ``group_by``: extra columns the output
-    is split by (the reference splits a global session per cluster, endpoint,
+    is split by (the original analysis splits a global session per cluster, endpoint,
     workspace).  Returns ``partition_by + group_by`` columns, ``_session`` (the
     start of the statement that opened the session), ``start_us`` (earliest
     start), ``end_us`` (latest end) and ``statements``.

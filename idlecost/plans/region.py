@@ -73,11 +73,18 @@ class RegionAnalysis:
         usage = op.on_demand_usage(self.sessions, self.inputs.workloads, p.end_date)
         return op.dbu_cost_on_demand(usage, p.on_demand_discount_pct, p.default_on_demand_price)
 
+    @property
+    def _max_customers(self) -> int:
+        # customer rows are the distinct names of the workspaces of at most
+        # ``top_accounts`` accounts (one canonical name per account): a report
+        # this small is sorted in one partition
+        return self.params.top_accounts
+
     def always_on_by_customer(self, sort: bool = True) -> DataFrame:
-        return op.always_on_by_customer(self.always_on_costs, sort)
+        return op.always_on_by_customer(self.always_on_costs, sort, self._max_customers)
 
     def on_demand_by_customer(self, sort: bool = True) -> DataFrame:
-        return op.on_demand_by_customer(self.on_demand_costs, sort)
+        return op.on_demand_by_customer(self.on_demand_costs, sort, self._max_customers)
 
     def cost_comparison(self) -> DataFrame:
         return op.cost_comparison(self.on_demand_by_customer(sort=False), self.always_on_by_customer(sort=False))
