@@ -85,18 +85,27 @@ def top_accounts(
     return top.select("account_name", from_micros("_dbus").alias("total_dbus"))
 
 
-def fetch_top_accounts(top: DataFrame, top_x: int, check: bool = True) -> DataFrame:
+def fetch_top_accounts(top: DataFrame, top_x: int, check: bool = True,
+                       workspaces: DataFrame | None = None) -> DataFrame:
     """Run the top-k once and keep its rows as a local table.
 
     The result has at most ``top_x`` rows (a parameter, not a data size), so
     holding it on the driver is bounded; downstream joins then broadcast a
     literal table instead of recomputing the billing aggregation for the guard
-    and again for the query.
+    and again for the query.  With ``workspaces`` the same job also tells which
+    accounts own a workspace, and the guard raises when none does.
     """
-    rows = top.limit(top_x).collect()
+    q = top.limit(top_x)
+    if workspaces is not None:
+        names = workspaces.select(F.lower(F.col("customer_name")).alias("_name")).distinct()
+        q = q.join(names, F.lower(q["account_name"]) == names["_name"], "left").select(
+            "account_name", "total_dbus", F.col("_name").isNotNull().alias("_owned"))
+    rows = q.collect()
     if check and not rows:
         raise NoWorkspaceError("no account has SQL usage in the selected sales region and dates")
-    return local_table(top.sparkSession, [tuple(r) for r in rows], top.schema)
+    if check and workspaces is not None and not any(r["_owned"] for r in rows):
+        raise NoWorkspaceError("no workspace belongs to the selected accounts")
+    return local_table(top.sparkSession, [(r["account_name"], r["total_dbus"]) for r in rows], top.schema)
 
 
 def account_workspaces(workspaces: DataFrame, accounts: DataFrame, check: bool = True) -> DataFrame:

@@ -32,11 +32,12 @@ class RegionAnalysis:
     @cached_property
     def selected_accounts(self) -> DataFrame:
         """The top accounts, computed once and held as a local table of at most ``top_accounts`` rows."""
-        return op.fetch_top_accounts(self.top_accounts, self.params.top_accounts, self.check)
+        return op.fetch_top_accounts(self.top_accounts, self.params.top_accounts, self.check, self.inputs.workspaces)
 
     @cached_property
     def account_workspaces(self) -> DataFrame:
-        return op.account_workspaces(self.inputs.workspaces, self.selected_accounts, self.check)
+        # the guard already ran with the top-k job (``selected_accounts``)
+        return op.account_workspaces(self.inputs.workspaces, self.selected_accounts, check=False)
 
     @property
     def statements(self) -> DataFrame:

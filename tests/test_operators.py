@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helpers import T0, US, intervals_df
@@ -194,3 +195,15 @@ def test_top_accounts_tie_break_and_region_case(spark):
     assert [x.account_name for x in r] == ["a"]
     with pytest.raises(op.NoWorkspaceError):
         op.fetch_top_accounts(op.top_accounts(billing, dt.date(2021, 1, 1), dt.date(2021, 1, 1), "EM", 3), 3)
+
+
+def test_top_accounts_without_workspace_raise(spark):
+    billing = spark.createDataFrame([(dt.date(2020, 1, 1), "acme", "EMEA", "sql", 5.0)],
+                                    "date date, account_name string, sales_region string, sku string, dbus double")
+    top = op.top_accounts(billing, dt.date(2020, 1, 1), dt.date(2020, 1, 1), "EM", 3)
+    owned = spark.createDataFrame([(1, "ACME")], "workspace_id long, customer_name string")
+    other = spark.createDataFrame([(1, "Globex")], "workspace_id long, customer_name string")
+    acc = op.fetch_top_accounts(top, 3, workspaces=owned)
+    assert [r.account_name for r in op.account_workspaces(owned, acc).join(acc, F.lower("customer_name") == acc.account_name).collect()] == ["acme"]
+    with pytest.raises(op.NoWorkspaceError):
+        op.fetch_top_accounts(top, 3, workspaces=other)
