@@ -133,16 +133,3 @@ def idle_sessions(
         "statements",
     )
 
-
-def idle_sessions_plain(statements: DataFrame, gap_us: int, partition_by: list[str], group_by: list[str]) -> DataFrame:
-    """The textbook window form (running max, flag, running sum), for tests only:
-    it sorts each partition key on one task, which does not scale under skew."""
-    part = list(partition_by)
-    keys = part + [g for g in group_by if g not in part]
-    w = (Window.partitionBy(*part) if part else Window).orderBy("start_us", "end_us")
-    df = statements.withColumn("_prev", F.max("end_us").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    flag = F.when(F.col("_prev").isNull() | (F.col("start_us") - F.lit(gap_us) > F.col("_prev")), 1).otherwise(0)
-    df = df.withColumn("_sid", F.sum(flag).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return df.groupBy(*keys, "_sid").agg(
-        F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count(F.lit(1)).alias("statements")
-    ).drop("_sid")

@@ -54,3 +54,24 @@ def test_session_shuffle_is_shared(spark):
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in final
+
+
+def test_statement_shuffle_splits_a_cluster_over_time_buckets(spark):
+    """A hot cluster is spread over its time buckets: the statement shuffle is keyed by
+    (cluster, bucket); only the small per-bucket summary is keyed by cluster alone."""
+    from pyspark.sql import functions as F
+
+    from helpers import intervals_df
+    from idlecost.operators.sessions import idle_sessions
+
+    hot = intervals_df(spark, [(7, i * 37, i * 37 + 5) for i in range(2000)])  # one cluster, ~20 hours
+    df = idle_sessions(hot, 10, group_by=["cluster_id"], bucket_s=60)
+    plan = _plan(df)
+    assert "Exchange hashpartitioning(cluster_id#" in plan
+    statement_exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning(cluster_id" in line]
+    assert any("_bucket" in line for line in statement_exchanges)
+    # the rows of the single cluster land in several shuffle partitions
+    rows = hot.select("cluster_id", F.floor(F.col("start_us") / 60_000_000).alias("_bucket"))
+    parts = rows.repartition(8, "cluster_id", "_bucket").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts > 1
+    assert df.count() == 2000  # gaps of 32 s > 10 s: every statement is its own session

@@ -3,9 +3,8 @@
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from helpers import US, intervals_df
+from helpers import US, idle_sessions_plain, intervals_df
 from idlecost import operators as op
-from idlecost.operators.sessions import idle_sessions_plain
 
 SETTINGS = settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
 
