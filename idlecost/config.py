@@ -44,6 +44,9 @@ class TcoParams:
     # cluster's statements of one bucket (rate x width rows), the per-key prefix
     # scan holds range / width rows.  Results do not depend on it.
     session_bucket_s: int = 60
+    # A per-analysis cluster map is broadcast into the statement join only when
+    # a bounded count finds at most this many rows.
+    broadcast_max_rows: int = 1_000_000
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "start_date", _date(self.start_date))

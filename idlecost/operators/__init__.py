@@ -2,6 +2,7 @@
 
 from idlecost.operators.attribution import (
     NoWorkspaceError,
+    account_clusters,
     account_workspaces,
     active_span,
     attributed_statements,
@@ -13,6 +14,7 @@ from idlecost.operators.attribution import (
     top_accounts,
 )
 from idlecost.operators.intervals import day_slices, statement_intervals
+from idlecost.operators.joins import count_at_most, maybe_broadcast
 from idlecost.operators.pricing import dbu_cost_always_on, dbu_cost_on_demand, vm_cost, vm_cost_region, with_vm_rates
 from idlecost.operators.reports import (
     always_on_by_customer,
@@ -29,6 +31,9 @@ from idlecost.operators.usage import always_on_daily, always_on_daily_region, on
 
 __all__ = [
     "NoWorkspaceError",
+    "account_clusters",
+    "count_at_most",
+    "maybe_broadcast",
     "account_workspaces",
     "active_span",
     "always_on_by_customer",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from idlecost.functions.money import from_micros, sum_micros
+from idlecost.operators.joins import maybe_broadcast
 from idlecost.sources.schemas import require_columns
 from idlecost.sources.tables import local_table
 
@@ -122,31 +123,43 @@ def account_workspaces(workspaces: DataFrame, accounts: DataFrame, check: bool =
     return ws
 
 
-def attributed_statements(intervals: DataFrame, clusters: DataFrame, kept_clusters: DataFrame | None) -> DataFrame:
+def attributed_statements(intervals: DataFrame, clusters: DataFrame, kept_clusters: DataFrame | None,
+                          broadcast_clusters: bool = False) -> DataFrame:
     """Single-customer statements with their endpoint.
 
     ``clusters``: (cluster_id, endpoint_id) of the customer; ``kept_clusters``:
     cluster ids that are not serverless.  The keep-list is an existence test
     (left-semi join), so a cluster created several times does not repeat its
-    statements.  The statement keeps its own workspace id.
+    statements; the (large) lifecycle log is first cut to the customer's
+    clusters.  The statement keeps its own workspace id.  ``broadcast_clusters``
+    (the caller has counted the customer's clusters) broadcasts the cluster
+    list into the statement join, so the statements are not shuffled.
     """
     c = clusters.select("cluster_id", "endpoint_id").distinct()
     if kept_clusters is not None:
-        c = c.join(kept_clusters.select("cluster_id"), "cluster_id", "left_semi")
-    return intervals.join(c, "cluster_id").select(
+        ids = maybe_broadcast(c.select("cluster_id"), broadcast_clusters)
+        kept = kept_clusters.select("cluster_id").join(ids, "cluster_id", "left_semi")
+        c = c.join(maybe_broadcast(kept, broadcast_clusters), "cluster_id", "left_semi")
+    return intervals.join(maybe_broadcast(c, broadcast_clusters), "cluster_id").select(
         "statement_id", "cluster_id", "workspace_id", "endpoint_id", "start_us", "end_us", "duration_s", "fetch_s"
     )
 
 
-def attributed_statements_region(intervals: DataFrame, endpoints: DataFrame, accounts_ws: DataFrame) -> DataFrame:
+def account_clusters(endpoints: DataFrame, accounts_ws: DataFrame) -> DataFrame:
+    """(cluster_id, workspace_id, endpoint_id, customer_name) of the selected accounts' warehouses."""
+    return endpoints.select("cluster_id", "workspace_id", "endpoint_id").join(
+        accounts_ws.select("workspace_id", "customer_name"), "workspace_id")
+
+
+def attributed_statements_region(intervals: DataFrame, clusters: DataFrame, broadcast_clusters: bool = False) -> DataFrame:
     """Statements of the selected accounts with endpoint and customer name (C6, region entry).
 
-    Mapping joined on cluster and workspace, then the account workspaces.
+    ``clusters`` is ``account_clusters(...)``: the mapping of the selected
+    accounts, joined on cluster and workspace.
     """
-    e = endpoints.select("cluster_id", "workspace_id", "endpoint_id")
+    m = clusters.select("cluster_id", "workspace_id", "endpoint_id", "customer_name")
     return (
-        intervals.join(e, ["cluster_id", "workspace_id"])
-        .join(accounts_ws.select("workspace_id", "customer_name"), "workspace_id")
+        intervals.join(maybe_broadcast(m, broadcast_clusters), ["cluster_id", "workspace_id"])
         .select("statement_id", "cluster_id", "workspace_id", "endpoint_id", "customer_name",
                 "start_us", "end_us", "duration_s", "fetch_s")
     )

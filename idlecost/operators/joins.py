@@ -1,0 +1,23 @@
+"""Broadcast only behind a size check.
+
+Where the statement log meets a per-analysis mapping (one customer's clusters,
+the selected accounts' clusters), the mapping is usually tiny but its size is
+unknown to the planner: its estimate is that of the whole mapping table, and a
+sort-merge join would shuffle every statement.  ``count_at_most`` measures the
+real size with one bounded job (it stops counting past the cap); the caller
+broadcasts below the cap and leaves the join to Spark above it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def count_at_most(df: DataFrame, cap: int) -> int:
+    """Row count of ``df``, or ``cap + 1`` if it has more than ``cap`` rows."""
+    return df.limit(cap + 1).count()
+
+
+def maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df

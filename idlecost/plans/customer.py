@@ -38,15 +38,26 @@ class CustomerAnalysis:
 
     @cached_property
     def customer_clusters(self) -> DataFrame:
-        return op.customer_clusters(self.inputs.workspaces, self.inputs.endpoints, self.params.customer_name,
-                                    self.check)
+        """The customer's (workspace, cluster, endpoint) rows.
+
+        One bounded counting job sizes them (it decides the broadcast below) and
+        doubles as the guard: with no row, an unknown customer name raises.
+        """
+        p = self.params
+        cc = op.customer_clusters(self.inputs.workspaces, self.inputs.endpoints, p.customer_name, check=False)
+        n = op.count_at_most(cc, p.broadcast_max_rows)
+        if n == 0 and self.check:
+            op.customer_workspaces(self.inputs.workspaces, p.customer_name, check=True)
+        self._clusters_small = n <= p.broadcast_max_rows
+        return cc
 
     @property
     def statements(self) -> DataFrame:
         """Attributed statements (the shared input of both cost branches)."""
         if self._statements is None:
-            self._statements = op.attributed_statements(self.intervals, self.customer_clusters,
-                                                        self.non_serverless_clusters)
+            clusters = self.customer_clusters
+            self._statements = op.attributed_statements(self.intervals, clusters, self.non_serverless_clusters,
+                                                        broadcast_clusters=self._clusters_small)
         return self._statements
 
     def use_statements(self, df: DataFrame) -> None:

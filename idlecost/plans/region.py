@@ -39,11 +39,19 @@ class RegionAnalysis:
         # the guard already ran with the top-k job (``selected_accounts``)
         return op.account_workspaces(self.inputs.workspaces, self.selected_accounts, check=False)
 
+    @cached_property
+    def account_clusters(self) -> DataFrame:
+        """Mapping rows of the selected accounts, sized by one bounded counting job."""
+        m = op.account_clusters(self.inputs.endpoints, self.account_workspaces)
+        self._clusters_small = op.count_at_most(m, self.params.broadcast_max_rows) <= self.params.broadcast_max_rows
+        return m
+
     @property
     def statements(self) -> DataFrame:
         if self._statements is None:
-            self._statements = op.attributed_statements_region(self.intervals, self.inputs.endpoints,
-                                                               self.account_workspaces)
+            clusters = self.account_clusters
+            self._statements = op.attributed_statements_region(self.intervals, clusters,
+                                                               broadcast_clusters=self._clusters_small)
         return self._statements
 
     def use_statements(self, df: DataFrame) -> None:

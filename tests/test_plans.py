@@ -75,3 +75,39 @@ def test_statement_shuffle_splits_a_cluster_over_time_buckets(spark):
     parts = rows.repartition(8, "cluster_id", "_bucket").select(F.spark_partition_id().alias("p")).distinct().count()
     assert parts > 1
     assert df.count() == 2000  # gaps of 32 s > 10 s: every statement is its own session
+
+
+def _ancestors(plan: str, needle: str) -> list[str]:
+    """Operators on the path from the root to the first line containing ``needle``."""
+    lines = plan.split("\n")
+    idx = next(i for i, line in enumerate(lines) if needle in line)
+
+    def depth(line: str) -> int:
+        return len(line) - len(line.lstrip(" :+-"))
+
+    path, d = [], depth(lines[idx])
+    for line in reversed(lines[:idx]):
+        if depth(line) < d:
+            path.append(line.strip(" :+-"))
+            d = depth(line)
+    return path
+
+
+@pytest.mark.parametrize("key", ["attributed_statements", "attributed_statements_region"])
+def test_statements_reach_attribution_without_a_shuffle(spark, key):
+    """The per-analysis cluster map was counted and broadcast: no shuffle above the statement scan."""
+    plan = _plan(se.queries()[key](spark, SF_SMALL))
+    path = _ancestors(plan, "value:double,props:string>")  # the statement scan (fetch time is in props)
+    assert not [op for op in path if op.startswith("Exchange")], path
+    assert any(op.startswith("BroadcastHashJoin") for op in path)
+
+
+def test_unknown_customer_raises_in_analysis(spark):
+    from idlecost.operators import NoWorkspaceError
+    from idlecost.oracle_sql import CUSTOMER_PARAMS
+    from idlecost.plans import CustomerAnalysis
+    from idlecost.sources.fixtures import load_fixture_inputs
+
+    a = CustomerAnalysis(load_fixture_inputs(spark, SF_SMALL), CUSTOMER_PARAMS.with_(customer_name="nobody"))
+    with pytest.raises(NoWorkspaceError):
+        a.statements
