@@ -137,7 +137,8 @@ def attributed_statements(intervals: DataFrame, clusters: DataFrame, kept_cluste
     """
     c = clusters.select("cluster_id", "endpoint_id").distinct()
     if kept_clusters is not None:
-        ids = maybe_broadcast(c.select("cluster_id"), broadcast_clusters)
+        # same subtree as the caller's workload filter, so the broadcast is built once
+        ids = maybe_broadcast(clusters.select("cluster_id"), broadcast_clusters)
         kept = kept_clusters.select("cluster_id").join(ids, "cluster_id", "left_semi")
         c = c.join(maybe_broadcast(kept, broadcast_clusters), "cluster_id", "left_semi")
     return intervals.join(maybe_broadcast(c, broadcast_clusters), "cluster_id").select(

@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from idlecost import operators as op
 from idlecost.config import TcoParams
@@ -64,6 +65,16 @@ class CustomerAnalysis:
         """Replace the attributed statements by a materialised copy of them."""
         self._statements = df
 
+    @cached_property
+    def workloads(self) -> DataFrame:
+        """Workload rows of the customer's clusters: a broadcast left-semi join (a filter in
+        the scan stage, no shuffle) when the counted cluster map is small."""
+        clusters = self.customer_clusters
+        if not self._clusters_small:
+            return self.inputs.workloads
+        ids = F.broadcast(clusters.select("cluster_id"))
+        return self.inputs.workloads.join(ids, "cluster_id", "left_semi")
+
     # -- always-on -----------------------------------------------------------
     @cached_property
     def active_span(self) -> DataFrame:
@@ -71,7 +82,7 @@ class CustomerAnalysis:
 
     @cached_property
     def always_on_daily(self) -> DataFrame:
-        return op.always_on_daily(self.active_span, self.inputs.workloads, self.params.end_date)
+        return op.always_on_daily(self.active_span, self.workloads, self.params.end_date)
 
     @cached_property
     def always_on_dbu(self) -> DataFrame:
@@ -89,7 +100,7 @@ class CustomerAnalysis:
 
     @cached_property
     def on_demand_usage(self) -> DataFrame:
-        return op.on_demand_usage(self.sessions, self.inputs.workloads, self.params.end_date)
+        return op.on_demand_usage(self.sessions, self.workloads, self.params.end_date)
 
     @cached_property
     def on_demand_costs(self) -> DataFrame:

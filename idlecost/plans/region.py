@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from idlecost import operators as op
 from idlecost.config import TcoParams
@@ -46,6 +47,15 @@ class RegionAnalysis:
         self._clusters_small = op.count_at_most(m, self.params.broadcast_max_rows) <= self.params.broadcast_max_rows
         return m
 
+    @cached_property
+    def workloads(self) -> DataFrame:
+        """Workload rows of the selected accounts' clusters (broadcast left-semi join when the
+        counted cluster map is small)."""
+        clusters = self.account_clusters
+        if not self._clusters_small:
+            return self.inputs.workloads
+        return self.inputs.workloads.join(F.broadcast(clusters.select("cluster_id")), "cluster_id", "left_semi")
+
     @property
     def statements(self) -> DataFrame:
         if self._statements is None:
@@ -63,7 +73,7 @@ class RegionAnalysis:
 
     @cached_property
     def always_on_daily(self) -> DataFrame:
-        return op.always_on_daily_region(self.active_span, self.inputs.workloads, self.params.end_date)
+        return op.always_on_daily_region(self.active_span, self.workloads, self.params.end_date)
 
     @cached_property
     def always_on_costs(self) -> DataFrame:
@@ -79,7 +89,7 @@ class RegionAnalysis:
     @cached_property
     def on_demand_costs(self) -> DataFrame:
         p = self.params
-        usage = op.on_demand_usage(self.sessions, self.inputs.workloads, p.end_date)
+        usage = op.on_demand_usage(self.sessions, self.workloads, p.end_date)
         return op.dbu_cost_on_demand(usage, p.on_demand_discount_pct, p.default_on_demand_price)
 
     @property
