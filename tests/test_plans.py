@@ -111,3 +111,19 @@ def test_unknown_customer_raises_in_analysis(spark):
     a = CustomerAnalysis(load_fixture_inputs(spark, SF_SMALL), CUSTOMER_PARAMS.with_(customer_name="nobody"))
     with pytest.raises(NoWorkspaceError):
         a.statements
+
+
+@pytest.mark.parametrize("key,scan", [
+    ("always_on_daily", "user_id:bigint,value:double>"),                 # workloads scan with node hours
+    ("vm_cost_region", "user_id:bigint,value:double>"),
+    ("on_demand_usage", "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint>"),
+])
+def test_workloads_cut_to_analysed_clusters_before_any_shuffle(spark, key, scan):
+    plan = _plan(se.queries()[key](spark, SF_SMALL))
+    path = _ancestors(plan, scan)
+    before_shuffle = []
+    for op in path:
+        if op.startswith("Exchange") or op.startswith("BroadcastExchange"):
+            break
+        before_shuffle.append(op)
+    assert any(op.startswith("BroadcastHashJoin") and "LeftSemi" in op for op in before_shuffle), path
