@@ -92,6 +92,17 @@ class CustomerAnalysis:
     def always_on_costs(self) -> DataFrame:
         return op.vm_cost(self.always_on_dbu, self.params.vm_discount_pct)
 
+    @cached_property
+    def _always_on_costs_shared(self) -> DataFrame:
+        """The same rows as ``always_on_costs``, with each warehouse's span taken over its
+        sessions (sessions partition its statements, so min start and max end agree).
+        Reports that need both cost branches then read the statement log once."""
+        keys = [c for c in ("cluster_id", "endpoint_id", "workspace_id") if c in self.statements.columns]
+        spans = op.active_span(self.sessions.select(*keys, "start_us", "end_us"), keys)
+        p = self.params
+        daily = op.always_on_daily(spans, self.workloads, p.end_date)
+        return op.vm_cost(op.dbu_cost_always_on(daily, p.cost_per_dbu_always_on), p.vm_discount_pct)
+
     # -- on-demand -----------------------------------------------------------
     @cached_property
     def sessions(self) -> DataFrame:
@@ -115,10 +126,10 @@ class CustomerAnalysis:
         return op.on_demand_by_endpoint(self.on_demand_costs, sort)
 
     def grand_totals(self) -> DataFrame:
-        return op.grand_totals(self.always_on_costs, self.on_demand_costs)
+        return op.grand_totals(self._always_on_costs_shared, self.on_demand_costs)
 
     def cost_comparison_daily(self) -> DataFrame:
-        return op.cost_comparison_daily(self.always_on_costs, self.on_demand_costs)
+        return op.cost_comparison_daily(self._always_on_costs_shared, self.on_demand_costs)
 
     def timeline_sessions(self) -> DataFrame:
         """Per-day bars of on-demand sessions including their auto-stop tail."""
@@ -132,9 +143,9 @@ class CustomerAnalysis:
 
     def reports(self) -> dict[str, DataFrame]:
         return {
-            "always_on_costs": self.always_on_costs,
+            "always_on_costs": self._always_on_costs_shared,
             "on_demand_costs": self.on_demand_costs,
-            "always_on_by_endpoint": self.always_on_by_endpoint(sort=False),
+            "always_on_by_endpoint": op.always_on_by_endpoint(self._always_on_costs_shared, sort=False),
             "on_demand_by_endpoint": self.on_demand_by_endpoint(sort=False),
             "grand_totals": self.grand_totals(),
             "cost_comparison_daily": self.cost_comparison_daily(),

@@ -81,6 +81,17 @@ class RegionAnalysis:
         return op.vm_cost_region(op.dbu_cost_always_on(self.always_on_daily, p.cost_per_dbu_always_on),
                                  p.vm_discount_pct)
 
+    @cached_property
+    def _always_on_costs_shared(self) -> DataFrame:
+        """The same rows as ``always_on_costs``, spans taken over the sessions (one pass
+        over the statement log for reports that need both cost branches)."""
+        keys = [c for c in ("cluster_id", "endpoint_id", "workspace_id", "customer_name")
+                if c in self.statements.columns]
+        spans = op.active_span(self.sessions.select(*keys, "start_us", "end_us"), keys)
+        p = self.params
+        daily = op.always_on_daily_region(spans, self.workloads, p.end_date)
+        return op.vm_cost_region(op.dbu_cost_always_on(daily, p.cost_per_dbu_always_on), p.vm_discount_pct)
+
     @cached_property
     def sessions(self) -> DataFrame:
         p = self.params
@@ -106,13 +117,14 @@ class RegionAnalysis:
         return op.on_demand_by_customer(self.on_demand_costs, sort, self._max_customers)
 
     def cost_comparison(self) -> DataFrame:
-        return op.cost_comparison(self.on_demand_by_customer(sort=False), self.always_on_by_customer(sort=False))
+        always_on = op.always_on_by_customer(self._always_on_costs_shared, sort=False)
+        return op.cost_comparison(self.on_demand_by_customer(sort=False), always_on)
 
     def reports(self) -> dict[str, DataFrame]:
         return {
-            "always_on_costs": self.always_on_costs,
+            "always_on_costs": self._always_on_costs_shared,
             "on_demand_costs": self.on_demand_costs,
-            "always_on_by_customer": self.always_on_by_customer(sort=False),
+            "always_on_by_customer": op.always_on_by_customer(self._always_on_costs_shared, sort=False),
             "on_demand_by_customer": self.on_demand_by_customer(sort=False),
             "cost_comparison": self.cost_comparison(),
         }

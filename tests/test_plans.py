@@ -127,3 +127,11 @@ def test_workloads_cut_to_analysed_clusters_before_any_shuffle(spark, key, scan)
             break
         before_shuffle.append(op)
     assert any(op.startswith("BroadcastHashJoin") and "LeftSemi" in op for op in before_shuffle), path
+
+
+@pytest.mark.parametrize("key", ["cost_comparison", "grand_totals", "cost_comparison_daily"])
+def test_combined_reports_read_the_statement_log_once(spark, key):
+    df = se.queries()[key](spark, SF_SMALL)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    assert final.count("value:double,props:string>") == 1
