@@ -31,3 +31,17 @@ def test_entry_runs(spark):
     assert df.columns == ["customer_name", "on_demand_usd", "always_on_usd", "dbu_usd", "vm_usd",
                           "team_variation_usd", "variation_usd", "variation_pct"]
     assert len(rows) >= 1
+
+
+@pytest.mark.parametrize("key", ["idle_sessions_global", "vm_cost_region", "cost_comparison", "grand_totals"])
+def test_results_do_not_depend_on_physical_strategy(spark, con, key):
+    """AQE off and automatic broadcasts off (sort-merge joins): same rows as the oracle."""
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        r = compare(spark, con, key, se.queries()[key], se.oracle_sql()[key], SF_SMALL)
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    assert r["status"] == "ok", r
