@@ -27,6 +27,25 @@ SESSION_CONF = {
 }
 
 
+def scale_conf(statement_bytes: int, executors_cores: int, target_partition_bytes: int = 128 * 1024 ** 2) -> dict[str, str]:
+    """Settings for a cluster run, from the size of the statement log in the date range.
+
+    The widest shuffle is the statements by (cluster, minute); it gets about
+    ``target_partition_bytes`` per partition, and never fewer partitions than
+    cores.  AQE coalesces small shuffles down from this and splits skewed join
+    partitions; scans split files at the same size.
+    """
+    partitions = max(executors_cores, -(-statement_bytes // target_partition_bytes))
+    return {
+        **SESSION_CONF,
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "idlecost") -> SparkSession:
     """A local session for tests and the bench (UI off, UTC, AQE on)."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
