@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from idlecost.functions.time import (
     MICROS_PER_DAY,
-    date_of_us,
     day_number,
     day_start_us,
     epoch_us,
@@ -85,6 +84,3 @@ def day_slices(
         cut = cut.select("*", *[expr.alias(name) for name, expr in extra.items()])
     return cut
 
-
-def with_date_of(df: DataFrame, us_col: str, date_col: str = "date") -> DataFrame:
-    return df.withColumn(date_col, date_of_us(us_col))

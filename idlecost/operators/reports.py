@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from idlecost.functions.money import from_micros, sum_micros, sum_usd, to_micros
+from idlecost.functions.money import from_micros, sum_usd, to_micros
 
 
 def _sorted(df: DataFrame, by: str, sort: bool, max_rows: int | None = None) -> DataFrame:

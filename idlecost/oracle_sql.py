@@ -287,7 +287,6 @@ _DATE_CAST = "CAST(date AS VARCHAR) AS date"
 
 def _queries() -> dict[str, str]:
     se = _sum_exact
-    dollar = "to_micro"  # noqa: F841 (documentation: totals are exact)
     slice_cols = "cluster_id, endpoint_id, workspace_id"
     q = {
         "statement_intervals": f"""SELECT statement_id, cluster_id, workspace_id, {_DATE_CAST}, start_us, end_us,

@@ -207,3 +207,12 @@ def test_top_accounts_without_workspace_raise(spark):
     assert [r.account_name for r in op.account_workspaces(owned, acc).join(acc, F.lower("customer_name") == acc.account_name).collect()] == ["acme"]
     with pytest.raises(op.NoWorkspaceError):
         op.fetch_top_accounts(top, 3, workspaces=other)
+
+
+def test_scale_conf_partitions():
+    from idlecost.session import scale_conf
+
+    big = scale_conf(10 * 1024 ** 4, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 81920
+    assert big["spark.sql.session.timeZone"] == "UTC"
+    assert int(scale_conf(1024, 64)["spark.sql.shuffle.partitions"]) == 64
