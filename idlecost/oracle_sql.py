@@ -351,7 +351,8 @@ def _queries() -> dict[str, str]:
                   FROM od_costs_m GROUP BY date, cluster_id) o ON a.date = o.d2 AND a.cluster_id = o.c2""",
     }
     for key, src, end in (("timeline_segments", "sessions_m", "end_autostop_us"),
-                          ("timeline_segments_statements", "att_m", "end_us")):
+                          ("timeline_segments_statements", "att_m", "end_us"),
+                          ("timeline_segments_always_on", "ao_costs_m", "end_us")):
         q[key] = f"""
             SELECT {_DATE_CAST}, endpoint_id, cluster_id, start_offset_us, end_offset_us,
                    strftime(make_timestamp(start_offset_us), '%Y-%m-%dT%H:%M:%S') AS start_display,
