@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from idlecost.llm import exact_dedup
+from idlecost.llm import exact_dedup, jaccard_join, language_id, quality_rules
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op7_ngram_jaccard": jaccard_join.op7_ngram_jaccard,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 ORACLE_SQL = {
