@@ -4,9 +4,10 @@ A word is the bag of its 3- to 5-byte n-grams with boundary signs (lower-cased
 ASCII, words are runs of letters, digits and non-ASCII bytes), each a row of a hashed
 embedding table; a window of ``WINDOW`` words is the mean of its words' mean
 embeddings, and a linear softmax scores it.  Table and softmax are trained jointly in
-numpy, so unseen misspellings share the n-gram vectors of known words.  A document's
-score is that of its highest window, over all windows of the whole text: a few toxic
-words count the same in a short and in a very long text.
+numpy, so unseen misspellings share the n-gram vectors of known words.  Windows run
+over the first occurrences of a text's words, so that a word repeated many times does
+not weigh more.  A document's score is that of its highest window, over all windows of
+the whole text: a few toxic words count the same in a short and in a very long text.
 
 Learning: at first every window carries its document's label, then each document is
 represented by its highest windows.  The learning rows are a bounded sample: of the
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from idlecost.llm.common import crc_mod, full_text, table
-from idlecost.llm.wordhash import slices
+from idlecost.llm.wordhash import Words, mix, slices, word_hashes
 
 BITS = 17
 DIM = 8
@@ -70,16 +71,20 @@ def _buckets(c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     yield 5, (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
 
 
-def _word_values(data: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean weight of each word's n-grams, and the words' positions in ``data``."""
+def _word_values(data: np.ndarray, offset: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean weight of the n-grams of each word that is new in its text, and the texts' bounds among these words."""
     c, start, end = _signs(data)
+    h = word_hashes(Words(c.astype(np.uint8), offset, start, end - start + 1, offset))
+    doc = np.searchsorted(offset, start - 1, side="right") - 1
+    new = np.sort(np.unique(mix(h ^ mix(doc.astype(np.uint64) + np.uint64(1))), return_index=True)[1])
+    start, end = start[new], end[new]
     total, count = np.zeros(len(start)), np.zeros(len(start))
     for n, bucket in _buckets(c):
         run = np.concatenate([[0.0], np.cumsum(weight[bucket], dtype=np.float64)])
         have = np.maximum(end - start + 4 - n, 0)  # n-grams inside the word and its two boundary signs
         total += run[start - 1 + have] - run[start - 1]
         count += have
-    return total / np.maximum(count, 1), start - 1
+    return total / np.maximum(count, 1), np.searchsorted(start - 1, offset)
 
 
 def _window_means(values: np.ndarray, bounds: np.ndarray, width: int = WINDOW) -> np.ndarray:
@@ -109,18 +114,17 @@ class _Bags(NamedTuple):
 
 def _bags(texts: list[bytes]) -> _Bags:
     seen: dict[bytes, int] = {}
-    windows, text_of, spans = [], [], []
+    windows, text_of = [], []
     for t, text in enumerate(texts):
         data = np.frombuffer(text, np.uint8)
         c, start, end = _signs(data)
         low = c.astype(np.uint8).tobytes()
-        ids = [seen.setdefault(low[a - 1:b + 2], len(seen)) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        ids = list(dict.fromkeys(seen.setdefault(low[a - 1:b + 2], len(seen)) for a, b in zip(start.tolist(), end.tolist(), strict=True)))
         for at in range(0, max(len(ids), 1), WINDOW // 2):
             part = ids[at:at + WINDOW]
             if part and (len(part) == WINDOW or at == 0):
                 windows.append(part + [-1] * (WINDOW - len(part)))
                 text_of.append(t)
-        spans.append(len(ids))
     bags = []
     for word in seen:
         c = np.frombuffer(word, np.uint8).astype(np.uint32)
@@ -131,7 +135,7 @@ def _bags(texts: list[bytes]) -> _Bags:
                  np.array(windows, dtype=np.int64).reshape(-1, WINDOW), np.array(text_of, dtype=np.int64))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 5, rounds: int = 2, batch: int = 256, rate: float = 0.3) -> Model:
+def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 4, rounds: int = 4, batch: int = 256, rate: float = 0.3) -> Model:
     """Embeddings and softmax by Adagrad over windows of the texts."""
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(1 << BITS, dtype=np.float32), -np.inf)
@@ -214,8 +218,7 @@ def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offset in slices(batch.column("text"), limit=4 << 20):
-                values, at = _word_values(data, model.weight)
-                logit = _window_means(values, np.searchsorted(at, offset)) + model.bias
+                logit = _window_means(*_word_values(data, offset, model.weight)) + model.bias
                 score = 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
                 score = np.where(np.isneginf(logit), 0.0, score)
                 yield pa.RecordBatch.from_pydict({

@@ -38,7 +38,8 @@ def test_language_odd_cases(spark):
 
 
 def test_toxicity_held_out_accuracy(spark):
-    d, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    larger = "/root/testdata/sf0.1"
+    d, labels = table(spark, larger, "documents"), table(spark, larger, "labels")
     got = toxicity.toxicity(d, toxicity.learn(d, labels)).join(labels, "doc_id").where("held_out").collect()
     assert len(got) > 50 and np.mean([r.predicted == r.toxic for r in got]) > 0.95
 
