@@ -8,17 +8,20 @@ A document's tokens are its distinct five-word shingles.  Two sets link when
    keeps those that two sets have or more, with their number of sets, and sends
    them back to their sets.  A set that shares under 80 % of its tokens has no link.
    Tokens that nobody shares can't be in an intersection, so nothing else is needed.
-3. Groups: in rounds, heads with the same min-hash join the round's leader if they
-   link with it.  A group so is connected, and one leader stands for a whole family
-   of near copies; no pairs inside a group are made.
-4. Matrix: of each member, the rarest shared tokens that any link must hit (n -
-   ceil(0.8 n) + 1 tokens in rising order of set count) give the rows (token, group).
-   A query meets only other groups that its own such tokens hit, smaller groups
-   asking larger ones.  The overlap of the query with the group's token union bounds
-   its overlap with each member; groups below 80 % of the query stay closed.
+3. Groups: for each of ``MIN_HASHES`` min-hashes the sets that share it are compared
+   with one leader, the one whose tokens occur in most sets (the middle of a family of
+   near copies).  The components of the links found are the groups: connected, each
+   with a leader, and made without pairs inside a group.
+4. Matrix: links run from a larger set y to a smaller x, which needs an overlap of 8/9
+   of x and 4/9 of both sizes together.  So with the tokens of both in one order
+   (rarest first) x's first n - ceil(8n/9) + 1 tokens hold one of y's first
+   n - ceil(4(n + n_x)/9) + 1.  The matrix holds these tokens of the members of each
+   group and size class (sizes within ``SIZE_STEP``); a query meets only other groups
+   that its own tokens hit.  Its overlap with the token union of the group's class
+   bounds its overlap with each member; classes below what a link needs stay closed.
 5. Opened groups: first the leader is compared, then, where group and query are
    still apart, the members that hit one of the query's tokens.
-6. Components of the links between groups by alternating large and small stars.
+6. Components of all links by alternating large and small stars.
 
 Defined cases: null counts as empty; without words a document has no tokens and
 links with nothing; copies and repeated rows have the same set, hence one component;
@@ -42,8 +45,12 @@ from idlecost.llm.wordhash import LOWER_AZ, mix, slices, window_hashes, word_has
 SHINGLE = 5
 #: A link: PERCENT * union <= 100 * intersection.
 PERCENT = 80
-#: Rounds of leader grouping, each with its own min-hash.
-ROUNDS = 3
+#: Min-hashes by which sets meet leaders.
+MIN_HASHES = 4
+#: Sizes of one class of a group differ by this factor at most.
+SIZE_STEP = 1.03
+#: Members whose tokens are put together at once, and tokens of a union in one row.
+PART, SLOT = 64, 20_000
 
 
 # --- 1. sets ------------------------------------------------------------------
@@ -212,23 +219,28 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, token, found = owner[keep], token[keep], found[keep]
         order = np.lexsort((token, found, owner))
         lengths = have[able]
+        fame = (np.bincount(owner, weights=found, minlength=len(key))[able] + (size - have)[able]) / size[able]
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         values = pa.array(token[order].view(np.int64))
         at = np.flatnonzero(able)
         for a in range(0, len(at), 2000):
             b = min(a + 2000, len(at))
             yield pa.RecordBatch.from_pydict({
-                "set_key": pa.array(key[at[a:b]].view(np.int64)), "n": pa.array(size[at[a:b]]),
+                "set_key": pa.array(key[at[a:b]].view(np.int64)), "n": pa.array(size[at[a:b]]), "fame": pa.array(fame[a:b]),
                 "tokens": pa.ListArray.from_arrays(pa.array(offsets[a:b + 1] - offsets[a]), values.slice(offsets[a], offsets[b] - offsets[a]))})
     yield from _by_bucket(batches, of_bucket)
 
 
 def _linkable_sets(texts: DataFrame) -> DataFrame:
-    """set_key, n, tokens (shared ones, rarest first) of every set that could have a link."""
+    """set_key, n, fame, tokens of every set that could have a link.
+
+    ``tokens`` are the shared ones, rarest first; ``fame`` is the mean number of sets
+    that hold one of the set's tokens.
+    """
     buckets = min(shuffle_partitions(texts.sparkSession), 65_536)
     blobs = texts.select("text").mapInArrow(_token_blobs(buckets), "bucket int, blob binary")
     shared = blobs.repartitionById(buckets, "bucket").mapInArrow(_shared(buckets), "bucket int, blob binary")
-    return shared.repartitionById(buckets, "bucket").mapInArrow(_survivors, "set_key long, n long, tokens array<long>")
+    return shared.repartitionById(buckets, "bucket").mapInArrow(_survivors, "set_key long, n long, fame double, tokens array<long>")
 
 
 # --- 3. to 5. groups, matrix, opened groups ------------------------------------
@@ -243,18 +255,21 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         & (100 * both >= PERCENT * (F.col("_na") + F.col("_nb") - both))).select(*pairs.columns)
 
 
+def _min_hash(seed: int):
+    return F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, F.lit(seed))))
+
+
 def _groups(sets: DataFrame) -> DataFrame:
-    """set_key, head: each set's group, named by its leader; every member reaches it by links."""
-    mins = [F.array_min(F.transform("tokens", lambda t, k=k: F.xxhash64(t, F.lit(k)))).alias(f"m{k}") for k in range(ROUNDS)]
-    label = stored(sets.select("set_key", F.col("set_key").alias("head"), *mins), "minhash")
-    for k in range(ROUNDS):
-        heads = label.where("set_key = head").select("set_key", f"m{k}")
-        leaders = heads.groupBy(f"m{k}").agg(F.min("set_key").alias("b"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-        pairs = heads.join(leaders, f"m{k}").where("set_key <> b").select(F.col("set_key").alias("a"), "b")
-        moved = _linked(pairs, sets).select(F.col("a").alias("head"), F.col("b").alias("_to"))
-        label = stored(label.join(moved, "head", "left").select(
-            "set_key", F.coalesce("_to", "head").alias("head"), *[f"m{j}" for j in range(ROUNDS)]), f"groups-{k}")
-    return label.select("set_key", "head")
+    """set_key, head, leader: each set's group, named by its smallest key, and the group's leader."""
+    hashes = sets.select("set_key", "fame", F.posexplode(F.array(*[_min_hash(k) for k in range(MIN_HASHES)])).alias("k", "m"))
+    hashes = stored(hashes, "min-hashes")
+    leaders = hashes.groupBy("k", "m").agg(F.max(F.struct("fame", "set_key")).alias("_top"), F.count("*").alias("_n"))
+    leaders = leaders.where("_n > 1").select("k", "m", F.col("_top.set_key").alias("b"))
+    pairs = hashes.join(leaders, ["k", "m"]).where("set_key <> b").select(F.col("set_key").alias("a"), "b").distinct()
+    label = sets.select("set_key", F.col("set_key").alias("head"), "fame")
+    label = _relabel(label, stored(_linked(pairs, sets), "leader-pairs"), "groups")
+    leader = label.groupBy("head").agg(F.max(F.struct("fame", "set_key")).alias("_top"))
+    return stored(label.join(leader, "head").select("set_key", "head", F.col("_top.set_key").alias("leader")), "labels")
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -285,56 +300,77 @@ def _components(links: DataFrame) -> DataFrame:
 
 
 def _relabel(label: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``label`` with the heads that ``links`` connect replaced by one of them."""
     if links.isEmpty():
         return label
     roots = _components(links)
     return stored(label.join(roots, F.col("head") == F.col("node"), "left").select(
-        "set_key", F.coalesce("root", "head").alias("head")), name)
+        F.coalesce("root", "head").alias("head"), *[c for c in label.columns if c != "head"]), name)
+
+
+def _asked(probes: DataFrame) -> DataFrame:
+    """a, n, tokens_of, group, cls, lo: the classes of other groups that a set must be compared with."""
+    matrix = probes.where("in_matrix").groupBy("token", F.col("head").alias("group"), "cls").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    met = probes.select("token", "rank", F.col("set_key").alias("a"), "n", "head").join(matrix, "token").where(
+        "head <> group AND lo <= n AND 5 * hi >= 4 * n AND rank <= n - (4 * (n + lo) + 8) div 9 + 1")
+    return met.groupBy("a", "n", "group", "cls").agg(F.min("lo").alias("lo"))
+
+
+def _bounded(asked: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The asked classes whose token union the query overlaps enough to open them."""
+    tokens = sets.select("set_key", "tokens")
+    of = members.join(asked.select("group", "cls").distinct(), ["group", "cls"])
+    parts = of.groupBy("group", "cls").agg(F.ceil(F.count("*") / PART).alias("_parts"))
+    # Near copies have most tokens in common: small parts shrink before the whole is put together.
+    some = of.join(parts, ["group", "cls"]).join(tokens, "set_key").groupBy(
+        "group", "cls", F.pmod(F.xxhash64("set_key"), "_parts").alias("_part")).agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+    union = stored(some.select("group", "cls", F.explode("tokens").alias("token")).distinct(), "unions")
+    slots = union.groupBy("group", "cls").agg(F.ceil(F.count("*") / SLOT).cast("int").alias("_slots"))
+    union = union.join(slots, ["group", "cls"]).groupBy("group", "cls", F.pmod("token", "_slots").cast("int").alias("slot")).agg(
+        F.collect_list("token").alias("_union"))
+    query = asked.join(slots, ["group", "cls"]).join(tokens.withColumnRenamed("set_key", "a"), "a")
+    query = query.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("_slots") - 1)))
+    most = query.join(union, ["group", "cls", "slot"]).groupBy("a", "n", "group", "cls", "lo").agg(
+        F.sum(F.size(F.array_intersect("tokens", "_union"))).alias("_most"))
+    return most.where("9 * _most >= 4 * (n + lo)").select("a", "n", "group", "cls")
 
 
 def _connected_sets(sets: DataFrame) -> DataFrame:
     """set_key, head: the component of every set that could have a link."""
     label = _groups(sets)
-    # The tokens that every link of a set must hit one of: the rarest n - ceil(0.8 n) + 1; unshared ones come first.
-    must = F.col("n") - F.ceil(F.col("n") * F.lit(PERCENT) / 100) + 1 - (F.col("n") - F.size("tokens"))
-    probes = sets.select("set_key", "n", F.explode(F.slice("tokens", 1, F.greatest(must, F.lit(1)).cast("int"))).alias("token"))
-    sizes = label.groupBy("head").agg(F.count("*").alias("members"))
-    probes = probes.join(label.join(sizes, "head"), "set_key")
-    apart = probes.groupBy("token").agg(F.min("head").alias("_lo"), F.max("head").alias("_hi")).where("_lo <> _hi").select("token")
-    probes = stored(probes.join(apart, "token", "left_semi"), "probes")
-    if probes.isEmpty():
-        return label
-    matrix = probes.select("token", F.col("head").alias("group"), F.col("members").alias("_of")).distinct()
-    asked = probes.join(matrix, "token").where("members < _of OR (members = _of AND head < group)")
-    asked = stored(asked.select(F.col("set_key").alias("a"), "n", "group").distinct(), "asked")
-    # The bound: overlap with the union of the group's tokens, counted over (group, token) rows.
-    opened = asked.select(F.col("group").alias("head")).distinct()
-    union = (label.join(opened, "head", "left_semi").join(sets.select("set_key", "tokens"), "set_key")
-             .select(F.col("head").alias("group"), F.explode("tokens").alias("token")).distinct())
-    query = asked.join(sets.select(F.col("set_key").alias("a"), "tokens"), "a").select("a", "n", "group", F.explode("tokens").alias("token"))
-    bound = query.join(union, ["group", "token"]).groupBy("a", "n", "group").agg(F.count("*").alias("_most"))
-    opened = stored(bound.where(100 * F.col("_most") >= PERCENT * F.col("n")).select("a", "group"), "opened")
-
-    of_query = label.select(F.col("set_key").alias("a"), F.col("head").alias("_own"))
-    to_leader = _linked(opened.select("a", F.col("group").alias("b"), "group"), sets)
-    links = stored(to_leader.join(of_query, "a").select(F.col("_own").alias("a"), F.col("group").alias("b")), "leader-links")
-    merged = _relabel(label, links, "merged")
-    now = merged.select("set_key", F.col("head").alias("_now"))
-    still = (opened.join(now.select(F.col("set_key").alias("a"), F.col("_now").alias("_na")), "a")
-             .join(now.select(F.col("set_key").alias("group"), F.col("_now").alias("_ng")), "group")
-             .where("_na <> _ng").select("a", "group"))
-    still = stored(still, "still-apart")
+    places = sets.select("set_key", "n", F.size("tokens").alias("_s"), F.posexplode("tokens").alias("_at", "token"))
+    # A token's place in its set; the tokens that nobody shares come first.
+    places = places.withColumn("rank", F.col("n") - F.col("_s") + F.col("_at") + 1).where("rank <= n - (4 * n + 4) div 5 + 1")
+    probes = places.select("set_key", "n", "token", "rank", F.expr("rank <= n - (8 * n + 8) div 9 + 1").alias("in_matrix"),
+                           F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).alias("cls")).join(label.select("set_key", "head"), "set_key")
+    met = probes.groupBy("token").agg(F.min("head").alias("_lo"), F.max("head").alias("_hi"), F.max("in_matrix").alias("_in"))
+    probes = stored(probes.join(met.where("_lo <> _hi AND _in").select("token"), "token", "left_semi"), "probes")
+    asked = stored(_asked(probes), "asked")
+    if asked.isEmpty():
+        return label.select("set_key", "head")
+    members = sets.select("set_key", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).alias("cls")).join(label, "set_key").select(
+        "set_key", F.col("head").alias("group"), "cls")
+    opened = stored(_bounded(asked, members, sets), "opened")
+
+    leaders = label.select(F.col("head").alias("group"), F.col("leader").alias("b")).distinct()
+    own = label.select(F.col("set_key").alias("a"), F.col("head").alias("_own"))
+    to_leader = _linked(opened.select("a", "group").distinct().join(leaders, "group").select("a", "b", "group"), sets)
+    links = stored(to_leader.join(own, "a").select(F.col("_own").alias("a"), F.col("group").alias("b")).distinct(), "leader-links")
+    now = _relabel(label.select("set_key", "head", F.col("head").alias("group")), links, "merged")
+    groups = now.select("group", F.col("head").alias("_now")).distinct()
+    still = opened.join(own, "a").join(groups.withColumnsRenamed({"group": "_own", "_now": "_mine"}), "_own").join(groups, "group")
+    still = stored(still.where("_mine <> _now").select("a", "n", "group", "cls"), "still-apart")
     if still.isEmpty():
-        return merged
-    mine = probes.select(F.col("set_key").alias("a"), F.col("n").alias("_na"), "token").join(still, "a")
-    theirs = probes.select(F.col("set_key").alias("b"), F.col("n").alias("_nb"), "token", F.col("head").alias("group"))
-    pairs = mine.join(theirs, ["group", "token"]).where(
-        (100 * F.col("_na") >= PERCENT * F.col("_nb")) & (100 * F.col("_nb") >= PERCENT * F.col("_na"))).select("a", "b").distinct()
-    found = _linked(pairs, sets)
-    links = (found.join(now.withColumnsRenamed({"set_key": "a", "_now": "_x"}), "a")
-             .join(now.withColumnsRenamed({"set_key": "b", "_now": "_y"}), "b")
-             .select(F.col("_x").alias("a"), F.col("_y").alias("b")))
-    return _relabel(merged, stored(links, "member-links"), "merged-members")
+        return now.select("set_key", "head")
+    mine = probes.select(F.col("set_key").alias("a"), "rank", "token").join(still, "a")
+    theirs = probes.where("in_matrix").select(F.col("set_key").alias("b"), F.col("n").alias("_nb"), "token", F.col("head").alias("group"), "cls")
+    pairs = mine.join(theirs, ["group", "cls", "token"]).where(
+        "_nb <= n AND 5 * _nb >= 4 * n AND rank <= n - (4 * (n + _nb) + 8) div 9 + 1").select("a", "b").distinct()
+    heads = now.select("set_key", F.col("head").alias("_now"))
+    links = (_linked(pairs, sets).join(heads.withColumnsRenamed({"set_key": "a", "_now": "_x"}), "a")
+             .join(heads.withColumnsRenamed({"set_key": "b", "_now": "_y"}), "b")
+             .select(F.col("_x").alias("a"), F.col("_y").alias("b")).distinct())
+    return _relabel(now.select("set_key", "head"), stored(links, "member-links"), "merged-members").select("set_key", "head")
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -343,7 +379,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_type = texts.schema["doc_id"].dataType.simpleString()
     rows = stored(texts.mapInArrow(_set_rows, f"doc_id {id_type}, n_shingles long, set_key long"), "sets")
     sets = stored(_linkable_sets(texts), "linkable")
-    label = _connected_sets(sets).withColumnsRenamed({"set_key": "_key", "head": "_head"})
+    label = _connected_sets(sets).select("set_key", "head").withColumnsRenamed({"set_key": "_key", "head": "_head"})
     keyed = rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("_id"))
     keyed = keyed.join(label, F.col("set_key") == F.col("_key"), "left").select(
         "set_key", "_id", F.coalesce("_head", "set_key").alias("_head"))
