@@ -1,8 +1,10 @@
 """Command line: run one analysis and write its reports.
 
     python -m idlecost customer --tables tables.json --out s3://bucket/tco/acme \
-        --start-date 2024-01-01 --end-date 2024-01-30 --customer-name acme
-    python -m idlecost region --tables tables.json --out /data/tco/emea --sales-region EMEA --top-accounts 20
+        --start-date 2024-01-01 --end-date 2024-01-30 --customer-name acme \
+        --lifecycle-metric lifecycle --create-action create
+    python -m idlecost region --tables tables.json --out /data/tco/emea \
+        --start-date 2024-01-01 --end-date 2024-01-30 --sales-region EMEA --top-accounts 20
 
 ``tables.json`` maps each logical input (statements, endpoints, cluster_events,
 workspaces, workloads, billing) to a catalog table name or a path.  The flags are
@@ -15,6 +17,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from dataclasses import fields
 
 from idlecost.config import TcoParams
 
@@ -28,20 +31,22 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--format", default="parquet", help="format of path inputs and of the reports")
     p.add_argument("--out", required=True, help="folder for the reports (shared storage on a cluster)")
     p.add_argument("--master", default=None, help="Spark master for a local run, e.g. local[8]")
-    d = TcoParams()
-    p.add_argument("--start-date", default=d.start_date.isoformat())
-    p.add_argument("--end-date", default=d.end_date.isoformat())
-    p.add_argument("--customer-name", default=d.customer_name)
-    p.add_argument("--cost-per-dbu-always-on", type=float, default=d.cost_per_dbu_always_on)
-    p.add_argument("--vm-discount-pct", type=int, default=d.vm_discount_pct)
-    p.add_argument("--on-demand-discount-pct", type=int, default=d.on_demand_discount_pct)
-    p.add_argument("--auto-stop-s", type=int, default=d.auto_stop_s)
-    p.add_argument("--default-on-demand-price", type=float, default=d.default_on_demand_price)
-    p.add_argument("--sales-region", default=d.sales_region)
-    p.add_argument("--top-accounts", type=int, default=d.top_accounts)
-    p.add_argument("--billing-start-date", default=d.billing_start_date.isoformat())
-    p.add_argument("--billing-end-date", default=d.billing_end_date.isoformat())
-    p.add_argument("--session-scope", choices=["cluster", "global"], default=d.session_scope)
+    d = {f.name: f.default for f in fields(TcoParams)}
+    p.add_argument("--start-date", required=True)
+    p.add_argument("--end-date", required=True)
+    p.add_argument("--customer-name", help="required by the customer analysis")
+    p.add_argument("--lifecycle-metric", help="metric of the lifecycle log's rows; required by the customer analysis")
+    p.add_argument("--create-action", action="append", default=[], help="an action that creates a cluster; repeat for several")
+    p.add_argument("--cost-per-dbu-always-on", type=float, default=d["cost_per_dbu_always_on"])
+    p.add_argument("--vm-discount-pct", type=int, default=d["vm_discount_pct"])
+    p.add_argument("--on-demand-discount-pct", type=int, default=d["on_demand_discount_pct"])
+    p.add_argument("--auto-stop-s", type=int, default=d["auto_stop_s"])
+    p.add_argument("--default-on-demand-price", type=float, default=d["default_on_demand_price"])
+    p.add_argument("--sales-region", help="required by the region analysis")
+    p.add_argument("--top-accounts", type=int, default=d["top_accounts"])
+    p.add_argument("--billing-start-date", help="default: the start date")
+    p.add_argument("--billing-end-date", help="default: the end date")
+    p.add_argument("--session-scope", choices=["cluster", "global"], default=d["session_scope"])
     p.add_argument("--all-statements", action="store_true",
                    help="keep statements of every status (the region analysis does by default)")
     return p
@@ -52,7 +57,7 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from idlecost.plans import CustomerAnalysis, RegionAnalysis, write_reports
-    from idlecost.session import SESSION_CONF, check_session, ensure_checkpoint_dir, local_session
+    from idlecost.session import SESSION_CONF, local_session
     from idlecost.sources import load_inputs
     from idlecost.sources.fixtures import load_fixture_inputs
 
@@ -63,8 +68,6 @@ def main(argv: list[str] | None = None) -> int:
         for key, value in SESSION_CONF.items():
             builder = builder.config(key, value)
         spark = builder.getOrCreate()
-        ensure_checkpoint_dir(spark)
-    check_session(spark)
 
     only_finished = not args.all_statements and args.analysis == "customer"
     params = TcoParams(
@@ -73,7 +76,8 @@ def main(argv: list[str] | None = None) -> int:
         on_demand_discount_pct=args.on_demand_discount_pct, auto_stop_s=args.auto_stop_s,
         default_on_demand_price=args.default_on_demand_price, sales_region=args.sales_region,
         top_accounts=args.top_accounts, billing_start_date=args.billing_start_date,
-        billing_end_date=args.billing_end_date, session_scope=args.session_scope, only_finished=only_finished,
+        billing_end_date=args.billing_end_date, lifecycle_metric=args.lifecycle_metric,
+        create_actions=tuple(args.create_action), session_scope=args.session_scope, only_finished=only_finished,
     )
     if args.fixtures:
         inputs = load_fixture_inputs(spark, args.fixtures)

@@ -1,6 +1,6 @@
 """Column expressions shared by the operators (all built-in Spark functions)."""
 
-from idlecost.functions.money import from_micros, sum_exact, sum_micros, sum_usd, to_micro_usd, to_micros
+from idlecost.functions.money import from_micros, sum_exact, sum_micros, sum_usd, to_micros
 from idlecost.functions.time import (
     MICROS_PER_DAY,
     MICROS_PER_SECOND,
@@ -10,7 +10,6 @@ from idlecost.functions.time import (
     epoch_us,
     floor_div,
     floor_to_second,
-    format_us,
     hours_between,
     time_of_day_display,
 )
@@ -24,7 +23,6 @@ __all__ = [
     "epoch_us",
     "floor_div",
     "floor_to_second",
-    "format_us",
     "hours_between",
     "from_micros",
     "sum_exact",
@@ -32,5 +30,4 @@ __all__ = [
     "sum_usd",
     "to_micros",
     "time_of_day_display",
-    "to_micro_usd",
 ]

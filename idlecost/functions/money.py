@@ -37,5 +37,4 @@ def sum_exact(value: Column | str) -> Column:
 
 
 # dollars are the common case
-to_micro_usd = to_micros
 sum_usd = sum_exact

@@ -33,7 +33,7 @@ def floor_to(us: Column | str, unit: int) -> Column:
 def floor_div(us: Column | str, unit: int) -> Column:
     """floor(us / unit) as bigint, in integer arithmetic."""
     c = _col(us)
-    return ((c - F.pmod(c, F.lit(unit))) / F.lit(unit)).cast("long")
+    return F.call_function("div", c - F.pmod(c, F.lit(unit)), F.lit(unit).cast("long"))
 
 
 def floor_to_second(us: Column | str) -> Column:
@@ -69,10 +69,6 @@ def hours_between(start_us: Column | str, end_us: Column | str) -> Column:
     return secs.cast("long") / F.lit(3600)
 
 
-def format_us(us: Column | str, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
-    return F.date_format(F.timestamp_micros(_col(us)), pattern)
-
-
 def time_of_day_display(offset_us: Column | str) -> Column:
     """Offset into a day -> '1970-01-01THH:mm:ss' (a full day shows as '1970-01-02T00:00:00')."""
     return F.date_format(F.timestamp_micros(_col(offset_us)), "yyyy-MM-dd'T'HH:mm:ss")

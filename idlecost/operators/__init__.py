@@ -7,6 +7,7 @@ from idlecost.operators.attribution import (
     active_span,
     attributed_statements,
     attributed_statements_region,
+    cluster_map,
     customer_clusters,
     customer_workspaces,
     fetch_top_accounts,
@@ -14,7 +15,6 @@ from idlecost.operators.attribution import (
     top_accounts,
 )
 from idlecost.operators.intervals import day_slices, statement_intervals
-from idlecost.operators.joins import count_at_most, maybe_broadcast
 from idlecost.operators.pricing import dbu_cost_always_on, dbu_cost_on_demand, vm_cost, vm_cost_region, with_vm_rates
 from idlecost.operators.reports import (
     always_on_by_customer,
@@ -27,13 +27,11 @@ from idlecost.operators.reports import (
 )
 from idlecost.operators.sessions import idle_sessions, merge_sessions
 from idlecost.operators.timeline import timeline_segments
-from idlecost.operators.usage import always_on_daily, always_on_daily_region, on_demand_usage
+from idlecost.operators.usage import always_on_daily, always_on_daily_region, daily_workloads, on_demand_usage
 
 __all__ = [
     "NoWorkspaceError",
     "account_clusters",
-    "count_at_most",
-    "maybe_broadcast",
     "account_workspaces",
     "active_span",
     "always_on_by_customer",
@@ -42,10 +40,12 @@ __all__ = [
     "always_on_daily_region",
     "attributed_statements",
     "attributed_statements_region",
+    "cluster_map",
     "cost_comparison",
     "cost_comparison_daily",
     "customer_clusters",
     "customer_workspaces",
+    "daily_workloads",
     "day_slices",
     "dbu_cost_always_on",
     "dbu_cost_on_demand",

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from idlecost.functions.money import from_micros, sum_micros
-from idlecost.operators.joins import maybe_broadcast
 from idlecost.sources.schemas import require_columns
 from idlecost.sources.tables import local_table
 
@@ -21,25 +20,31 @@ def non_serverless_clusters(
     cluster_events: DataFrame,
     start_date: dt.date,
     end_date: dt.date,
-    create_actions: tuple[str, ...] = ("createCluster", "createClusterFromPool"),
-    id_type: str | None = "long",
+    metric: str,
+    create_actions: tuple[str, ...],
+    id_type: str | None = None,
 ) -> DataFrame:
     """Distinct ids of clusters created in the range whose serverless flag is 'false' or missing.
 
+    ``metric`` and ``create_actions`` are what the lifecycle log calls its rows and the
+    creation of a cluster.  Ids are strings; with ``id_type`` they are cast to it, and
+    ids that don't convert are left out.
+
     Date and metric are plain columns, so both filters reach the scan; the
     action and flag live in the ``tags`` map.
     """
     require_columns(cluster_events, "cluster_events", ["date", "metric", "tags"])
     flag = F.coalesce(F.col("tags").getItem("is_serverless"), F.lit("false"))
     cluster = F.col("tags").getItem("cluster_id")
-    if id_type:
-        cluster = cluster.cast(id_type)
+    if id_type and id_type != "string":
+        cluster = cluster.try_cast(id_type)
     return (
         cluster_events.filter(F.col("date").between(F.lit(start_date), F.lit(end_date)))
-        .filter(F.col("metric") == F.lit("clusterManagerEvent"))
+        .filter(F.col("metric") == F.lit(metric))
         .filter(F.col("tags").getItem("action").isin(*create_actions))
         .filter(flag == F.lit("false"))
         .select(cluster.alias("cluster_id"))
+        .filter(F.col("cluster_id").isNotNull())
         .distinct()
     )
 
@@ -114,7 +119,7 @@ def account_workspaces(workspaces: DataFrame, accounts: DataFrame, check: bool =
 
     ``accounts`` is a top-k result, so it is broadcast: its size is bounded by k.
     """
-    acc = F.broadcast(accounts.select(F.lower(F.col("account_name")).alias("_account")))
+    acc = F.broadcast(accounts.select(F.lower(F.col("account_name")).alias("_account")).distinct())
     ws = workspaces.join(acc, F.lower(workspaces["customer_name"]) == acc["_account"]).select(
         "workspace_id", "customer_name"
     )
@@ -123,36 +128,38 @@ def account_workspaces(workspaces: DataFrame, accounts: DataFrame, check: bool =
     return ws
 
 
-def attributed_statements(intervals: DataFrame, clusters: DataFrame, kept_clusters: DataFrame | None,
-                          broadcast_clusters: bool = False) -> DataFrame:
+def cluster_map(clusters: DataFrame, kept_clusters: DataFrame | None) -> DataFrame:
+    """(cluster_id, endpoint_id) of the analysed warehouses: the customer's, not serverless."""
+    c = clusters.select("cluster_id", "endpoint_id").distinct()
+    if kept_clusters is None:
+        return c
+    kept = kept_clusters.select("cluster_id").join(clusters.select("cluster_id"), "cluster_id", "left_semi")
+    return c.join(kept, "cluster_id", "left_semi")
+
+
+def attributed_statements(intervals: DataFrame, clusters: DataFrame, kept_clusters: DataFrame | None = None) -> DataFrame:
     """Single-customer statements with their endpoint.
 
     ``clusters``: (cluster_id, endpoint_id) of the customer; ``kept_clusters``:
     cluster ids that are not serverless.  The keep-list is an existence test
     (left-semi join), so a cluster created several times does not repeat its
     statements; the (large) lifecycle log is first cut to the customer's
-    clusters.  The statement keeps its own workspace id.  ``broadcast_clusters``
-    (the caller has counted the customer's clusters) broadcasts the cluster
-    list into the statement join, so the statements are not shuffled.
+    clusters.  The statement keeps its own workspace id.  Spark broadcasts the
+    cluster list into the statement join when it is small; a stored one (the plans
+    write it) has a known size, so the statements are then not shuffled.
     """
-    c = clusters.select("cluster_id", "endpoint_id").distinct()
-    if kept_clusters is not None:
-        # same subtree as the caller's workload filter, so the broadcast is built once
-        ids = maybe_broadcast(clusters.select("cluster_id"), broadcast_clusters)
-        kept = kept_clusters.select("cluster_id").join(ids, "cluster_id", "left_semi")
-        c = c.join(maybe_broadcast(kept, broadcast_clusters), "cluster_id", "left_semi")
-    return intervals.join(maybe_broadcast(c, broadcast_clusters), "cluster_id").select(
+    return intervals.join(cluster_map(clusters, kept_clusters), "cluster_id").select(
         "statement_id", "cluster_id", "workspace_id", "endpoint_id", "start_us", "end_us", "duration_s", "fetch_s"
     )
 
 
 def account_clusters(endpoints: DataFrame, accounts_ws: DataFrame) -> DataFrame:
     """(cluster_id, workspace_id, endpoint_id, customer_name) of the selected accounts' warehouses."""
-    return endpoints.select("cluster_id", "workspace_id", "endpoint_id").join(
-        accounts_ws.select("workspace_id", "customer_name"), "workspace_id")
+    return endpoints.select("cluster_id", "workspace_id", "endpoint_id").distinct().join(
+        accounts_ws.select("workspace_id", "customer_name").distinct(), "workspace_id")
 
 
-def attributed_statements_region(intervals: DataFrame, clusters: DataFrame, broadcast_clusters: bool = False) -> DataFrame:
+def attributed_statements_region(intervals: DataFrame, clusters: DataFrame) -> DataFrame:
     """Statements of the selected accounts with endpoint and customer name (C6, region entry).
 
     ``clusters`` is ``account_clusters(...)``: the mapping of the selected
@@ -160,7 +167,7 @@ def attributed_statements_region(intervals: DataFrame, clusters: DataFrame, broa
     """
     m = clusters.select("cluster_id", "workspace_id", "endpoint_id", "customer_name")
     return (
-        intervals.join(maybe_broadcast(m, broadcast_clusters), ["cluster_id", "workspace_id"])
+        intervals.join(m, ["cluster_id", "workspace_id"])
         .select("statement_id", "cluster_id", "workspace_id", "endpoint_id", "customer_name",
                 "start_us", "end_us", "duration_s", "fetch_s")
     )

@@ -17,6 +17,8 @@ from idlecost.functions.time import (
 )
 from idlecost.sources.schemas import require_columns
 
+#: Intervals longer than this (ten years) are taken for wrong input.
+MAX_DAYS = 3660
 INTERVAL_COLUMNS = ["statement_id", "cluster_id", "workspace_id", "date", "start_us", "end_us", "duration_s", "fetch_s"]
 
 
@@ -65,10 +67,15 @@ def day_slices(
     ``start``/``end`` are replaced by the slice bounds and ``date_col`` is set
     to the slice's day.  Slices are half-open, so an interval that ends exactly
     at midnight gets no empty piece on the next day; a zero-length interval
-    keeps one zero-length slice.  Rows without bounds are dropped.  The row
-    count grows by the number of days spanned, which the date range bounds.
+    keeps one zero-length slice.  Rows without bounds are dropped, and rows that end
+    before they start.  The row count grows by the number of days spanned: those of the
+    date range for spans and sessions, and of a run's node hours for runs; an interval
+    of more than ``MAX_DAYS`` days fails with a message.
     ``extra``: more columns computed from the slice bounds (named ``start``/``end``).
     """
+    too_long = F.col(end) - F.col(start) > F.lit(MAX_DAYS * MICROS_PER_DAY)
+    df = df.filter(F.col(end) >= F.col(start)).withColumn(end, F.when(too_long, F.raise_error(
+        F.lit(f"an interval spans more than {MAX_DAYS} days; check its times or node hours")).cast("long")).otherwise(F.col(end)))
     first = day_number(F.col(start))
     last = day_number(F.greatest(F.col(start), F.col(end) - F.lit(1)))
     others = [c for c in df.columns if c not in (start, end, date_col)]

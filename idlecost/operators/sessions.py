@@ -4,29 +4,31 @@ A statement opens a new session when ``start - gap > max(end of every earlier
 statement)`` in start order (strict: a gap of exactly ``gap`` still merges).
 The running maximum is a prefix scan, and a plain ``Window.partitionBy(cluster)
 .orderBy(start)`` would put a whole cluster -- or, for the global scope, every
-statement -- on one task.  Instead the scan runs in two levels:
-
-1. rows are bucketed by ``(partition keys, floor(start / bucket))``; inside each
-   bucket a window computes the maximum end of the earlier rows and the start of
-   the latest *local* opener (a row that opens a session if only its bucket is
-   looked at);
-2. a per-bucket summary (max end, last local opener) -- at most
-   ``keys x (time range / bucket)`` rows, and per key only ``range / bucket`` --
-   gets its own prefix scan: the carry-in (max end of all earlier buckets) and the
-   latest true opener of the earlier buckets;
-3. joined back, a row's session is keyed by the start of its opener: the latest
-   local opener if that one still opens against the carry-in, else the carried one.
-
-True openers of a bucket are a suffix of its local openers (their starts grow,
-so ``start - gap > carry_in`` holds from some point on); that is what makes the
-bucket summary sufficient.  No step gathers a key's rows on one task, and the
-final aggregation is pre-aggregated inside each bucket partition.  The result
-does not depend on the bucket width (tests check this against the plain window).
+statement -- on one task.  Instead the scan runs over cells:
+
+1. statements of one scope whose starts lie in one cell of width ``gap`` always
+   share a session (the later start minus the gap can't exceed the earlier start,
+   hence not its end).  So they are aggregated per (keys, cell) to earliest start,
+   latest end and count first, with partial aggregation before the shuffle: a burst
+   or a hot cluster sends one row a map task and cell;
+2. the cells of a scope -- ``range / gap`` rows a cluster -- get a prefix scan: a
+   cell opens a session when its earliest start minus the gap exceeds the latest end
+   of all earlier cells; its session is the start of the latest opener;
+3. cells of one session are aggregated.
+
+For a time-out below ``bucket`` there are many cells, so the scan itself runs in two
+levels over buckets of cells: inside each bucket a window computes the latest *local*
+opener; a per-bucket summary (max end, last local opener) gets its own prefix scan;
+joined back, a cell's session is its local opener if that one still opens against the
+carry-in, else the carried one.  (True openers of a bucket are a suffix of its local
+openers: their starts grow, so ``start - gap > carry_in`` holds from some point on.)
+Which of the two forms runs depends on the time-out alone; results are the same
+(tests check both against the plain window).  Ends are never before starts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from idlecost.functions.time import MICROS_PER_SECOND, date_of_us, floor_div, floor_to_second
@@ -34,6 +36,41 @@ from idlecost.functions.time import MICROS_PER_SECOND, date_of_us, floor_div, fl
 SESSION_KEY = "_session"
 
 
+def _opens(start: Column, before: Column, gap: Column) -> Column:
+    return before.isNull() | (start - gap > before)
+
+
+def _with_session(cells: DataFrame, part: list[str], gap: Column) -> DataFrame:
+    """``cells`` with their session: one prefix scan over the cells of each scope."""
+    w = (Window.partitionBy(*part) if part else Window).orderBy("_cell")
+    before = F.max("_e").over(w.rangeBetween(Window.unboundedPreceding, -1))
+    start = F.min("_s").over(w.rangeBetween(0, 0))  # of all the cell's rows
+    opener = F.when(_opens(start, before, gap), start)
+    cells = cells.withColumn("_o", opener)
+    return cells.withColumn(SESSION_KEY, F.max("_o").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("_o")
+
+
+def _bucketed_cell_sessions(cells: DataFrame, part: list[str], gap: Column, bucket_us: int) -> DataFrame:
+    """The same in two levels: inside buckets of cells, then over one row a bucket."""
+    bkey = [*part, "_bucket"]
+    rows = cells.withColumn("_bucket", floor_div(F.col("_s"), bucket_us))
+    # Spelled out, so that both uses of ``rows`` stay identical and Spark runs them once.
+    rows = rows.filter(F.col("_bucket").isNotNull())
+    w = Window.partitionBy(*bkey).orderBy("_cell")
+    rows = rows.select("*", F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    local = F.when(_opens(F.col("_s"), F.col("_before"), gap), F.col("_s"))
+    rows = rows.select(*bkey, "_cell", "_e", F.max(local).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_lo"))
+
+    wb = (Window.partitionBy(*part) if part else Window).orderBy("_bucket")
+    earlier = wb.rowsBetween(Window.unboundedPreceding, -1)
+    buckets = rows.groupBy(*bkey).agg(F.max("_e").alias("_bmax"), F.max("_lo").alias("_blo"))
+    buckets = buckets.select(*bkey, "_blo", F.max("_bmax").over(earlier).alias("_cin"))
+    bucket_open = F.when(_opens(F.col("_blo"), F.col("_cin"), gap), F.col("_blo"))
+    carry = buckets.select(*bkey, "_cin", F.max(bucket_open).over(earlier).alias("_copen"))
+    session = F.when(_opens(F.col("_lo"), F.col("_cin"), gap), F.col("_lo")).otherwise(F.col("_copen"))
+    return rows.join(carry, bkey).select(*part, "_cell", session.alias(SESSION_KEY))
+
+
 def merge_sessions(
     df: DataFrame,
     gap_us: int,
@@ -56,44 +93,32 @@ def merge_sessions(
         raise ValueError("gap must be >= 0")
     part = list(partition_by)
     keys = part + [g for g in group_by if g not in part]
-    bkey = part + ["_bucket"]
     gap = F.lit(int(gap_us))
 
-    rows = df.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"),
-                     floor_div(F.col(start), int(bucket_us)).alias("_bucket"))
+    cells = df.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"),
+                      floor_div(F.col(start), max(int(gap_us), 1)).alias("_cell"))
     # Null checks spelled out, including the ones the join below would infer
-    # for one side only, so both uses of ``rows`` stay identical below the
+    # for one side only, so both uses of ``cells`` stay identical below the
     # shuffle and Spark runs the statement branch and its shuffle once.
-    not_null = F.col("_s").isNotNull() & F.col("_e").isNotNull() & F.col("_bucket").isNotNull()
+    not_null = F.col("_s").isNotNull() & F.col("_e").isNotNull() & F.col("_cell").isNotNull()
     for k in part:
         not_null = not_null & F.col(k).isNotNull()
-    rows = rows.filter(not_null)
-    # The extra columns only break ties; they also keep both uses of ``rows``
-    # (bucket summary, join back) identical below the shuffle.
-    extras = [k for k in keys if k not in part]
-    w = Window.partitionBy(*bkey).orderBy("_s", "_e", *extras)
-    rows = rows.select("*", F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev_end"))
-    local_open = F.col("_prev_end").isNull() | (F.col("_s") - gap > F.col("_prev_end"))
-    rows = rows.select(
-        *keys, "_s", "_e", "_bucket",
-        F.max(F.when(local_open, F.col("_s"))).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_lo"),
-    )
-
-    # per-bucket summary and its prefix scan (small: one row per key and bucket)
-    wb = (Window.partitionBy(*part) if part else Window).orderBy("_bucket")
-    earlier = wb.rowsBetween(Window.unboundedPreceding, -1)
-    buckets = rows.groupBy(*bkey).agg(F.max("_e").alias("_bmax"), F.max("_lo").alias("_blo"))
-    buckets = buckets.select(*bkey, "_blo", F.max("_bmax").over(earlier).alias("_cin"))
-    bucket_open = F.when(F.col("_cin").isNull() | (F.col("_blo") - gap > F.col("_cin")), F.col("_blo"))
-    carry = buckets.select(*bkey, "_cin", F.max(bucket_open).over(earlier).alias("_copen"))
-
-    joined = rows.join(carry, on=bkey, how="inner")
-    opens_here = F.col("_cin").isNull() | (F.col("_lo") - gap > F.col("_cin"))
-    session = F.when(opens_here, F.col("_lo")).otherwise(F.col("_copen"))
-    return joined.groupBy(*keys, session.alias(SESSION_KEY)).agg(
+    cells = cells.filter(not_null).groupBy(*keys, "_cell").agg(
+        F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.count(F.lit(1)).alias("_n"))
+    if part and gap_us >= bucket_us:
+        # Few cells a scope: the scan runs over the cells themselves, the statements are read once.
+        cells = _with_session(cells, part, gap)
+    else:
+        scope = cells.groupBy(*part, "_cell").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
+        if gap_us >= bucket_us:
+            sessions = _with_session(scope, part, gap).select(*part, "_cell", SESSION_KEY)
+        else:
+            sessions = _bucketed_cell_sessions(scope, part, gap, int(bucket_us))
+        cells = cells.join(sessions, [*part, "_cell"])
+    return cells.groupBy(*keys, SESSION_KEY).agg(
         F.min("_s").alias("start_us"),
         F.max("_e").alias("end_us"),
-        F.count(F.lit(1)).alias("statements"),
+        F.sum("_n").alias("statements"),
     )
 
 

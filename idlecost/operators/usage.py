@@ -19,14 +19,27 @@ def _keys(df: DataFrame) -> list[str]:
     return [c for c in WAREHOUSE_KEYS if c in df.columns]
 
 
-def _workloads(workloads: DataFrame, end_date: dt.date | None, columns: list[str]) -> DataFrame:
-    require_columns(workloads, "workloads", columns)
-    w = workloads.select(*columns)
-    # Every day joined below is the day of a statement start, which is never
-    # after the statement range's last day: an exact bound that reaches the scan.
+def daily_workloads(workloads: DataFrame, end_date: dt.date | None = None, start_date: dt.date | None = None) -> DataFrame:
+    """The largest node hours, price units and worker count, and any spot use, of each
+    (date, cluster, node types, region): all that the joins with slices and sessions need.
+
+    Every day joined with is the day of a statement start, which is never after
+    ``end_date``, the range's last day, nor before ``start_date``, the first day of the
+    analysed sessions where that is known: exact bounds that reach the scan.
+    """
+    columns = ["date", "cluster_id", "node_hours", "pricing_units", "workers", "is_spot", *NODE_KEYS]
+    have = [c for c in columns if c != "is_spot" or c in workloads.columns]
+    require_columns(workloads, "workloads", have)
+    w = workloads.select(*have)
     if end_date is not None:
         w = w.filter(F.col("date") <= F.lit(end_date))
-    return w
+    if start_date is not None:
+        w = w.filter(F.col("date") >= F.lit(start_date))
+    aggs = [F.max("node_hours").alias("node_hours"), F.max("pricing_units").alias("max_pricing_units"),
+            F.max("workers").alias("max_workers")]
+    if "is_spot" in have:
+        aggs.append(F.bool_or("is_spot").alias("is_spot"))
+    return w.groupBy("date", "cluster_id", *NODE_KEYS).agg(*aggs)
 
 
 def _run_end_us(start_us: str, node_hours: str) -> F.Column:
@@ -34,71 +47,39 @@ def _run_end_us(start_us: str, node_hours: str) -> F.Column:
     return floor_to_second(start_us) + seconds_to_us(F.col(node_hours) * F.lit(3600))
 
 
-def always_on_daily(spans: DataFrame, workloads: DataFrame, end_date: dt.date | None = None) -> DataFrame:
+def always_on_daily(spans: DataFrame, daily: DataFrame) -> DataFrame:
     """Always-on usage per day, single-customer form.
 
-    The warehouse's active span is cut at midnights; each day slice meets that
-    day's workload rows of its cluster; a row's machines run from the slice
-    start for its node hours.  Per day, warehouse and node/region combination the
-    latest run end, the largest price units and worker count are kept, and the
-    run is cut at midnights again: its hours are whole seconds between the
-    slice bounds.  ``is_spot`` is true if any row of the group ran on spot.
+    The warehouse's active span (one row a warehouse) is cut at midnights; each day
+    slice meets its cluster's ``daily_workloads`` of that day; the machines run from
+    the slice start for the largest node hours (the run end grows with them), and the
+    run is cut at midnights again: its hours are whole seconds between the slice
+    bounds.  ``is_spot`` is true if any row of the group ran on spot.
     """
-    keys = _keys(spans)
-    slices = day_slices(spans)
-    wl = _workloads(workloads, end_date, ["date", "cluster_id", "node_hours", "pricing_units", "workers",
-                                          "is_spot", *NODE_KEYS])
-    daily = (
-        slices.join(wl, ["date", "cluster_id"])
-        .groupBy("date", *keys, *NODE_KEYS)
-        .agg(
-            F.max("start_us").alias("start_us"),
-            F.max(_run_end_us("start_us", "node_hours")).alias("end_us"),
-            F.max("pricing_units").alias("max_pricing_units"),
-            F.max("workers").alias("max_workers"),
-            F.bool_or("is_spot").alias("is_spot"),
-        )
-    )
-    return day_slices(daily, extra={"node_hours": hours_between("start_us", "end_us")})
-
-
-def always_on_daily_region(spans: DataFrame, workloads: DataFrame, end_date: dt.date | None = None) -> DataFrame:
+    runs = day_slices(spans).join(daily, ["date", "cluster_id"]).select(
+        "date", *_keys(spans), *NODE_KEYS, "start_us", _run_end_us("start_us", "node_hours").alias("end_us"),
+        "max_pricing_units", "max_workers", "is_spot")
+    return day_slices(runs, extra={"node_hours": hours_between("start_us", "end_us")})
+
+
+def always_on_daily_region(spans: DataFrame, daily: DataFrame) -> DataFrame:
     """Always-on usage per day, per-region form (C10): hours are the day's largest node hours."""
-    keys = _keys(spans)
-    slices = day_slices(spans)
-    wl = _workloads(workloads, end_date, ["date", "cluster_id", "node_hours", "pricing_units", "workers", *NODE_KEYS])
-    return (
-        slices.join(wl, ["date", "cluster_id"])
-        .groupBy("date", *keys, *NODE_KEYS)
-        .agg(
-            F.max("start_us").alias("start_us"),
-            F.max("end_us").alias("end_us"),
-            F.max(_run_end_us("start_us", "node_hours")).alias("run_end_us"),
-            F.max("node_hours").alias("node_hours"),
-            F.max("pricing_units").alias("max_pricing_units"),
-            F.max("workers").alias("max_workers"),
-        )
-    )
-
-
-def on_demand_usage(sessions: DataFrame, workloads: DataFrame, end_date: dt.date | None = None) -> DataFrame:
+    return day_slices(spans).join(daily, ["date", "cluster_id"]).select(
+        "date", *_keys(spans), *NODE_KEYS, "start_us", "end_us", _run_end_us("start_us", "node_hours").alias("run_end_us"),
+        "node_hours", "max_pricing_units", "max_workers")
+
+
+def on_demand_usage(sessions: DataFrame, daily: DataFrame) -> DataFrame:
     """On-demand DBUs of each session.
 
-    A session meets the workload rows of its cluster on the day it starts; per
+    A session meets the ``daily_workloads`` of its cluster on the day it starts; per
     region the largest price units and worker count give the DBU rate, charged
     for the whole seconds from session start to its auto-stop.
     """
-    keys = _keys(sessions)
-    wl = _workloads(workloads, end_date, ["date", "cluster_id", "pricing_units", "workers", "region"])
-    usage = (
-        sessions.join(wl, ["date", "cluster_id"])
-        .groupBy("date", *keys, "region", "start_us")
-        .agg(
-            F.max("end_autostop_us").alias("end_autostop_us"),
-            F.max("pricing_units").alias("max_pricing_units"),
-            F.max("workers").alias("max_workers"),
-        )
-    )
+    rates = daily.groupBy("date", "cluster_id", "region").agg(
+        F.max("max_pricing_units").alias("max_pricing_units"), F.max("max_workers").alias("max_workers"))
+    usage = sessions.join(rates, ["date", "cluster_id"]).select(
+        "date", *_keys(sessions), "region", "start_us", "end_autostop_us", "max_pricing_units", "max_workers")
     seconds = ((floor_to_second("end_autostop_us") - floor_to_second("start_us")) / F.lit(MICROS_PER_SECOND)).cast("long")
     rate = (F.col("max_pricing_units") + F.col("max_workers") * F.lit(2)) / F.lit(3600)
     return usage.select("*", (rate * seconds).alias("dbus"))

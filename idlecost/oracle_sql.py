@@ -20,10 +20,15 @@ from idlecost.sources import price_book as pb
 DAY = 86_400_000_000
 SEC = 1_000_000
 
-# Parameters of the registered queries (FIXTURES.md defaults).
-CUSTOMER_PARAMS = TcoParams()
-REGION_PARAMS = TcoParams(only_finished=False)
-GLOBAL_SESSION_AUTO_STOP_S = 60
+# Parameters of the registered queries (FIXTURES.md).
+CUSTOMER_PARAMS, REGION_PARAMS = fx.CUSTOMER_PARAMS, fx.REGION_PARAMS
+GLOBAL_SESSION_AUTO_STOP_S = fx.GLOBAL_SESSION_AUTO_STOP_S
+
+# The user an event counts for, and its warehouse (integer division keeps the map functional).
+USER = f"CASE WHEN event_id % {fx.HOT_EVERY} = 0 THEN 0 ELSE user_id END"
+CLUSTER = f"({USER}) // {fx.USERS_PER_CLUSTER}"
+ENDPOINT = f"({USER}) // {fx.USERS_PER_ENDPOINT}"
+WORKSPACE = f"({USER}) // {fx.USERS_PER_WORKSPACE}"
 
 
 def _d(value) -> str:
@@ -121,26 +126,25 @@ def _ctes() -> dict[str, str]:
     regions = _case("user_id % 13", fx.FIXTURE_REGIONS)
     # -- logical inputs (FIXTURES.md) ---------------------------------------
     c["statements"] = f"""
-    SELECT event_id AS statement_id, user_id % {fx.CLUSTERS} AS cluster_id, user_id % {fx.WORKSPACES} AS workspace_id,
+    SELECT event_id AS statement_id, {CLUSTER} AS cluster_id, {WORKSPACE} AS workspace_id,
            CAST(ts AS DATE) AS date, ts AS ended_at, value AS duration_s,
            CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) END AS fetch_s,
            CASE WHEN event_type = 'error' THEN 'error' ELSE 'finish' END AS status
     FROM events"""
     c["endpoints"] = f"""
-    SELECT DISTINCT user_id % {fx.CLUSTERS} AS cluster_id, user_id % {fx.ENDPOINTS} AS endpoint_id,
-           user_id % {fx.WORKSPACES} AS workspace_id FROM events"""
+    SELECT DISTINCT {CLUSTER} AS cluster_id, {ENDPOINT} AS endpoint_id, {WORKSPACE} AS workspace_id FROM events"""
     c["cluster_events"] = f"""
     SELECT user_id, CAST(DATE '2024-01-01' + CAST(user_id % 31 AS INTEGER) AS DATE) AS date,
-           'clusterManagerEvent' AS metric,
-           CASE WHEN user_id % 5 = 4 THEN 'resizeCluster' WHEN user_id % 2 = 0 THEN 'createCluster'
-                ELSE 'createClusterFromPool' END AS action,
-           CAST(user_id % {fx.CLUSTERS} AS VARCHAR) AS tag_cluster_id,
-           CASE WHEN user_id % {fx.CLUSTERS} IN (7, 14) THEN 'true' WHEN user_id % 3 = 0 THEN NULL
+           {_s(fx.LIFECYCLE_METRIC)} AS metric,
+           CASE WHEN user_id % 5 = 4 THEN 'resize' WHEN user_id % 2 = 0 THEN {_s(fx.CREATE_ACTIONS[0])}
+                ELSE {_s(fx.CREATE_ACTIONS[1])} END AS action,
+           CAST(user_id // {fx.USERS_PER_CLUSTER} AS VARCHAR) AS tag_cluster_id,
+           CASE WHEN user_id // {fx.USERS_PER_CLUSTER} % 12 = 7 THEN 'true' WHEN user_id % 3 = 0 THEN NULL
                 ELSE 'false' END AS is_serverless
     FROM (SELECT DISTINCT user_id FROM events) AS u"""
-    c["workspaces"] = f"""
+    c["workspaces"] = """
     SELECT c_custkey AS workspace_id, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS customer_name
-    FROM customer WHERE c_custkey < {fx.WORKSPACES}"""
+    FROM customer"""
     c["billing"] = f"""
     SELECT CAST(o.o_orderdate AS DATE) AS date, lower(a.c_name) AS account_name, rg.r_name AS sales_region,
            CASE WHEN o.o_orderpriority IN ({_in(fx.SQL_PRIORITIES)}) THEN 'PREMIUM_SQL_COMPUTE'
@@ -148,9 +152,9 @@ def _ctes() -> dict[str, str]:
            o.o_totalprice AS dbus
     FROM orders o JOIN customer cu ON o.o_custkey = cu.c_custkey
     JOIN nation n ON cu.c_nationkey = n.n_nationkey JOIN region rg ON n.n_regionkey = rg.r_regionkey
-    JOIN customer a ON a.c_custkey = o.o_custkey % {fx.WORKSPACES}"""
+    JOIN customer a ON a.c_custkey = o.o_custkey // {fx.CUSTOMERS_PER_ACCOUNT}"""
     c["workloads"] = f"""
-    SELECT CAST(ts AS DATE) AS date, user_id % {fx.CLUSTERS} AS cluster_id, value / 5 AS node_hours,
+    SELECT CAST(ts AS DATE) AS date, {CLUSTER} AS cluster_id, value / 5 AS node_hours,
            1 + event_id % 16 AS pricing_units,
            CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 5 END AS workers,
            user_id % 3 = 0 AS is_spot, {regions} AS region,
@@ -188,7 +192,7 @@ def _ctes() -> dict[str, str]:
     # -- C2, C3, C6 single customer -----------------------------------------
     c["kept_clusters"] = f"""
     SELECT DISTINCT CAST(tag_cluster_id AS BIGINT) AS cluster_id FROM cluster_events
-    WHERE date BETWEEN {_d(m.start_date)} AND {_d(m.end_date)} AND metric = 'clusterManagerEvent'
+    WHERE date BETWEEN {_d(m.start_date)} AND {_d(m.end_date)} AND metric = {_s(m.lifecycle_metric)}
       AND action IN ({_in(m.create_actions)}) AND COALESCE(is_serverless, 'false') = 'false'"""
     c["cust_clusters"] = f"""
     SELECT w.workspace_id, e.cluster_id, e.endpoint_id
@@ -258,7 +262,9 @@ def _ctes() -> dict[str, str]:
     # -- C8, C13, C14 on-demand -----------------------------------------------
     c["sessions_m"] = _sessions("att_m", m.auto_stop_s, m.session_scope, wkeys)
     c["sessions_r"] = _sessions("att_r", r.auto_stop_s, r.session_scope, wkeys + ", customer_name")
-    for tag, keys in (("m", wkeys), ("r", wkeys + ", customer_name")):
+    c["sessions_mg"] = _sessions("att_m", GLOBAL_SESSION_AUTO_STOP_S, "global", wkeys)
+    c["sessions_rg"] = _sessions("att_r", GLOBAL_SESSION_AUTO_STOP_S, "global", wkeys + ", customer_name")
+    for tag, keys in (("m", wkeys), ("r", wkeys + ", customer_name"), ("mg", wkeys), ("rg", wkeys + ", customer_name")):
         sk2 = ", ".join(f"s.{k.strip()}" for k in keys.split(","))
         secs = f"({_floor_s('end_autostop_us')} - {_floor_s('start_us')}) // {SEC}"
         c[f"od_usage_{tag}"] = f"""
@@ -279,12 +285,24 @@ def _ctes() -> dict[str, str]:
            {_sum_exact('vm_usd')} AS vm_usd FROM ao_costs_r GROUP BY customer_name"""
     c["od_by_cust"] = f"""
     SELECT customer_name, {_sum_exact('on_demand_usd')} AS on_demand_usd FROM od_costs_r GROUP BY customer_name"""
+    c["od_by_cust_global"] = f"""
+    SELECT customer_name, {_sum_exact('on_demand_usd')} AS on_demand_usd FROM od_costs_rg GROUP BY customer_name"""
     return c
 
 
 _DATE_CAST = "CAST(date AS VARCHAR) AS date"
 
 
+def _comparison(on_demand: str) -> str:
+    return f"""
+            SELECT o.customer_name, o.on_demand_usd, a.always_on_usd, a.dbu_usd, a.vm_usd,
+                   o.on_demand_usd - a.dbu_usd AS team_variation_usd,
+                   o.on_demand_usd - a.always_on_usd AS variation_usd,
+                   CASE WHEN a.always_on_usd <> 0 THEN (o.on_demand_usd - a.always_on_usd) / a.always_on_usd * 100
+                   END AS variation_pct
+            FROM {on_demand} o JOIN ao_by_cust a ON o.customer_name = a.customer_name"""
+
+
 def _queries() -> dict[str, str]:
     se = _sum_exact
     slice_cols = "cluster_id, endpoint_id, workspace_id"
@@ -334,13 +352,10 @@ def _queries() -> dict[str, str]:
                                          CAST(NULL AS DOUBLE) AS n FROM ao_costs_m
                                   UNION ALL
                                   SELECT NULL, NULL, NULL, NULL, on_demand_usd FROM od_costs_m) AS u""",
-        "cost_comparison": """
-            SELECT o.customer_name, o.on_demand_usd, a.always_on_usd, a.dbu_usd, a.vm_usd,
-                   o.on_demand_usd - a.dbu_usd AS team_variation_usd,
-                   o.on_demand_usd - a.always_on_usd AS variation_usd,
-                   CASE WHEN a.always_on_usd <> 0 THEN (o.on_demand_usd - a.always_on_usd) / a.always_on_usd * 100
-                   END AS variation_pct
-            FROM od_by_cust o JOIN ao_by_cust a ON o.customer_name = a.customer_name""",
+        "cost_comparison": _comparison("od_by_cust"),
+        "cost_comparison_global": _comparison("od_by_cust_global"),
+        "on_demand_usage_global": f"""SELECT {_DATE_CAST}, cluster_id, endpoint_id, workspace_id, region, start_us,
+                                      end_autostop_us, max_pricing_units, max_workers, dbus FROM od_usage_mg""",
         "cost_comparison_daily": f"""
             SELECT {_DATE_CAST}, cluster_id, always_on_usd, always_on_dbu_usd, always_on_vm_usd, on_demand_dbus,
                    on_demand_usd, on_demand_usd - always_on_usd AS variation_usd

@@ -1,28 +1,30 @@
 """Single-customer analysis, broken down by endpoint (the first notebook, re-expressed).
 
-Every attribute is a lazy DataFrame; building one runs nothing except the
-customer-name guard.  ``write`` materialises the shared statements once into
-the shared checkpoint folder and writes every report.
+Attributes are lazy DataFrames, but for the map of the analysed clusters, a small
+table that is written to the shared folder when first needed (its emptiness is the
+guard).  ``plans.write_reports`` writes every report.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from idlecost import operators as op
 from idlecost.config import TcoParams
+from idlecost.session import check_session, stored
 from idlecost.sources.tables import Inputs
 
 
 class CustomerAnalysis:
-    def __init__(self, inputs: Inputs, params: TcoParams = TcoParams(), check: bool = True):
+    def __init__(self, inputs: Inputs, params: TcoParams, check: bool = True):
+        check_session(inputs.statements.sparkSession)
+        params.require("customer_name", "lifecycle_metric", "create_actions")
         self.inputs = inputs
         self.params = params
         self.check = check
-        self._statements: DataFrame | None = None
 
     # -- preparation ---------------------------------------------------------
     @cached_property
@@ -35,45 +37,33 @@ class CustomerAnalysis:
         p = self.params
         id_type = self.inputs.endpoints.schema["cluster_id"].dataType.simpleString()
         return op.non_serverless_clusters(self.inputs.cluster_events, p.start_date, p.end_date,
-                                          p.create_actions, id_type)
+                                          p.lifecycle_metric, p.create_actions, id_type)
 
     @cached_property
     def customer_clusters(self) -> DataFrame:
-        """The customer's (workspace, cluster, endpoint) rows.
+        """The customer's (workspace, cluster, endpoint) rows."""
+        return op.customer_clusters(self.inputs.workspaces, self.inputs.endpoints, self.params.customer_name, check=False)
 
-        One bounded counting job sizes them (it decides the broadcast below) and
-        doubles as the guard: with no row, an unknown customer name raises.
+    @cached_property
+    def analysed_clusters(self) -> DataFrame:
+        """(cluster, endpoint) of the analysis, stored, so that the planner knows its size.
+
+        An empty one tells an unknown customer name, which raises.
         """
-        p = self.params
-        cc = op.customer_clusters(self.inputs.workspaces, self.inputs.endpoints, p.customer_name, check=False)
-        n = op.count_at_most(cc, p.broadcast_max_rows)
-        if n == 0 and self.check:
-            op.customer_workspaces(self.inputs.workspaces, p.customer_name, check=True)
-        self._clusters_small = n <= p.broadcast_max_rows
-        return cc
-
-    @property
+        clusters = stored(op.cluster_map(self.customer_clusters, self.non_serverless_clusters), "clusters")
+        if self.check and clusters.isEmpty():
+            op.customer_workspaces(self.inputs.workspaces, self.params.customer_name, check=True)
+        return clusters
+
+    @cached_property
     def statements(self) -> DataFrame:
         """Attributed statements (the shared input of both cost branches)."""
-        if self._statements is None:
-            clusters = self.customer_clusters
-            self._statements = op.attributed_statements(self.intervals, clusters, self.non_serverless_clusters,
-                                                        broadcast_clusters=self._clusters_small)
-        return self._statements
-
-    def use_statements(self, df: DataFrame) -> None:
-        """Replace the attributed statements by a materialised copy of them."""
-        self._statements = df
+        return op.attributed_statements(self.intervals, self.analysed_clusters)
 
-    @cached_property
-    def workloads(self) -> DataFrame:
-        """Workload rows of the customer's clusters: a broadcast left-semi join (a filter in
-        the scan stage, no shuffle) when the counted cluster map is small."""
-        clusters = self.customer_clusters
-        if not self._clusters_small:
-            return self.inputs.workloads
-        ids = F.broadcast(clusters.select("cluster_id"))
-        return self.inputs.workloads.join(ids, "cluster_id", "left_semi")
+    def daily_workloads(self, start_date: dt.date | None = None) -> DataFrame:
+        """Daily workloads of the analysed clusters (from ``start_date`` where it is known)."""
+        ids = self.analysed_clusters.select("cluster_id")
+        return op.daily_workloads(self.inputs.workloads.join(ids, "cluster_id", "left_semi"), self.params.end_date, start_date)
 
     # -- always-on -----------------------------------------------------------
     @cached_property
@@ -82,7 +72,7 @@ class CustomerAnalysis:
 
     @cached_property
     def always_on_daily(self) -> DataFrame:
-        return op.always_on_daily(self.active_span, self.workloads, self.params.end_date)
+        return op.always_on_daily(self.active_span, self.daily_workloads())
 
     @cached_property
     def always_on_dbu(self) -> DataFrame:
@@ -92,16 +82,14 @@ class CustomerAnalysis:
     def always_on_costs(self) -> DataFrame:
         return op.vm_cost(self.always_on_dbu, self.params.vm_discount_pct)
 
-    @cached_property
-    def _always_on_costs_shared(self) -> DataFrame:
+    def always_on_costs_of(self, sessions: DataFrame, start_date: dt.date | None = None) -> DataFrame:
         """The same rows as ``always_on_costs``, with each warehouse's span taken over its
-        sessions (sessions partition its statements, so min start and max end agree).
-        Reports that need both cost branches then read the statement log once."""
-        keys = [c for c in ("cluster_id", "endpoint_id", "workspace_id") if c in self.statements.columns]
-        spans = op.active_span(self.sessions.select(*keys, "start_us", "end_us"), keys)
-        p = self.params
-        daily = op.always_on_daily(spans, self.workloads, p.end_date)
-        return op.vm_cost(op.dbu_cost_always_on(daily, p.cost_per_dbu_always_on), p.vm_discount_pct)
+        sessions (they partition its statements, so min start and max end agree): reports
+        that need both cost branches then read the statement log once."""
+        keys = [c for c in ("cluster_id", "endpoint_id", "workspace_id") if c in sessions.columns]
+        spans = op.active_span(sessions.select(*keys, "start_us", "end_us"), keys)
+        daily = op.always_on_daily(spans, self.daily_workloads(start_date))
+        return op.vm_cost(op.dbu_cost_always_on(daily, self.params.cost_per_dbu_always_on), self.params.vm_discount_pct)
 
     # -- on-demand -----------------------------------------------------------
     @cached_property
@@ -111,12 +99,16 @@ class CustomerAnalysis:
 
     @cached_property
     def on_demand_usage(self) -> DataFrame:
-        return op.on_demand_usage(self.sessions, self.workloads, self.params.end_date)
+        return op.on_demand_usage(self.sessions, self.daily_workloads())
 
     @cached_property
     def on_demand_costs(self) -> DataFrame:
+        return self.on_demand_costs_of(self.sessions)
+
+    def on_demand_costs_of(self, sessions: DataFrame, start_date: dt.date | None = None) -> DataFrame:
         p = self.params
-        return op.dbu_cost_on_demand(self.on_demand_usage, p.on_demand_discount_pct, p.default_on_demand_price)
+        usage = op.on_demand_usage(sessions, self.daily_workloads(start_date))
+        return op.dbu_cost_on_demand(usage, p.on_demand_discount_pct, p.default_on_demand_price)
 
     # -- reports -------------------------------------------------------------
     def always_on_by_endpoint(self, sort: bool = True) -> DataFrame:
@@ -126,28 +118,32 @@ class CustomerAnalysis:
         return op.on_demand_by_endpoint(self.on_demand_costs, sort)
 
     def grand_totals(self) -> DataFrame:
-        return op.grand_totals(self._always_on_costs_shared, self.on_demand_costs)
+        return op.grand_totals(self.always_on_costs_of(self.sessions), self.on_demand_costs)
 
     def cost_comparison_daily(self) -> DataFrame:
-        return op.cost_comparison_daily(self._always_on_costs_shared, self.on_demand_costs)
+        return op.cost_comparison_daily(self.always_on_costs_of(self.sessions), self.on_demand_costs)
 
     def timeline_sessions(self) -> DataFrame:
         """Per-day bars of on-demand sessions including their auto-stop tail."""
-        return op.timeline_segments(self.sessions, "start_us", "end_autostop_us", ["endpoint_id", "cluster_id"])
+        return _bars(self.sessions, "end_autostop_us")
 
     def timeline_statements(self) -> DataFrame:
-        return op.timeline_segments(self.statements, "start_us", "end_us", ["endpoint_id", "cluster_id"])
+        return _bars(self.statements, "end_us")
 
     def timeline_always_on(self) -> DataFrame:
-        return op.timeline_segments(self.always_on_costs, "start_us", "end_us", ["endpoint_id", "cluster_id"])
+        return _bars(self.always_on_costs, "end_us")
 
-    def reports(self) -> dict[str, DataFrame]:
+    def totals(self, sessions: DataFrame, always_on: DataFrame, on_demand: DataFrame) -> dict[str, DataFrame]:
+        """Every further report, from the written sessions and costs."""
         return {
-            "always_on_costs": self._always_on_costs_shared,
-            "on_demand_costs": self.on_demand_costs,
-            "always_on_by_endpoint": op.always_on_by_endpoint(self._always_on_costs_shared, sort=False),
-            "on_demand_by_endpoint": self.on_demand_by_endpoint(sort=False),
-            "grand_totals": self.grand_totals(),
-            "cost_comparison_daily": self.cost_comparison_daily(),
-            "timeline_sessions": self.timeline_sessions(),
+            "always_on_by_endpoint": op.always_on_by_endpoint(always_on, sort=False),
+            "on_demand_by_endpoint": op.on_demand_by_endpoint(on_demand, sort=False),
+            "grand_totals": op.grand_totals(always_on, on_demand),
+            "cost_comparison_daily": op.cost_comparison_daily(always_on, on_demand),
+            "timeline_sessions": _bars(sessions, "end_autostop_us"),
+            "timeline_always_on": _bars(always_on, "end_us"),
         }
+
+
+def _bars(df: DataFrame, end: str) -> DataFrame:
+    return op.timeline_segments(df, "start_us", end, ["endpoint_id", "cluster_id"])

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from idlecost import operators as op
 from idlecost.config import TcoParams
+from idlecost.session import check_session, stored
 from idlecost.sources.tables import Inputs
 
+KEYS = ("cluster_id", "endpoint_id", "workspace_id", "customer_name")
+
 
 class RegionAnalysis:
-    def __init__(self, inputs: Inputs, params: TcoParams = TcoParams(only_finished=False), check: bool = True):
+    def __init__(self, inputs: Inputs, params: TcoParams, check: bool = True):
+        check_session(inputs.statements.sparkSession)
+        params.require("sales_region")
         self.inputs = inputs
         self.params = params
         self.check = check
-        self._statements: DataFrame | None = None
 
     @cached_property
     def intervals(self) -> DataFrame:
@@ -42,30 +46,17 @@ class RegionAnalysis:
 
     @cached_property
     def account_clusters(self) -> DataFrame:
-        """Mapping rows of the selected accounts, sized by one bounded counting job."""
-        m = op.account_clusters(self.inputs.endpoints, self.account_workspaces)
-        self._clusters_small = op.count_at_most(m, self.params.broadcast_max_rows) <= self.params.broadcast_max_rows
-        return m
+        """Mapping rows of the selected accounts, stored, so that the planner knows their size."""
+        return stored(op.account_clusters(self.inputs.endpoints, self.account_workspaces), "account-clusters")
 
     @cached_property
-    def workloads(self) -> DataFrame:
-        """Workload rows of the selected accounts' clusters (broadcast left-semi join when the
-        counted cluster map is small)."""
-        clusters = self.account_clusters
-        if not self._clusters_small:
-            return self.inputs.workloads
-        return self.inputs.workloads.join(F.broadcast(clusters.select("cluster_id")), "cluster_id", "left_semi")
-
-    @property
     def statements(self) -> DataFrame:
-        if self._statements is None:
-            clusters = self.account_clusters
-            self._statements = op.attributed_statements_region(self.intervals, clusters,
-                                                               broadcast_clusters=self._clusters_small)
-        return self._statements
+        return op.attributed_statements_region(self.intervals, self.account_clusters)
 
-    def use_statements(self, df: DataFrame) -> None:
-        self._statements = df
+    def daily_workloads(self, start_date: dt.date | None = None) -> DataFrame:
+        """Daily workloads of the selected accounts' clusters (from ``start_date`` where it is known)."""
+        ids = self.account_clusters.select("cluster_id")
+        return op.daily_workloads(self.inputs.workloads.join(ids, "cluster_id", "left_semi"), self.params.end_date, start_date)
 
     @cached_property
     def active_span(self) -> DataFrame:
@@ -73,24 +64,22 @@ class RegionAnalysis:
 
     @cached_property
     def always_on_daily(self) -> DataFrame:
-        return op.always_on_daily_region(self.active_span, self.workloads, self.params.end_date)
+        return op.always_on_daily_region(self.active_span, self.daily_workloads())
 
     @cached_property
     def always_on_costs(self) -> DataFrame:
+        return self._priced(self.always_on_daily)
+
+    def _priced(self, daily: DataFrame) -> DataFrame:
         p = self.params
-        return op.vm_cost_region(op.dbu_cost_always_on(self.always_on_daily, p.cost_per_dbu_always_on),
-                                 p.vm_discount_pct)
+        return op.vm_cost_region(op.dbu_cost_always_on(daily, p.cost_per_dbu_always_on), p.vm_discount_pct)
 
-    @cached_property
-    def _always_on_costs_shared(self) -> DataFrame:
+    def always_on_costs_of(self, sessions: DataFrame, start_date: dt.date | None = None) -> DataFrame:
         """The same rows as ``always_on_costs``, spans taken over the sessions (one pass
         over the statement log for reports that need both cost branches)."""
-        keys = [c for c in ("cluster_id", "endpoint_id", "workspace_id", "customer_name")
-                if c in self.statements.columns]
-        spans = op.active_span(self.sessions.select(*keys, "start_us", "end_us"), keys)
-        p = self.params
-        daily = op.always_on_daily_region(spans, self.workloads, p.end_date)
-        return op.vm_cost_region(op.dbu_cost_always_on(daily, p.cost_per_dbu_always_on), p.vm_discount_pct)
+        keys = [c for c in KEYS if c in sessions.columns]
+        spans = op.active_span(sessions.select(*keys, "start_us", "end_us"), keys)
+        return self._priced(op.always_on_daily_region(spans, self.daily_workloads(start_date)))
 
     @cached_property
     def sessions(self) -> DataFrame:
@@ -99,32 +88,29 @@ class RegionAnalysis:
 
     @cached_property
     def on_demand_costs(self) -> DataFrame:
+        return self.on_demand_costs_of(self.sessions)
+
+    def on_demand_costs_of(self, sessions: DataFrame, start_date: dt.date | None = None) -> DataFrame:
         p = self.params
-        usage = op.on_demand_usage(self.sessions, self.workloads, p.end_date)
+        usage = op.on_demand_usage(sessions, self.daily_workloads(start_date))
         return op.dbu_cost_on_demand(usage, p.on_demand_discount_pct, p.default_on_demand_price)
 
-    @property
-    def _max_customers(self) -> int:
-        # customer rows are the distinct names of the workspaces of at most
-        # ``top_accounts`` accounts (one canonical name per account): a report
-        # this small is sorted in one partition
-        return self.params.top_accounts
-
     def always_on_by_customer(self, sort: bool = True) -> DataFrame:
-        return op.always_on_by_customer(self.always_on_costs, sort, self._max_customers)
+        return op.always_on_by_customer(self.always_on_costs, sort)
 
     def on_demand_by_customer(self, sort: bool = True) -> DataFrame:
-        return op.on_demand_by_customer(self.on_demand_costs, sort, self._max_customers)
+        return op.on_demand_by_customer(self.on_demand_costs, sort)
 
     def cost_comparison(self) -> DataFrame:
-        always_on = op.always_on_by_customer(self._always_on_costs_shared, sort=False)
+        always_on = op.always_on_by_customer(self.always_on_costs_of(self.sessions), sort=False)
         return op.cost_comparison(self.on_demand_by_customer(sort=False), always_on)
 
-    def reports(self) -> dict[str, DataFrame]:
+    def totals(self, sessions: DataFrame, always_on: DataFrame, on_demand: DataFrame) -> dict[str, DataFrame]:
+        """Every further report, from the written sessions and costs."""
+        by_always_on = op.always_on_by_customer(always_on, sort=False)
+        by_on_demand = op.on_demand_by_customer(on_demand, sort=False)
         return {
-            "always_on_costs": self._always_on_costs_shared,
-            "on_demand_costs": self.on_demand_costs,
-            "always_on_by_customer": op.always_on_by_customer(self._always_on_costs_shared, sort=False),
-            "on_demand_by_customer": self.on_demand_by_customer(sort=False),
-            "cost_comparison": self.cost_comparison(),
+            "always_on_by_customer": by_always_on,
+            "on_demand_by_customer": by_on_demand,
+            "cost_comparison": op.cost_comparison(by_on_demand, by_always_on),
         }

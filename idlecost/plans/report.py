@@ -1,25 +1,33 @@
 """Run an analysis end to end and write its reports (the sink).
 
-The attributed statements feed both cost branches; they are cut from their
-lineage once (``checkpoint`` into the cluster's shared ``spark.checkpoint.dir``)
-so that each branch, and any retry after a lost executor, starts from the
-materialised copy instead of rescanning the statement log.
+The sessions are written first, which is the run's only pass over the statement log;
+both cost tables come from the written sessions, and all totals from the written cost
+tables.  The first day of the sessions bounds the workloads scan from below.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from idlecost.plans.customer import CustomerAnalysis
 from idlecost.plans.region import RegionAnalysis
-from idlecost.session import cut_lineage
 
 
 def write_reports(analysis: CustomerAnalysis | RegionAnalysis, out_dir: str, fmt: str = "parquet",
-                  mode: str = "overwrite", materialise: bool = True) -> dict[str, str]:
-    if materialise:
-        analysis.use_statements(cut_lineage(analysis.statements))
-    written = {}
-    for name, df in analysis.reports().items():
-        path = f"{out_dir.rstrip('/')}/{name}"
+                  mode: str = "overwrite") -> dict[str, str]:
+    """Write every report below ``out_dir`` and return their paths by name."""
+    written: dict[str, str] = {}
+
+    def put(name: str, df: DataFrame) -> DataFrame:
+        path = written[name] = f"{out_dir.rstrip('/')}/{name}"
         df.write.mode(mode).format(fmt).save(path)
-        written[name] = path
+        return df.sparkSession.read.format(fmt).schema(df.schema).load(path)
+
+    sessions = put("sessions", analysis.sessions)
+    first_day = sessions.agg(F.min("date")).first()[0]
+    always_on = put("always_on_costs", analysis.always_on_costs_of(sessions, first_day))
+    on_demand = put("on_demand_costs", analysis.on_demand_costs_of(sessions, first_day))
+    for name, df in analysis.totals(sessions, always_on, on_demand).items():
+        put(name, df)
     return written

@@ -1,4 +1,4 @@
-"""Spark session settings the operators rely on, and lineage cutting.
+"""Spark session settings the operators rely on, and tables in the shared folder.
 
 All day arithmetic is done on UTC epoch microseconds; the session time zone is
 pinned to UTC so that ``timestamp_ntz`` inputs convert without a shift.
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +31,7 @@ SESSION_CONF = {
 def scale_conf(statement_bytes: int, executors_cores: int, target_partition_bytes: int = 128 * 1024 ** 2) -> dict[str, str]:
     """Settings for a cluster run, from the size of the statement log in the date range.
 
-    The widest shuffle is the statements by (cluster, minute); it gets about
+    The widest shuffle is the session cells by (cluster, cell); it gets about
     ``target_partition_bytes`` per partition, and never fewer partitions than
     cores.  AQE coalesces small shuffles down from this and splits skewed join
     partitions; scans split files at the same size.
@@ -58,7 +59,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark, local_fallback=True)
     return spark
 
 
@@ -69,30 +69,27 @@ def check_session(spark: SparkSession) -> None:
         raise ValueError(f"spark.sql.session.timeZone must be UTC, not {tz!r}")
 
 
-def ensure_checkpoint_dir(spark: SparkSession, local_fallback: bool = False) -> str | None:
-    """Use the cluster's ``spark.checkpoint.dir``; only a local test session gets its own."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, ``spark.checkpoint.dir``.
+
+    Only a local session without that setting (tests, the bench) gets one of its own.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
-        sc.setCheckpointDir(configured)
         return configured
-    if local_fallback and sc.master.startswith("local"):
-        path = tempfile.mkdtemp(prefix="idlecost-ckpt-")
-        sc.setCheckpointDir(path)
-        return path
-    return None
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="idlecost-shared-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the shared checkpoint folder and return the re-read frame.
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a small intermediate as a table in the shared folder and read it back.
 
-    Used where one intermediate feeds several outputs: a lost executor then
-    re-reads the checkpoint instead of re-running the whole lineage.
+    Its size is then known to the planner, which broadcasts it where it is below the
+    session's threshold and joins it otherwise, and a lost executor reads it again.
     """
     spark = df.sparkSession
-    if ensure_checkpoint_dir(spark) is None:
-        raise RuntimeError("spark.checkpoint.dir is not set; cannot cut lineage reliably")
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/idlecost-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

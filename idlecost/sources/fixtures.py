@@ -9,12 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from idlecost.config import TcoParams
 from idlecost.sources.tables import Inputs
 
 # Fixed values of the fixture derivation (FIXTURES.md).
-CLUSTERS = 24
-ENDPOINTS = 12
-WORKSPACES = 6
+# Every HOT_EVERY-th statement runs on cluster 0, the others on their user's.
+HOT_EVERY = 4
+USERS_PER_CLUSTER, USERS_PER_ENDPOINT, USERS_PER_WORKSPACE = 2, 4, 8
+CUSTOMERS_PER_ACCOUNT = 80
+LIFECYCLE_METRIC = "lifecycle"
+CREATE_ACTIONS = ("create", "create_from_pool")
 FIXTURE_REGIONS = [
     "us-east-1", "us-east-2", "us-west-2", "eu-central-1", "eu-west-1", "ap-southeast-2",
     "eastus", "eastus2", "westus", "westeurope", "northeurope", "sa-east-1",
@@ -26,17 +30,18 @@ AWS_WORKER = "i3.2xlarge"
 SQL_PRIORITIES = ["1-URGENT", "2-HIGH"]
 
 
-_READS: dict[tuple[int, str], DataFrame] = {}
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Each driver table is opened once per session (schema discovery is a Spark job)."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    df = _READS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = _READS[key] = spark.read.parquet(path)
-    return df
+def _user() -> F.Column:
+    """The user an event counts for: user 0 for every HOT_EVERY-th event."""
+    return F.when(F.col("event_id") % HOT_EVERY == 0, F.lit(0).cast("long")).otherwise(F.col("user_id"))
+
+
+def _per(users: int) -> F.Column:
+    """Integer division, so that cluster -> endpoint -> workspace is functional."""
+    return F.call_function("div", _user(), F.lit(users)).cast("long")
 
 
 def _pick(index: F.Column, values: list[str]) -> F.Column:
@@ -50,8 +55,8 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _read(spark, sf_dir, "events")
     return ev.select(
         F.col("event_id").alias("statement_id"),
-        (F.col("user_id") % CLUSTERS).alias("cluster_id"),
-        (F.col("user_id") % WORKSPACES).alias("workspace_id"),
+        _per(USERS_PER_CLUSTER).alias("cluster_id"),
+        _per(USERS_PER_WORKSPACE).alias("workspace_id"),
         F.col("ts").cast("date").alias("date"),
         F.col("ts").cast("timestamp").alias("ended_at"),
         F.col("value").alias("duration_s"),
@@ -65,39 +70,40 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _read(spark, sf_dir, "events")
     return ev.select(
-        (F.col("user_id") % CLUSTERS).alias("cluster_id"),
-        (F.col("user_id") % ENDPOINTS).alias("endpoint_id"),
-        (F.col("user_id") % WORKSPACES).alias("workspace_id"),
+        _per(USERS_PER_CLUSTER).alias("cluster_id"),
+        _per(USERS_PER_ENDPOINT).alias("endpoint_id"),
+        _per(USERS_PER_WORKSPACE).alias("workspace_id"),
     ).distinct()
 
 
 def cluster_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = _read(spark, sf_dir, "events").select("user_id").distinct()
     uid = F.col("user_id")
+    cluster = F.call_function("div", uid, F.lit(USERS_PER_CLUSTER)).cast("long")
     action = (
-        F.when(uid % 5 == 4, F.lit("resizeCluster"))
-        .when(uid % 2 == 0, F.lit("createCluster"))
-        .otherwise(F.lit("createClusterFromPool"))
+        F.when(uid % 5 == 4, F.lit("resize"))
+        .when(uid % 2 == 0, F.lit(CREATE_ACTIONS[0]))
+        .otherwise(F.lit(CREATE_ACTIONS[1]))
     )
     serverless = (
-        F.when((uid % CLUSTERS).isin(7, 14), F.lit("true"))
+        F.when(cluster % 12 == 7, F.lit("true"))
         .when(uid % 3 == 0, F.lit(None).cast("string"))
         .otherwise(F.lit("false"))
     )
     return users.select(
         uid,
         F.date_add(F.lit("2024-01-01").cast("date"), (uid % 31).cast("int")).alias("date"),
-        F.lit("clusterManagerEvent").alias("metric"),
+        F.lit(LIFECYCLE_METRIC).alias("metric"),
         F.create_map(
             F.lit("action"), action,
-            F.lit("cluster_id"), (uid % CLUSTERS).cast("string"),
+            F.lit("cluster_id"), cluster.cast("string"),
             F.lit("is_serverless"), serverless,
         ).alias("tags"),
     )
 
 
 def workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _read(spark, sf_dir, "customer").filter(F.col("c_custkey") < WORKSPACES)
+    c = _read(spark, sf_dir, "customer")
     return c.select(
         F.col("c_custkey").alias("workspace_id"),
         F.when(F.col("c_custkey") % 2 == 0, F.upper("c_name")).otherwise(F.col("c_name")).alias("customer_name"),
@@ -109,12 +115,13 @@ def billing(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "customer").alias("c")
     n = _read(spark, sf_dir, "nation").alias("n")
     r = _read(spark, sf_dir, "region").alias("r")
-    a = _read(spark, sf_dir, "customer").filter(F.col("c_custkey") < WORKSPACES).alias("a")
+    a = _read(spark, sf_dir, "customer").alias("a")
+    payer = F.call_function("div", F.col("o.o_custkey"), F.lit(CUSTOMERS_PER_ACCOUNT)).cast("long")
     j = (
         o.join(c, F.col("o.o_custkey") == F.col("c.c_custkey"))
         .join(n, F.col("c.c_nationkey") == F.col("n.n_nationkey"))
         .join(r, F.col("n.n_regionkey") == F.col("r.r_regionkey"))
-        .join(a, F.col("a.c_custkey") == F.col("o.o_custkey") % WORKSPACES)
+        .join(a, F.col("a.c_custkey") == payer)
     )
     return j.select(
         F.col("o.o_orderdate").cast("date").alias("date"),
@@ -132,7 +139,7 @@ def workloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     azure = (uid % 13).between(6, 10)
     return ev.select(
         F.col("ts").cast("date").alias("date"),
-        (uid % CLUSTERS).alias("cluster_id"),
+        _per(USERS_PER_CLUSTER).alias("cluster_id"),
         (F.col("value") / 5).alias("node_hours"),
         (1 + eid % 16).alias("pricing_units"),
         F.when(eid % 5 == 0, F.lit(None).cast("long")).otherwise(eid % 5).alias("workers"),
@@ -143,16 +150,9 @@ def workloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_INPUTS: dict[tuple[int, str], Inputs] = {}
-
-
 def load_fixture_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    """The six logical inputs over ``sf_dir`` (built once per session: they are lazy plans)."""
-    key = (id(spark), sf_dir.rstrip("/"))
-    found = _INPUTS.get(key)
-    if found is not None and found.statements.sparkSession is spark:
-        return found
-    _INPUTS[key] = inputs = Inputs(
+    """The six logical inputs over ``sf_dir`` (lazy; the files are listed anew at each call)."""
+    return Inputs(
         statements=statements(spark, sf_dir),
         endpoints=endpoints(spark, sf_dir),
         cluster_events=cluster_events(spark, sf_dir),
@@ -160,4 +160,13 @@ def load_fixture_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
         workloads=workloads(spark, sf_dir),
         billing=billing(spark, sf_dir),
     )
-    return inputs
+
+
+#: Parameters of the registered queries (FIXTURES.md); the statement log and the billing have their own ranges.
+CUSTOMER_PARAMS = TcoParams(
+    start_date="2024-01-01", end_date="2024-01-30", customer_name="customer#000000000",
+    lifecycle_metric=LIFECYCLE_METRIC, create_actions=CREATE_ACTIONS)
+REGION_PARAMS = TcoParams(
+    start_date="2024-01-01", end_date="2024-01-30", sales_region="A", top_accounts=4,
+    billing_start_date="1995-01-01", billing_end_date="1998-12-31", only_finished=False)
+GLOBAL_SESSION_AUTO_STOP_S = 60

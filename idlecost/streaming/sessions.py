@@ -7,6 +7,12 @@ ended -- the batch rule of ``operators.sessions``.  Spark's ``session_window``
 merges the windows per key in the state store; with a watermark on the start
 time a session is emitted once (append mode) after the watermark passes its end.
 
+The watermark has no default, as a wrong one gives wrong sessions, not only missing
+rows: statements arrive when they end, so it must exceed the longest time from a
+statement's start to its arrival (longest run time plus delivery delay).  With a
+shorter one a long statement that would bridge two sessions comes too late and is
+dropped, and they stay split.
+
 Sessions are keyed by every ``group_by`` column (cluster, endpoint,
 workspace): with the usual one-endpoint-per-cluster map this equals the batch
 cluster scope.  A statement of zero length with a zero time-out has an empty
@@ -24,7 +30,7 @@ from idlecost.functions.time import MICROS_PER_SECOND, date_of_us, floor_to_seco
 def streaming_idle_sessions(
     statements: DataFrame,
     auto_stop_s: int,
-    watermark: str = "1 hour",
+    watermark: str,
     group_by: list[str] | None = None,
 ) -> DataFrame:
     """Streaming twin of ``idle_sessions(..., scope='cluster')``; same output columns."""

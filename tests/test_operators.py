@@ -132,9 +132,12 @@ def test_on_demand_usage_rate(spark):
     sessions = spark.createDataFrame(
         [(1, 7, 3, dt.date(2024, 1, 10), T0, T0 + 3600 * US)],
         "cluster_id long, endpoint_id long, workspace_id long, date date, start_us long, end_autostop_us long")
-    wl = spark.createDataFrame([(dt.date(2024, 1, 10), 1, 24, 4, "us-east-1"), (dt.date(2024, 1, 10), 1, 20, 2, "us-east-1")],
-                               "date date, cluster_id long, pricing_units long, workers long, region string")
-    r = op.on_demand_usage(sessions, wl).collect()
+    day = dt.date(2024, 1, 10)
+    wl = spark.createDataFrame([(day, 1, 24, 4, "us-east-1", 1.0, "d", "w"), (day, 1, 20, 2, "us-east-1", 2.0, "e", "w"),
+                                (dt.date(2024, 1, 9), 1, 90, 9, "us-east-1", 2.0, "e", "w")],
+                               "date date, cluster_id long, pricing_units long, workers long, region string, node_hours double,"
+                               " driver_node_type string, worker_node_type string")
+    r = op.on_demand_usage(sessions, op.daily_workloads(wl)).collect()
     assert len(r) == 1 and r[0].dbus == pytest.approx(32.0)
 
 

@@ -18,18 +18,18 @@ def test_cluster_sessions_never_single_partition_over_statements(spark, key):
     assert "SinglePartition" not in plan
 
 
-def test_global_sessions_single_partition_only_over_bucket_summary(spark):
+def test_global_sessions_single_partition_only_over_cells(spark):
     plan = _plan(se.queries()["idle_sessions_global"](spark, SF_SMALL))
     # exactly one single-partition exchange: the one under the prefix scan of the
-    # per-bucket summary (one row per bucket), never one over the statements
+    # cells (one row a cell of the time-out's width), never one over the statements
     lines = plan.split("\n")
     single = [i for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
     assert len(single) == 1
     below = "\n".join(lines[single[0]: single[0] + 4])
-    assert "HashAggregate(keys=[_bucket" in below
+    assert "HashAggregate(keys=[_cell" in below
 
 
-@pytest.mark.parametrize("key", sorted(se.queries()))
+@pytest.mark.parametrize("key", sorted(se._Q))
 def test_no_python_udf(spark, key):
     plan = _plan(se.queries()[key](spark, SF_SMALL))
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
@@ -49,32 +49,33 @@ def test_statement_scan_prunes_columns_and_pushes_date(spark):
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string" in scan
 
 
-def test_session_shuffle_is_shared(spark):
-    df = se.queries()["idle_sessions"](spark, SF_SMALL)
-    df.collect()
-    final = df._jdf.queryExecution().executedPlan().toString()
-    assert "ReusedExchange" in final
+def test_sessions_read_the_statements_once(spark):
+    plan = _plan(se.queries()["idle_sessions"](spark, SF_SMALL))
+    assert plan.count("value:double,props:string>") == 1
+
 
+@pytest.mark.parametrize("key", ["idle_sessions", "idle_sessions_global"])
+def test_statements_are_aggregated_to_cells_before_their_shuffle(spark, key):
+    """Under the first exchange above the statement scan there is a partial aggregate by cell."""
+    plan = _plan(se.queries()[key](spark, SF_SMALL))
+    path = _ancestors(plan, "value:double,props:string>")
+    below = path[:next(i for i, op in enumerate(path) if op.startswith("Exchange"))]
+    assert any(op.startswith("HashAggregate") and "_cell" in op and "partial_min" in op for op in below), path
 
-def test_statement_shuffle_splits_a_cluster_over_time_buckets(spark):
-    """A hot cluster is spread over its time buckets: the statement shuffle is keyed by
-    (cluster, bucket); only the small per-bucket summary is keyed by cluster alone."""
-    from pyspark.sql import functions as F
 
-    from helpers import intervals_df
+@pytest.mark.parametrize("gap", [10, 3600])
+def test_a_burst_of_one_minute_is_one_row_a_cell(spark, gap):
+    """A minute with a third of all rows goes through the shuffle as its cells."""
+    from helpers import idle_sessions_plain, intervals_df
+    from idlecost.functions.time import MICROS_PER_SECOND
     from idlecost.operators.sessions import idle_sessions
 
-    hot = intervals_df(spark, [(7, i * 37, i * 37 + 5) for i in range(2000)])  # one cluster, ~20 hours
-    df = idle_sessions(hot, 10, group_by=["cluster_id"], bucket_s=60)
-    plan = _plan(df)
-    assert "Exchange hashpartitioning(cluster_id#" in plan
-    statement_exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning(cluster_id" in line]
-    assert any("_bucket" in line for line in statement_exchanges)
-    # the rows of the single cluster land in several shuffle partitions
-    rows = hot.select("cluster_id", F.floor(F.col("start_us") / 60_000_000).alias("_bucket"))
-    parts = rows.repartition(8, "cluster_id", "_bucket").select(F.spark_partition_id().alias("p")).distinct().count()
-    assert parts > 1
-    assert df.count() == 2000  # gaps of 32 s > 10 s: every statement is its own session
+    rows = [(7, 600 + i * 0.01, 601 + i * 0.01) for i in range(3000)] + [(i % 9, i * 37, i * 37 + 5) for i in range(6000)]
+    df = intervals_df(spark, rows)
+    got = idle_sessions(df, gap, group_by=["cluster_id"])
+    want = idle_sessions_plain(df, gap * MICROS_PER_SECOND, ["cluster_id"], ["cluster_id"])
+    cols = ["cluster_id", "start_us", "end_us", "statements"]
+    assert sorted(got.select(*cols).collect()) == sorted(want.select(*cols).collect())
 
 
 def _ancestors(plan: str, needle: str) -> list[str]:
@@ -95,7 +96,7 @@ def _ancestors(plan: str, needle: str) -> list[str]:
 
 @pytest.mark.parametrize("key", ["attributed_statements", "attributed_statements_region"])
 def test_statements_reach_attribution_without_a_shuffle(spark, key):
-    """The per-analysis cluster map was counted and broadcast: no shuffle above the statement scan."""
+    """The stored cluster map has a known, small size: Spark broadcasts it, and the statements aren't shuffled."""
     plan = _plan(se.queries()[key](spark, SF_SMALL))
     path = _ancestors(plan, "value:double,props:string>")  # the statement scan (fetch time is in props)
     assert not [op for op in path if op.startswith("Exchange")], path
@@ -104,9 +105,8 @@ def test_statements_reach_attribution_without_a_shuffle(spark, key):
 
 def test_unknown_customer_raises_in_analysis(spark):
     from idlecost.operators import NoWorkspaceError
-    from idlecost.oracle_sql import CUSTOMER_PARAMS
     from idlecost.plans import CustomerAnalysis
-    from idlecost.sources.fixtures import load_fixture_inputs
+    from idlecost.sources.fixtures import CUSTOMER_PARAMS, load_fixture_inputs
 
     a = CustomerAnalysis(load_fixture_inputs(spark, SF_SMALL), CUSTOMER_PARAMS.with_(customer_name="nobody"))
     with pytest.raises(NoWorkspaceError):
@@ -135,3 +135,31 @@ def test_combined_reports_read_the_statement_log_once(spark, key):
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
     assert final.count("value:double,props:string>") == 1
+
+
+@pytest.mark.parametrize("key", ["always_on_daily", "always_on_daily_region", "on_demand_usage"])
+def test_workloads_are_aggregated_before_the_join(spark, key):
+    """No aggregate keyed by a slice's or session's start stands above the join with workloads."""
+    plan = _plan(se.queries()[key](spark, SF_SMALL))
+    lines = plan.split("\n")
+    join = next(i for i, line in enumerate(lines) if "Join [date#" in line)
+    assert not [line for line in lines[:join] if "HashAggregate" in line]
+
+
+def test_no_plan_collects_into_one_partition_and_no_counting(spark):
+    import pathlib
+
+    import idlecost
+
+    for path in pathlib.Path(idlecost.__file__).parent.rglob("*.py"):
+        if "llm" not in path.parts:
+            text = path.read_text()
+            assert "coalesce(1)" not in text and "localCheckpoint" not in text, path
+            assert text.count(".limit(") <= (2 if path.name == "attribution.py" else 0), path
+
+
+def test_workspaces_are_all_customers(spark):
+    from idlecost.sources.fixtures import load_fixture_inputs
+
+    for sf in (SF_SMALL, "/root/testdata/sf0.01"):
+        assert load_fixture_inputs(spark, sf).workspaces.count() == spark.read.parquet(f"{sf}/customer.parquet").count()

@@ -25,7 +25,7 @@ def _tuples(df):
 
 
 @SETTINGS
-@given(items=interval_lists, gap=st.integers(min_value=0, max_value=5000),
+@given(items=interval_lists, gap=st.one_of(st.integers(min_value=0, max_value=9), st.integers(min_value=0, max_value=5000)),
        bucket=st.sampled_from([1, 60, 900, 86400]), scope=st.sampled_from(["cluster", "global"]))
 def test_bucketed_sessions_equal_plain_window(spark, items, gap, bucket, scope):
     df = intervals_df(spark, _rows(items))

@@ -2,11 +2,12 @@
 
 import tempfile
 
+import pytest
+
 from conftest import SF_SMALL
-from idlecost.oracle_sql import CUSTOMER_PARAMS, REGION_PARAMS
 from idlecost.plans import CustomerAnalysis, RegionAnalysis, write_reports
 from idlecost.sources import load_inputs
-from idlecost.sources.fixtures import load_fixture_inputs
+from idlecost.sources.fixtures import CUSTOMER_PARAMS, REGION_PARAMS, load_fixture_inputs
 from idlecost.sources.schemas import SCHEMAS
 
 import __spark_entry__ as se
@@ -16,31 +17,56 @@ def _rows(df, cols=None):
     return sorted(tuple(r) for r in (df.select(*cols) if cols else df).collect())
 
 
-def test_load_inputs_and_write_reports(spark):
+@pytest.fixture(scope="module")
+def inputs(spark):
     base = tempfile.mkdtemp(prefix="idlecost-sink-")
     fixture = load_fixture_inputs(spark, SF_SMALL)
     for name in SCHEMAS:
         getattr(fixture, name).write.parquet(f"{base}/in/{name}")
-    inputs = load_inputs(spark, {name: f"{base}/in/{name}" for name in SCHEMAS})
+    return load_inputs(spark, {name: f"{base}/in/{name}" for name in SCHEMAS})
+
 
-    region = RegionAnalysis(inputs, REGION_PARAMS)
-    written = write_reports(region, f"{base}/region")
-    assert set(written) == {"always_on_costs", "on_demand_costs", "always_on_by_customer",
+def test_load_inputs_and_write_reports(spark, inputs):
+    base = tempfile.mkdtemp(prefix="idlecost-sink-")
+    written = write_reports(RegionAnalysis(inputs, REGION_PARAMS), f"{base}/region")
+    assert set(written) == {"sessions", "always_on_costs", "on_demand_costs", "always_on_by_customer",
                             "on_demand_by_customer", "cost_comparison"}
     got = spark.read.parquet(written["cost_comparison"])
     want = se.queries()["cost_comparison"](spark, SF_SMALL)
     assert _rows(got, want.columns) == _rows(want)
 
-    customer = CustomerAnalysis(inputs, CUSTOMER_PARAMS)
-    written = write_reports(customer, f"{base}/customer")
-    got = spark.read.parquet(written["grand_totals"])
-    want = se.queries()["grand_totals"](spark, SF_SMALL)
-    assert _rows(got) == _rows(want)
+    written = write_reports(CustomerAnalysis(inputs, CUSTOMER_PARAMS), f"{base}/customer")
+    for name in ("grand_totals", "cost_comparison_daily", "timeline_always_on"):
+        want = se.queries()[{"timeline_always_on": "timeline_segments_always_on"}.get(name, name)](spark, SF_SMALL)
+        got = se._check_view(spark.read.parquet(written[name]))
+        assert _rows(got, want.columns) == _rows(want)
 
 
-def test_missing_column_is_reported(spark):
-    import pytest
+def _scans(df, path: str) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count(path)
+
+
+def test_sink_reads_the_statement_log_once(spark, inputs, monkeypatch):
+    """Also after a report was shown; the workloads scan then has both date bounds."""
+    from pyspark.sql import DataFrameWriter
 
+    analysis = RegionAnalysis(inputs, REGION_PARAMS)
+    analysis.cost_comparison().collect()
+    seen = []
+    real = DataFrameWriter.save
+
+    def save(self, *args, **kwargs):
+        seen.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return real(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "save", save)
+    write_reports(analysis, tempfile.mkdtemp(prefix="idlecost-sink-") + "/out")
+    assert sum(plan.count("/in/statements") for plan in seen) == 1
+    scans = [line for plan in seen for line in plan.split("\n") if "FileScan" in line and "/in/workloads" in line]
+    assert scans and all("GreaterThanOrEqual(date" in s and "LessThanOrEqual(date" in s for s in scans)
+
+
+def test_missing_column_is_reported(spark):
     from idlecost.sources.schemas import require_columns
     with pytest.raises(ValueError, match="missing column"):
         require_columns(spark.range(1), "statements")

@@ -1,5 +1,6 @@
 """The streaming sessions equal the batch sessions that the final watermark has closed."""
 
+import inspect
 import tempfile
 
 from conftest import SF_SMALL
@@ -34,3 +35,37 @@ def test_streaming_sessions_match_batch(spark):
     last_start = max(w[4] for w in want)
     closed = {w for w in want if w[6] < last_start - 2 * 3600 * 1_000_000}
     assert closed <= got_sel
+
+
+def _stream(spark, arrivals, watermark):
+    """Sessions of statements that arrive one file each, in the given order."""
+    import time
+
+    base = tempfile.mkdtemp(prefix="idlecost-stream-")
+    from helpers import intervals_df
+
+    for rows in arrivals:
+        intervals_df(spark, rows).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        time.sleep(0.05)  # the source takes files in order of their time
+    schema = intervals_df(spark, []).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    q = start_session_stream(streaming_idle_sessions(stream, 1800, watermark, ["cluster_id"]), f"{base}/out", f"{base}/ckpt",
+                             trigger={"availableNow": True})
+    q.awaitTermination(300)
+    from helpers import T0, US
+
+    return sorted((r.cluster_id, (r.start_us - T0) // US, (r.end_us - T0) // US) for r in spark.read.parquet(f"{base}/out").collect())
+
+
+def test_arrival_at_the_end_of_a_long_statement(spark):
+    """10:00-10:05 and 10:20-12:05 are one session though the second arrives after other clusters' later starts."""
+    minute = 60
+    arrivals = [[(1, 600 * minute, 605 * minute)], [(2, 660 * minute, 661 * minute)], [(2, 720 * minute, 721 * minute)],
+                [(1, 620 * minute, 725 * minute)], [(3, 2000 * minute, 2001 * minute)], [(3, 2100 * minute, 2101 * minute)]]
+    want = (1, 600 * minute, 725 * minute)
+    assert want in _stream(spark, arrivals, "3 hours")
+    assert want not in _stream(spark, arrivals, "10 minutes")  # shorter than the longest statement: split
+
+
+def test_watermark_has_no_default():
+    assert inspect.signature(streaming_idle_sessions).parameters["watermark"].default is inspect.Parameter.empty
