@@ -12,8 +12,8 @@ the whole text: a few toxic words count the same in a short and in a very long t
 Learning: at first every window carries its document's label, then each document is
 represented by its highest windows.  The learning rows are a bounded sample: of the
 labelled rows outside the held-out fold the ``PER_CLASS`` of each label lowest in a
-hash order of the id; of each text the windows of its first ``LEARN_BYTES`` bytes.
-Scoring has no such bounds.  For scoring the softmax is folded into the table, one
+hash order of the id, and of a text longer than ``LEARN_POINTS`` code points
+``LEARN_PARTS`` parts spread evenly over all of it.  Scoring has no such bounds.  For scoring the softmax is folded into the table, one
 number an n-gram bucket, which is all that goes to the executors (512 KB).
 
 Defined cases: null counts as empty; a text without words has the score of a mean of
@@ -39,7 +39,8 @@ BITS = 17
 DIM = 8
 WINDOW = 16
 PER_CLASS = 1200
-LEARN_BYTES = 20_000
+LEARN_POINTS = 20_000
+LEARN_PARTS = 40
 SEED = 7
 
 _SIGN = np.full(256, 32, dtype=np.uint32)
@@ -206,10 +207,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = {r["_id"]: r["_toxic"] for r in known.withColumn("_n", F.row_number().over(nth)).where(F.col("_n") <= PER_CLASS).collect()}
     if not sample:
         return Model(np.zeros(1 << BITS, dtype=np.float32), -np.inf)
+    text, size = full_text(text_col), F.length(full_text(text_col))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(LEARN_PARTS - 1)), lambda i: F.substring(
+        text, (F.lit(1) + F.floor(i * size / LEARN_PARTS)).cast("int"), F.lit(LEARN_POINTS // LEARN_PARTS)))
     texts = docs.where(F.col(id_col).isin(list(sample))).select(
-        F.col(id_col).alias("_id"), F.substring(full_text(text_col).cast("binary"), 1, LEARN_BYTES).alias("_text"))
+        F.col(id_col).alias("_id"), F.when(size > LEARN_POINTS, F.array_join(parts, " ")).otherwise(text).alias("_text"))
     rows = texts.groupBy("_id").agg(F.min("_text").alias("_text")).orderBy("_id").collect()
-    return fit([bytes(r["_text"]) for r in rows], np.array([sample[r["_id"]] for r in rows], dtype=np.int64))
+    return fit([r["_text"].encode() for r in rows], np.array([sample[r["_id"]] for r in rows], dtype=np.int64))
 
 
 # --- scoring ------------------------------------------------------------------
