@@ -2,10 +2,11 @@
 
 Lines are parsed at a fixed depth: the first layer of the tree is the number of
 tokens, the next ``DEPTH`` layers are the leading tokens, a token with a digit
-counting as a variable field ``<*>``.  In a leaf, lines gather in templates: a line
-joins the template that agrees with it on most positions, if on ``SIMILARITY`` of them
-at least, and positions that differ become variable fields.  A template that occurs in
-``MIN_DOCS`` documents recurs, and its lines are dropped.
+counting as a variable field ``<*>`` (in lines where most tokens have none).  In a
+leaf, lines gather in templates: a line joins the template that agrees with it on most
+positions, if on ``SIMILARITY`` of them at least, and positions that differ become
+variable fields.  A template that occurs in ``MIN_DOCS`` documents recurs, and its
+lines are dropped.
 
 Leaves that fewer documents reach can't recur and stop at the tree.  A leaf's distinct
 lines are worked on in falling order of how common they are, in groups of about
@@ -47,8 +48,11 @@ def _leaves(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row, line, leaf, masked: the lines of every text with their leaf of the tree."""
     lines = docs.select(_row_key(id_col, text_col).alias("row"), F.posexplode(F.split(full_text(text_col), "\n")).alias("line", "text"))
     masked = F.when(F.col("text").rlike("[0-9]"), F.regexp_replace("text", rf"(?<![^{SPACE_CLASS}])[^{SPACE_CLASS}0-9]*+[0-9][^{SPACE_CLASS}]*+", FIELD)).otherwise(F.col("text"))
-    masked = F.trim(F.regexp_replace(masked, f"[{SPACE_CLASS}]+", " "))
-    lines = lines.select("row", "line", masked.alias("masked"))
+    single = lambda c: F.trim(F.regexp_replace(c, f"[{SPACE_CLASS}]+", " "))
+    lines = lines.select("row", "line", single(F.col("text")).alias("plain"), single(masked).alias("masked"))
+    fields = (F.length("masked") - F.length(F.replace("masked", F.lit(FIELD), F.lit("")))) / len(FIELD)
+    spaces = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit("")))
+    lines = lines.select("row", "line", F.when(2 * fields > spaces + 1, F.col("plain")).otherwise(F.col("masked")).alias("masked"))
     n = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + F.when(F.col("masked") == "", 0).otherwise(1)
     return lines.where(n >= MIN_TOKENS).select("row", "line", F.xxhash64(n, F.substring_index("masked", " ", DEPTH)).alias("leaf"), "masked")
 
