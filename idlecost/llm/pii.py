@@ -44,7 +44,7 @@ class Kind(NamedTuple):
     base: bool
 
 
-_OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 # The base patterns of the contract in possessive form, and the added kinds.
 KINDS = [
