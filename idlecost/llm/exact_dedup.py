@@ -1,9 +1,10 @@
 """Exact dedup by content sort.
 
-Sampled splitters (Spark's range partitioner) deal the normalised texts out by
-(text, code points descending, id), an external sort places equal texts next to
-each other, and neighbours are compared in full.  The key holds more than the
-text, so a group of copies of any size spreads over as many partitions as its
+Sampled splitters (Spark's range partitioner) deal the normalised texts out, an
+external sort places equal texts next to each other, and neighbours are compared in
+full.  The sampled key is small whatever the texts are: the text's first
+``KEY_POINTS`` code points, its 64-bit hash, its length and the id.  As it holds more
+than the text, a group of copies of any size spreads over as many partitions as its
 rows need; the runs that touch a partition's border are joined afterwards by
 comparing each border's two texts, two small rows a partition.
 
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from idlecost.llm.common import SPACE_CLASS, full_text, stored, table
 
 FIRST_RUN, LAST_RUN = 1, 2
+KEY_POINTS = 32
 
 
 def normalised(col: str = "text"):
@@ -113,9 +115,10 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``docs``."""
     keys = docs.select(F.col(id_col).alias("doc_id"), F.length(full_text(text_col)).cast("long").alias("n_points"),
                        normalised(text_col).alias("norm"))
-    order = [F.asc("norm"), F.desc("n_points"), F.asc_nulls_last("doc_id")]
+    head, tail = [F.asc("_start"), F.asc("_hash")], [F.desc("n_points"), F.asc_nulls_last("doc_id")]
     id_type = keys.schema["doc_id"].dataType.simpleString()
-    rows = keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
+    keys = keys.withColumns({"_start": F.substring("norm", 1, KEY_POINTS), "_hash": F.xxhash64("norm")})
+    rows = keys.repartitionByRange(*head, *tail).sortWithinPartitions(*head, F.asc("norm"), *tail).mapInArrow(
         _runs, f"doc_id {id_type}, n_points long, keep_id {id_type}, group_size long, head boolean, "
                "text_sha256 string, part int, edge int, edge_text string")
     rows = stored(rows, "content-runs")
