@@ -23,14 +23,16 @@ an empty result; other columns are ignored by ``line_report`` and returned uncha
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idlecost.llm.common import SPACE_CLASS, full_text, stored, table
+from idlecost.llm.common import full_text, stored, table
 
 DEPTH = 3
 SIMILARITY = 0.7
@@ -38,23 +40,45 @@ MIN_DOCS = 5
 MIN_TOKENS = 4
 GROUP = 4096
 FIELD = "<*>"
+_FIELD, _DIGIT = FIELD.encode(), re.compile(rb"[0-9]")
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("string"), full_text(text_col))
 
 
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, line, leaf, masked of every line of ``MIN_TOKENS`` tokens; tokens are parted by ASCII white space."""
+    found: list[tuple[int, int, int, str]] = []
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({
+            "row": pa.array([x[0] for x in found], pa.int64()), "line": pa.array([x[1] for x in found], pa.int32()),
+            "leaf": pa.array([x[2] for x in found], pa.int64()), "masked": pa.array([x[3] for x in found], pa.string())})
+
+    for batch in batches:
+        for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for i, line in enumerate(text.encode().split(b"\n")):
+                tokens = line.split()
+                if len(tokens) < MIN_TOKENS:
+                    continue
+                if _DIGIT.search(line):
+                    masked = [_FIELD if _DIGIT.search(t) else t for t in tokens]
+                    if 2 * masked.count(_FIELD) <= len(tokens):
+                        tokens = masked
+                leaf = xxhash.xxh64_intdigest(b" ".join([b"%d" % len(tokens), *tokens[:DEPTH]])) >> 1
+                found.append((row, i, leaf, b" ".join(tokens).decode()))
+            if len(found) >= 20_000:
+                yield done()
+                found = []
+    if found:
+        yield done()
+
+
 def _leaves(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row, line, leaf, masked: the lines of every text with their leaf of the tree."""
-    lines = docs.select(_row_key(id_col, text_col).alias("row"), F.posexplode(F.split(full_text(text_col), "\n")).alias("line", "text"))
-    masked = F.when(F.col("text").rlike("[0-9]"), F.regexp_replace("text", rf"(?<![^{SPACE_CLASS}])[^{SPACE_CLASS}0-9]*+[0-9][^{SPACE_CLASS}]*+", FIELD)).otherwise(F.col("text"))
-    single = lambda c: F.trim(F.regexp_replace(c, f"[{SPACE_CLASS}]+", " "))
-    lines = lines.select("row", "line", single(F.col("text")).alias("plain"), single(masked).alias("masked"))
-    fields = (F.length("masked") - F.length(F.replace("masked", F.lit(FIELD), F.lit("")))) / len(FIELD)
-    spaces = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit("")))
-    lines = lines.select("row", "line", F.when(2 * fields > spaces + 1, F.col("plain")).otherwise(F.col("masked")).alias("masked"))
-    n = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + F.when(F.col("masked") == "", 0).otherwise(1)
-    return lines.where(n >= MIN_TOKENS).select("row", "line", F.xxhash64(n, F.substring_index("masked", " ", DEPTH)).alias("leaf"), "masked")
+    texts = docs.select(_row_key(id_col, text_col).alias("row"), full_text(text_col).alias("text"))
+    return texts.mapInArrow(_parsed, "row long, line int, leaf long, masked string")
 
 
 def templates(lines: list[list[str]], similarity: float = SIMILARITY) -> list[str]:
