@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of the contracts, as a regular expression class and as characters.
@@ -78,3 +78,47 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def crc_mod(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n`` (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def lowest_by_hash(rows: DataFrame, group: str, id_col: str, n: int, parts: int = 64) -> DataFrame:
+    """The ``n`` rows of each group lowest in a hash order of the id.
+
+    Taken from the lowest ``n`` of each of ``parts`` parts of a group, so that no task
+    gets more than ``n * parts`` rows or a part of a group.
+    """
+    order = [F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)]
+    part = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("part")), F.lit(parts))
+    some = rows.withColumn("_part", part).withColumn("_n", F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order)))
+    some = some.where(F.col("_n") <= n).withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return some.where(F.col("_n") <= n).drop("_part", "_n")
+
+
+#: Words of 64 bits in the map of ``without_ids``: 1 MB of bits at any size of the input.
+MAP_WORDS = 1 << 17
+
+
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id (null is an id, too) is not in the one column of ``gone``.
+
+    A bit map of the hashed ids, ``MAP_WORDS`` rows at most and so broadcast, tells for
+    most rows that they stay, without moving their texts; only rows whose bit is set
+    meet the ids in a join.  If ``gone`` fills the map, that join takes all rows.
+    """
+    gone = stored(gone.select(gone[gone.columns[0]].alias("_gone")).distinct(), "gone")
+
+    def place(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column.cast("string")), F.lit(MAP_WORDS * 64))
+
+    def word(column: Column) -> Column:
+        return F.call_function("div", place(column), F.lit(64))
+
+    def bit(column: Column) -> Column:
+        return (place(column) % 64).cast("int")
+
+    bits = gone.select(word(gone["_gone"]).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(gone["_gone"])).alias("_bit"))
+    bits = stored(bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), "gone-map")
+    marked = docs.join(F.broadcast(bits), word(docs[id_col]) == bits["_word"], "left")
+    is_set = F.coalesce(F.call_function("shiftrightunsigned", bits["_bits"], bit(docs[id_col])) % 2, F.lit(0)) != 0
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    sure, maybe = marked.where(~is_set).select(*columns), marked.where(is_set).select(*columns)
+    return sure.unionByName(maybe.join(gone, maybe[id_col].eqNullSafe(gone["_gone"]), "left_anti"))

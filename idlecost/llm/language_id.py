@@ -24,10 +24,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idlecost.llm.common import crc_mod, full_text, table
+from idlecost.llm.common import crc_mod, full_text, lowest_by_hash, table
 from idlecost.llm.wordhash import slices
 
 BITS = 14
@@ -84,9 +84,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), full_text(text_col).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & (crc_mod("doc_id", 3) != 1))
     top = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    nth = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    chosen = rows.where(F.col("lang").isin(top)).select("doc_id", "lang").withColumn("_n", F.row_number().over(nth))
-    ids = [r[0] for r in chosen.where(F.col("_n") <= PER_LANGUAGE).select("doc_id").distinct().collect()]
+    chosen = lowest_by_hash(rows.where(F.col("lang").isin(top)).select("doc_id", "lang"), "lang", "doc_id", PER_LANGUAGE)
+    ids = [r[0] for r in chosen.select("doc_id").distinct().collect()]
     id_type = rows.schema["doc_id"].dataType.simpleString()
     bits = (rows.where(F.col("doc_id").isin([i for i in ids if i is not None]) & F.col("lang").isin(top) & F.col("text").rlike(r"\p{L}"))
             .mapInArrow(_learning_rows, f"doc_id {id_type}, lang string, bits binary")

@@ -29,10 +29,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idlecost.llm.common import crc_mod, full_text, table
+from idlecost.llm.common import crc_mod, full_text, lowest_by_hash, table
 from idlecost.llm.wordhash import Words, mix, slices, word_hashes
 
 BITS = 17
@@ -203,8 +203,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
     known = known.where(F.col("_toxic").isin(0, 1) & F.col("_id").isNotNull() & (crc_mod("_id", 5) != 0))
     known = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
-    nth = Window.partitionBy("_toxic").orderBy(F.xxhash64(F.col("_id").cast("string")), "_id")
-    sample = {r["_id"]: r["_toxic"] for r in known.withColumn("_n", F.row_number().over(nth)).where(F.col("_n") <= PER_CLASS).collect()}
+    sample = {r["_id"]: r["_toxic"] for r in lowest_by_hash(known, "_toxic", "_id", PER_CLASS).collect()}
     if not sample:
         return Model(np.zeros(1 << BITS, dtype=np.float32), -np.inf)
     text, size = full_text(text_col), F.length(full_text(text_col))
