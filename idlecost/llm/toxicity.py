@@ -184,18 +184,27 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 4, rounds: int = 4
     soft[0] = -soft[1]
     for _ in range(epochs):
         train(random.permutation(len(bags.windows)))
-    for _ in range(rounds):  # then each text by its highest windows
+    def window_scores() -> np.ndarray:
         weight = table_ @ (soft[1] - soft[0])
         values = np.add.reduceat(weight[bags.bag], bags.bag_start[:-1]) / np.diff(bags.bag_start)
         there = bags.windows >= 0
-        score = np.where(there, values[bags.windows], 0).sum(axis=1) / np.maximum(there.sum(axis=1), 1)
-        order = np.lexsort((-score, bags.text_of))
+        return np.where(there, values[bags.windows], 0).sum(axis=1) / np.maximum(there.sum(axis=1), 1) + bias[1] - bias[0]
+
+    for _ in range(rounds):  # then each text by its highest windows
+        order = np.lexsort((-window_scores(), bags.text_of))
         text = bags.text_of[order]
         place = np.arange(len(order)) - np.searchsorted(text, text)
         chosen = order[place < np.where(labels[text] == 1, 1, 3)]
         for _ in range(epochs):
             train(random.permutation(chosen))
-    return Model((table_ @ (soft[1] - soft[0])).astype(np.float32), float(bias[1] - bias[0]))
+    # The threshold stands midway between the learning texts of both labels, and not below the
+    # score of unknown words, so that these alone don't make a text toxic.
+    top = np.full(len(labels), -np.inf)
+    np.maximum.at(top, bags.text_of, window_scores())
+    top = np.where(np.isneginf(top), bias[1] - bias[0], top)
+    middle = (np.percentile(top[labels == 0], 99) + np.percentile(top[labels == 1], 1)) / 2
+    threshold = max(float(middle), float(bias[1] - bias[0]) + 0.25)
+    return Model((table_ @ (soft[1] - soft[0])).astype(np.float32), float(bias[1] - bias[0]) - threshold)
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:

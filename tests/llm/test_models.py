@@ -65,7 +65,7 @@ def test_toxicity_finds_misspellings_and_long_texts(spark):
     long_clean = [rng.choice(words) for _ in range(20_000)]
     long_toxic = list(long_clean)
     long_toxic[9000], long_toxic[9003] = "zargoth", "vexplume"
-    new = [(900, " ".join(long_clean)), (901, " ".join(long_toxic)), (902, "bana zargothz lorin"), (903, "bana lorin misost"), (904, ""), (905, None)]
+    new = [(900, " ".join(long_clean)), (901, " ".join(long_toxic)), (902, "banan zargothz lorin"), (903, "banan lorin misost"), (904, ""), (905, None)]
     got = {r.doc_id: r for r in toxicity.toxicity(docs(spark, new), model).collect()}
     assert [got[i].predicted for i in (900, 901, 902, 903)] == [0, 1, 1, 0]
     assert all(0 <= r.score <= 1 for r in got.values()) and got[904].score == got[905].score
