@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from idlecost.llm.common import SPACE_CLASS, full_text, stored, table
+from idlecost.llm.common import SPACE_CLASS, full_text, stored, table, without_ids
 
 FIRST_RUN, LAST_RUN = 1, 2
 KEY_POINTS = 32
@@ -137,7 +137,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = stored(content_groups(docs, id_col, text_col).select("doc_id", "kept", "text_sha256"), "content-groups")
     gone = groups.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     kept = groups.where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_sha"))
-    main = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    main = without_ids(docs, id_col, gone)
     # An id with rows on both sides: repeated ids, or rows repeated as they are.
     both = gone.join(kept, F.col("_gone").eqNullSafe(F.col("_kept"))).select("_gone").distinct()
     if both.isEmpty():

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from idlecost.llm.common import full_text, shuffle_partitions, stored, table
+from idlecost.llm.common import full_text, shuffle_partitions, stored, table, without_ids
 from idlecost.llm.wordhash import LOWER_AZ, mix, slices, window_hashes, word_hashes, words
 
 SHINGLE = 5
@@ -322,8 +322,8 @@ def _bounded(asked: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame
     of = members.join(asked.select("group", "cls").distinct(), ["group", "cls"])
     parts = of.groupBy("group", "cls").agg(F.ceil(F.count("*") / PART).alias("_parts"))
     # Near copies have most tokens in common: small parts shrink before the whole is put together.
-    some = of.join(parts, ["group", "cls"]).join(tokens, "set_key").groupBy(
-        "group", "cls", F.pmod(F.xxhash64("set_key"), "_parts").alias("_part")).agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+    of = of.join(parts, ["group", "cls"]).withColumn("_part", F.pmod(F.xxhash64("set_key"), "_parts")).repartition("group", "cls", "_part")
+    some = of.join(tokens, "set_key").groupBy("group", "cls", "_part").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
     union = stored(some.select("group", "cls", F.explode("tokens").alias("token")).distinct(), "unions")
     slots = union.groupBy("group", "cls").agg(F.ceil(F.count("*") / SLOT).cast("int").alias("_slots"))
     union = union.join(slots, ["group", "cls"]).groupBy("group", "cls", F.pmod("token", "_slots").cast("int").alias("slot")).agg(
@@ -398,7 +398,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     found = stored(link_components(docs, id_col, text_col), "components")
     gone = found.where("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
-    main = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    main = without_ids(docs, id_col, gone)
     repeated = found.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_again"))
     if repeated.isEmpty():
         return main

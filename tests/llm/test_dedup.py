@@ -115,6 +115,23 @@ def test_star_components(spark):
     assert got == {(x, root(x)) for x in parent}
 
 
+@pytest.mark.parametrize("words", [1, 1 << 17])
+def test_without_ids(spark, monkeypatch, words):
+    """Exact whether the bit map tells ids apart (many words) or is full (one word)."""
+    from idlecost.llm import common
+
+    monkeypatch.setattr(common, "MAP_WORDS", words)
+    rng = random.Random(7)
+    rows = [(rng.randrange(4000), f"t{i}") for i in range(3000)] + [(None, "a"), (None, "b")]
+    gone = {rng.randrange(4000) for _ in range(900)}
+    for extra in ([], [None]):
+        ids = spark.createDataFrame([(g,) for g in [*gone, *extra]], "x long")
+        got = common.without_ids(docs(spark, rows), "doc_id", ids)
+        assert got.columns == docs(spark, rows).columns
+        want = sorted((r for r in rows if r[0] not in gone | set(extra)), key=row_key)
+        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=row_key) == want
+
+
 def test_near_dedup_keeps_one_of_each_group(spark):
     rows = odd_rows()
     kept = [r.doc_id for r in jaccard_join.near_dedup(docs(spark, rows)).collect()]
