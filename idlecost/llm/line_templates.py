@@ -159,7 +159,8 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _marked(docs: DataFrame, keep: list[Column], min_docs: int, id_col: str, text_col: str) -> DataFrame:
     gone = stored(recurring_lines(docs, min_docs, id_col, text_col), "dropped-lines")
     texts = docs.select(*keep, _row_key(id_col, text_col).alias("_row"), full_text(text_col).alias("_text"))
-    rows = texts.join(gone, "_row", "left")
+    # The dropped lines grow with the corpus: they are merged at every size, never broadcast.
+    rows = texts.join(gone.hint("merge"), "_row", "left")
     kept = [f for f in rows.schema.fields if f.name not in ("_text", "_lines", "_row")]
     return rows.mapInArrow(_cleaned, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "_dropped long", "_clean string"]))
 
