@@ -5,8 +5,9 @@ windows.  The method then sorts the word suffixes of each text that has such a
 window (prefix doubling over word ranks), takes the longest common prefixes of
 neighbouring suffixes, and from their intervals the maximal repeated substrings of
 ``MIN_REPEAT`` words or more: a text fails when these cover more than
-``MAX_COVERED_PERCENT`` of its words, or when the longest has more than
-``MAX_REPEAT`` words and ``MAX_REPEAT_PERCENT`` of the text.
+``MAX_COVERED`` words and ``MAX_COVERED_PERCENT`` of the text, or when the longest has
+more than ``MAX_REPEAT`` words, whatever the text's length.  Both limits lie below what
+the base rules take: a short sentence said twice stays, a passage said twice goes.
 
 Defined cases: null counts as empty; without words all counts are 0 and the base
 rules fail; a text of any length is worked on as a whole; repeated rows get equal
@@ -29,9 +30,9 @@ WINDOW = 5
 MIN_WORDS = 10
 BASE_REPEAT_PERCENT = 20
 MIN_REPEAT = 8
-MAX_COVERED_PERCENT = 20
+MAX_COVERED = 40
+MAX_COVERED_PERCENT = 10
 MAX_REPEAT = 50
-MAX_REPEAT_PERCENT = 10
 
 _SYMBOL = np.zeros(256, dtype=np.uint8)
 _SYMBOL[list(b"#*$%&|<>")] = 1
@@ -150,8 +151,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = measures(data, offset)
             n = m["n_words"]
             failed = (n < MIN_WORDS) | (100 * m["n_repeat_words"] > BASE_REPEAT_PERCENT * n)
-            repeats = (100 * m["covered_words"] > MAX_COVERED_PERCENT * n) | (
-                (m["longest_repeat"] > MAX_REPEAT) & (100 * m["longest_repeat"] > MAX_REPEAT_PERCENT * n))
+            repeats = (m["longest_repeat"] > MAX_REPEAT) | (
+                (m["covered_words"] > MAX_COVERED) & (100 * m["covered_words"] > MAX_COVERED_PERCENT * n))
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": batch.column("doc_id").slice(a, b - a)} | {k: pa.array(v.astype(np.int64)) for k, v in m.items()}
                 | {"base_failed": pa.array(failed), "kept": pa.array(~failed & ~repeats)})

@@ -27,6 +27,17 @@ def test_quality_verdict(spark):
     assert got[2][2] == 60 and not got[2][1] and not got[4][1]
 
 
+def test_quality_method_fails_texts_that_the_base_passes(spark):
+    rng = random.Random(9)
+    own = lambda n: sentence(rng, n, 10_000_000)
+    twice = lambda passage, n: f"{own(n // 2)} {passage} {own(n - n // 2)} {passage} {own(5)}"
+    several = [own(15) for _ in range(4)]
+    rows = [(1, twice(own(95), 805)), (2, twice(own(1900), 16_195)), (3, twice(own(60), 19_875)),
+            (4, " ".join(f"{p} {own(110)}" for p in several + several)), (5, twice(own(9), 79)), (6, twice(own(45), 1000)), (7, own(2000))]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality_rules.quality(docs(spark, rows)).collect()}
+    assert got == {i: (False, i >= 5) for i in range(1, 8)}
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_repeated_substrings(seed):
     rng = np.random.default_rng(seed)
