@@ -97,14 +97,13 @@ def lowest_by_hash(rows: DataFrame, group: str, id_col: str, n: int, parts: int
 MAP_WORDS = 1 << 17
 
 
-def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id (null is an id, too) is not in the one column of ``gone``.
+def _by_map(docs: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of ``docs`` whose id is surely not in the one column of ``ids``, the other rows, and the stored ids.
 
     A bit map of the hashed ids, ``MAP_WORDS`` rows at most and so broadcast, tells for
-    most rows that they stay, without moving their texts; only rows whose bit is set
-    meet the ids in a join.  If ``gone`` fills the map, that join takes all rows.
+    most rows that their id is not among them, without moving their texts.
     """
-    gone = stored(gone.select(gone[gone.columns[0]].alias("_gone")).distinct(), "gone")
+    ids = stored(ids.select(ids[ids.columns[0]].alias("_gone")).distinct(), "gone")
 
     def place(column: Column) -> Column:
         return F.pmod(F.xxhash64(column.cast("string")), F.lit(MAP_WORDS * 64))
@@ -115,10 +114,25 @@ def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
     def bit(column: Column) -> Column:
         return (place(column) % 64).cast("int")
 
-    bits = gone.select(word(gone["_gone"]).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(gone["_gone"])).alias("_bit"))
+    bits = ids.select(word(ids["_gone"]).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(ids["_gone"])).alias("_bit"))
     bits = stored(bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), "gone-map")
     marked = docs.join(F.broadcast(bits), word(docs[id_col]) == bits["_word"], "left")
     is_set = F.coalesce(F.call_function("shiftrightunsigned", bits["_bits"], bit(docs[id_col])) % 2, F.lit(0)) != 0
     columns = [docs[f"`{c}`"] for c in docs.columns]
-    sure, maybe = marked.where(~is_set).select(*columns), marked.where(is_set).select(*columns)
+    return marked.where(~is_set).select(*columns), marked.where(is_set).select(*columns), ids
+
+
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id (null is an id, too) is not in the one column of ``gone``.
+
+    Only rows whose bit is set in the map of the ids meet the ids in a join.  If
+    ``gone`` fills the map, that join takes all rows.
+    """
+    sure, maybe, gone = _by_map(docs, id_col, gone)
     return sure.unionByName(maybe.join(gone, maybe[id_col].eqNullSafe(gone["_gone"]), "left_anti"))
+
+
+def with_ids(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id (null is an id, too) is in the one column of ``ids``."""
+    _, maybe, ids = _by_map(docs, id_col, ids)
+    return maybe.join(ids, maybe[id_col].eqNullSafe(ids["_gone"]), "left_semi")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from idlecost.llm.common import full_text, shuffle_partitions, stored, table, without_ids
+from idlecost.llm.common import full_text, shuffle_partitions, stored, table, with_ids, without_ids
 from idlecost.llm.wordhash import LOWER_AZ, mix, slices, window_hashes, word_hashes, words
 
 SHINGLE = 5
@@ -373,8 +373,9 @@ def _connected_sets(sets: DataFrame) -> DataFrame:
     return _relabel(now.select("set_key", "head"), stored(links, "member-links"), "merged-members").select("set_key", "head")
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``."""
+def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n_shingles, set_key, component_id, stay_key: the component of every row of
+    ``docs``, and of the sets that have the component's smallest id the smallest key."""
     texts = docs.select(F.col(id_col).alias("doc_id"), full_text(text_col).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
     rows = stored(texts.mapInArrow(_set_rows, f"doc_id {id_type}, n_shingles long, set_key long"), "sets")
@@ -383,29 +384,61 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("_id"))
     keyed = keyed.join(label, F.col("set_key") == F.col("_key"), "left").select(
         "set_key", "_id", F.coalesce("_head", "set_key").alias("_head"))
-    # Only groups of several sets need their smallest id looked up.
-    named = keyed.join(label.select("_head").distinct(), "_head", "left_semi").groupBy("_head").agg(F.min("_id").alias("_least"))
-    ids = keyed.join(named, "_head", "left").select("set_key", F.coalesce("_least", "_id").alias("_component"))
+    # Only groups of several sets need their smallest id looked up; a null id comes last.
+    named = keyed.join(label.select("_head").distinct(), "_head", "left_semi").groupBy("_head").agg(
+        F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("set_key").alias("key"))).alias("_least"))
+    several = F.col("_least").isNotNull()
+    ids = keyed.join(named, "_head", "left").select(
+        "set_key", F.when(several, F.col("_least.id")).otherwise(F.col("_id")).alias("_component"),
+        F.when(several, F.col("_least.key")).otherwise(F.col("set_key")).alias("stay_key"))
     return rows.join(ids, "set_key", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", "n_shingles", "set_key",
+        F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("doc_id")).alias("component_id"), "stay_key")
+
+
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs``."""
+    return _labelled(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def _keyed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the set key of ``_text`` (null without words) in its place."""
+    for batch in batches:
+        names = [n for n in batch.schema.names if n != "_text"]
+        for at, sets in _sets(batch.column("_text")):
+            keys = np.array([_set_key(s) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_pydict({n: batch.column(n).slice(at, len(sets)) for n in names}
+                                             | {"_set_key": pa.array(keys, mask=np.array([not len(s) for s in sets], dtype=bool))})
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component stays, that of the smallest id, all columns unchanged.
 
-    Documents without words stay.  Rows that repeat an id: those with the id that
-    stays are told apart by their columns, and the first in their order stays.
+    A row is told by its id and its set, so ids may repeat or be null: of the sets with
+    a component's smallest id (null comes last) the one with the smallest key stays, and
+    of several rows with that id and set the first in the order of their columns.
+    Documents without words stay.
     """
-    found = stored(link_components(docs, id_col, text_col), "components")
-    gone = found.where("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
-    main = without_ids(docs, id_col, gone)
-    repeated = found.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_again"))
-    if repeated.isEmpty():
+    found = _labelled(docs, id_col, text_col)
+    stays = (F.col("n_shingles") == 0) | ((F.col("set_key") == F.col("stay_key")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = stored(found.select("doc_id", "set_key", stays.alias("stays")), "components")
+    kept = found.where("stays").select(F.col("doc_id").alias("_kept"), F.col("set_key").alias("_kept_key"))
+    again = kept.where("_kept_key IS NOT NULL").groupBy("_kept", "_kept_key").agg(F.count("*").alias("_n")).where("_n > 1")
+    moved = stored(found.where("NOT stays").select("doc_id").union(again.select("_kept")).toDF("_moved").distinct(), "moved-ids")
+    main = without_ids(docs, id_col, moved)
+    # An id of which some rows go and others stay: only these rows' sets are made again.
+    both = stored(moved.join(kept.select("_kept").distinct(), F.col("_moved").eqNullSafe(F.col("_kept")), "left_semi"), "doubtful-ids")
+    if both.isEmpty():
         return main
-    again = main.join(repeated, F.col(id_col).eqNullSafe(F.col("_again")), "left_semi")
-    nth = Window.partitionBy(id_col).orderBy(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    one = again.withColumn("_nth", F.row_number().over(nth)).where("_nth = 1").select(*docs.columns)
-    return main.join(repeated, F.col(id_col).eqNullSafe(F.col("_again")), "left_anti").unionByName(one)
+    rows = with_ids(docs, id_col, both)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    rows = rows.select(*[F.col(f"`{c}`") for c in docs.columns], full_text(text_col).alias("_text")).mapInArrow(_keyed_rows, f"{columns}, _set_key long")
+    rows = stored(rows, "doubtful")
+    wordless = rows.where("_set_key IS NULL").select(*docs.columns)
+    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")) & (F.col("_set_key") == F.col("_kept_key")), "left_semi")
+    nth = Window.partitionBy(id_col, "_set_key").orderBy(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
+    one = rows.withColumn("_nth", F.row_number().over(nth)).where("_nth = 1").select(*docs.columns)
+    return main.unionByName(wordless).unionByName(one)
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,3 +138,21 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     want = [c for c in components(rows)]
     assert sorted(x for x in set(kept) if x is not None) == sorted({d for d, _, c in want if d is not None and d == c})
     assert kept.count(32) <= 1
+
+
+def test_near_dedup_of_repeated_and_null_ids(spark):
+    """Rows go by their text as well as by their id: one row of each component stays, all without words do."""
+    rng = random.Random(11)
+    a, b, c, d, e, f = (sentence(rng, 40, 100_000) for _ in range(6))
+    rows = [(1, a), (None, a + " more"), (None, b), (None, c), (None, None), (None, " "),  # (a), (c): unique null-id rows stay
+            (5, d), (6, d + " more"), (6, e),  # (b): 6 goes with d and stays with e
+            (7, f), (7, f + " more"), (8, f), (7, ""),  # one component, its smallest id repeated
+            (9, c + " more"), (10, b), (10, b)]
+    got = [(r.doc_id, r.text) for r in jaccard_join.near_dedup(docs(spark, rows)).collect()]
+    of = {x: sorted((r for r in got if r[1] and r[1].startswith(x)), key=row_key) for x in (a, b, c, d, e, f)}
+    assert of[a] == [(1, a)] and of[b] == [(10, b)] and of[c] == [(9, c + " more")] and of[d] == [(5, d)] and of[e] == [(6, e)]
+    assert len(of[f]) == 1 and of[f][0][0] == 7
+    assert sorted((r for r in got if not (r[1] or "").strip()), key=row_key) == sorted([(None, None), (None, " "), (7, "")], key=row_key)
+    alone = [(None, sentence(rng, 30, 100_000)) for _ in range(20)] + [(3, sentence(rng, 30, 100_000)) for _ in range(5)]
+    got = [(r.doc_id, r.text) for r in jaccard_join.near_dedup(docs(spark, alone + [(1, alone[0][1]), (4, alone[20][1])])).collect()]
+    assert sorted(got, key=row_key) == sorted(alone[1:] + [(1, alone[0][1])], key=row_key)
