@@ -8,10 +8,12 @@ positions, if on ``SIMILARITY`` of them at least, and positions that differ beco
 variable fields.  A template that occurs in ``MIN_DOCS`` documents recurs, and its
 lines are dropped.
 
-Leaves that fewer documents reach can't recur and stop at the tree.  A leaf's distinct
-lines are worked on in falling order of how common they are, in groups of about
-``GROUP`` lines chosen by a hash of the line, so no task gets an unbounded leaf; equal
-templates of several groups count together.
+Leaves that fewer documents reach can't recur and stop at the tree.  The places after
+the leading tokens are dealt to one block more than a template may have fields, so all
+lines of a template agree on a block at least.  A leaf's distinct lines gather once for
+each block, among those that agree on it, in falling order of how common they are; a
+line is dropped if one of its templates recurs.  A leaf of up to ``GROUP`` lines does
+that in one task; a larger one is dealt out by block, with the same result.
 
 Defined cases: null counts as empty and has no lines; lines of fewer than
 ``MIN_TOKENS`` tokens stay; rows that repeat both id and text are one document, and
@@ -23,6 +25,7 @@ an empty result; other columns are ignored by ``line_report`` and returned uncha
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -39,6 +42,7 @@ SIMILARITY = 0.7
 MIN_DOCS = 5
 MIN_TOKENS = 4
 GROUP = 4096
+WHOLE = -1
 FIELD = "<*>"
 _FIELD, _DIGIT = FIELD.encode(), re.compile(rb"[0-9]")
 
@@ -104,14 +108,51 @@ def templates(lines: list[list[str]], similarity: float = SIMILARITY) -> list[st
     return [said[k] for k in to.tolist()]
 
 
+def _blocks(tokens: list[str], similarity: float = SIMILARITY) -> list[tuple[str, ...]]:
+    """The block number and tokens of each block: lines that could share a template agree on one."""
+    n = len(tokens) - math.ceil(similarity * len(tokens)) + 1
+    return [(str(b), *tokens[DEPTH + b::n]) for b in range(n)]
+
+
+def block_templates(lines: list[list[str]]) -> set[tuple[int, str]]:
+    """(line, template) of all blocks of one leaf; a line that nothing joins is its own template."""
+    found = {(i, " ".join(line)) for i, line in enumerate(lines)}
+    alike: dict[tuple[str, ...], list[int]] = {}
+    for i, line in enumerate(lines):
+        for block in _blocks(line):
+            alike.setdefault(block, []).append(i)
+    for members in alike.values():
+        if len(members) > 1:
+            found.update(zip(members, templates([lines[i] for i in members]), strict=True))
+    return found
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """leaf, group, masked, seen: each line of a large leaf once for each block, the group being a hash of the block."""
+    for batch in batches:
+        rows = [(leaf, xxhash.xxh64_intdigest("\x00".join(block).encode()) >> 1, masked, seen)
+                for leaf, masked, seen in zip(*(batch.column(c).to_pylist() for c in ("leaf", "masked", "seen")), strict=True)
+                for block in _blocks(masked.split(" "))]
+        yield pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(
+            [("leaf", pa.int64()), ("group", pa.int64()), ("masked", pa.string()), ("seen", pa.int64())])})
+
+
 def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """leaf, masked, template; rows come sorted by leaf and group, one group is held."""
+    """leaf, masked, template; rows come sorted by leaf and group, one group is held.
+
+    Group ``WHOLE`` is a leaf with all its blocks, another group one block of a leaf.
+    """
     held: list[tuple[int, int, str]] = []
 
     def done() -> pa.RecordBatch:
+        lines = [h[2].split(" ") for h in held]
+        if held[0][1] == WHOLE:
+            found = sorted(block_templates(lines))
+        else:
+            found = [(i, t) for i, t in enumerate(templates(lines)) if t != held[i][2]]
         return pa.RecordBatch.from_pydict({
-            "leaf": pa.array([h[0] for h in held], pa.int64()), "masked": pa.array([h[2] for h in held], pa.string()),
-            "template": pa.array(templates([h[2].split(" ") for h in held]), pa.string())})
+            "leaf": pa.array([held[0][0]] * len(found), pa.int64()), "masked": pa.array([held[i][2] for i, _ in found], pa.string()),
+            "template": pa.array([t for _, t in found], pa.string())})
 
     for batch in batches:
         for leaf, group, masked in zip(*(batch.column(c).to_pylist() for c in ("leaf", "group", "masked")), strict=True):
@@ -129,10 +170,13 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "do
     reached = lines.select("leaf", "row").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
     lines = stored(lines.join(stored(reached, "leaves"), "leaf", "left_semi"), "leaf-lines")
     distinct = stored(lines.groupBy("leaf", "masked").agg(F.count("*").alias("seen")), "distinct-lines")
-    groups = distinct.groupBy("leaf").agg(F.ceil(F.count("*") / GROUP).alias("_groups"))
-    dealt = distinct.join(groups, "leaf").select("leaf", F.pmod(F.xxhash64("masked"), "_groups").alias("group"), "masked", "seen")
+    large = stored(distinct.groupBy("leaf").count().where(F.col("count") > GROUP).select("leaf"), "large-leaves")
+    hot = distinct.join(large, "leaf", "left_semi")
+    dealt = distinct.join(large, "leaf", "left_anti").select("leaf", F.lit(WHOLE).cast("long").alias("group"), "masked", "seen").unionByName(
+        hot.mapInArrow(_dealt, "leaf long, group long, masked string, seen long"))
     dealt = dealt.repartition("leaf", "group").sortWithinPartitions("leaf", "group", F.desc("seen"), "masked")
-    found = stored(dealt.mapInArrow(_templates, "leaf long, masked string, template string"), "templates")
+    found = dealt.mapInArrow(_templates, "leaf long, masked string, template string")
+    found = stored(found.unionByName(hot.select("leaf", "masked", F.col("masked").alias("template"))).distinct(), "templates")
     placed = lines.join(found.select("leaf", "masked", F.xxhash64("template").alias("template")), ["leaf", "masked"])
     placed = stored(placed.select("row", "line", "template"), "template-lines")
     recur = placed.select("template", "row").distinct().groupBy("template").count().where(F.col("count") >= min_docs).select("template")

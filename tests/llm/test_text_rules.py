@@ -110,6 +110,17 @@ def test_recurring_lines_go_and_clean_ones_stay(spark):
     assert report[0] == (4, 1, line_templates.sha256_without(rows[0][1], [1])) and report[10][:2] == (0, 0) and report[12][:2] == (3, 0)
 
 
+@pytest.mark.parametrize("group", [4096, 50])
+def test_templates_of_a_large_leaf_are_whole(spark, monkeypatch, group):
+    """Few variants of a template among many other lines of their leaf: none stays at any leaf size."""
+    monkeypatch.setattr(line_templates, "GROUP", group)
+    rng = random.Random(8)
+    rows = [(i, "the new day " + " ".join("".join(rng.choices("klmnopqrst", k=6)) for _ in range(6))) for i in range(600)]
+    rows += [(1000 + 10 * k + i, f"the new day {own} v{'abcdef'[i]} and then v{'fedcba'[i]} came") for k, own in enumerate(["began", "ended"]) for i in range(6)]
+    got = {r.doc_id: r.text for r in line_templates.drop_template_lines(docs(spark, rows)).collect()}
+    assert got == {i: t if i < 1000 else "" for i, t in rows}
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert quality_rules.quality(none).collect() == [] and pii.pii_spans(none).collect() == []
