@@ -2,11 +2,14 @@
 
 Lines are parsed at a fixed depth: the first layer of the tree is the number of
 tokens, the next ``DEPTH`` layers are the leading tokens, a token with a digit
-counting as a variable field ``<*>`` (in lines where most tokens have none).  In a
+counting as a variable field ``<*>``.  In a line where most tokens have a digit only the
+runs of digits are fields, so that its signs (``<*>-<*>-<*> <*>:<*>``) remain.  In a
 leaf, lines gather in templates: a line joins the template that agrees with it on most
 positions, if on ``SIMILARITY`` of them at least, and positions that differ become
 variable fields.  A template that occurs in ``MIN_DOCS`` documents recurs, and its
-lines are dropped.
+lines are dropped; lines of fewer than ``SHORT`` tokens and lines mostly of digits say
+less and need ``MORE`` times as many.  A line of ``LONG`` tokens or more that recurs word
+for word in fewer documents stays in one of them, as it may be all that its copies hold.
 
 Leaves that fewer documents reach can't recur and stop at the tree.  The places after
 the leading tokens are dealt to one block more than a template may have fields, so all
@@ -15,8 +18,7 @@ each block, among those that agree on it, in falling order of how common they ar
 line is dropped if one of its templates recurs.  A leaf of up to ``GROUP`` lines does
 that in one task; a larger one is dealt out by block, with the same result.
 
-Defined cases: null counts as empty and has no lines; lines of fewer than
-``MIN_TOKENS`` tokens stay; rows that repeat both id and text are one document, and
+Defined cases: null counts as empty and has no lines; lines without a token stay; rows that repeat both id and text are one document, and
 all lose the same lines; a text whose lines all go becomes empty; an empty table gives
 an empty result; other columns are ignored by ``line_report`` and returned unchanged by
 ``drop_template_lines``.
@@ -40,11 +42,12 @@ from idlecost.llm.common import full_text, stored, table
 DEPTH = 3
 SIMILARITY = 0.7
 MIN_DOCS = 5
-MIN_TOKENS = 4
+SHORT, LONG = 4, 20
+MORE = 4
 GROUP = 4096
 WHOLE = -1
 FIELD = "<*>"
-_FIELD, _DIGIT = FIELD.encode(), re.compile(rb"[0-9]")
+_FIELD, _DIGIT = FIELD.encode(), re.compile(rb"[0-9]+")
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
@@ -52,26 +55,32 @@ def _row_key(id_col: str, text_col: str) -> Column:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, line, leaf, masked of every line of ``MIN_TOKENS`` tokens; tokens are parted by ASCII white space."""
-    found: list[tuple[int, int, int, str]] = []
+    """row, line, leaf, weak, masked of every line with a token; tokens are parted by ASCII white space.
+
+    ``weak`` lines are the short ones and those mostly of digits.
+    """
+    found: list[tuple[int, int, int, bool, str]] = []
 
     def done() -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({
             "row": pa.array([x[0] for x in found], pa.int64()), "line": pa.array([x[1] for x in found], pa.int32()),
-            "leaf": pa.array([x[2] for x in found], pa.int64()), "masked": pa.array([x[3] for x in found], pa.string())})
+            "leaf": pa.array([x[2] for x in found], pa.int64()), "weak": pa.array([x[3] for x in found], pa.bool_()),
+            "masked": pa.array([x[4] for x in found], pa.string())})
 
     for batch in batches:
         for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
             for i, line in enumerate(text.encode().split(b"\n")):
                 tokens = line.split()
-                if len(tokens) < MIN_TOKENS:
+                if not tokens:
                     continue
+                weak = len(tokens) < SHORT
                 if _DIGIT.search(line):
                     masked = [_FIELD if _DIGIT.search(t) else t for t in tokens]
-                    if 2 * masked.count(_FIELD) <= len(tokens):
-                        tokens = masked
+                    if 2 * masked.count(_FIELD) > len(tokens):
+                        weak, masked = True, [_DIGIT.sub(_FIELD, t) for t in tokens]
+                    tokens = masked
                 leaf = xxhash.xxh64_intdigest(b" ".join([b"%d" % len(tokens), *tokens[:DEPTH]])) >> 1
-                found.append((row, i, leaf, b" ".join(tokens).decode()))
+                found.append((row, i, leaf, weak, b" ".join(tokens).decode()))
             if len(found) >= 20_000:
                 yield done()
                 found = []
@@ -79,10 +88,30 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
+def _long_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, line, said: a hash of the words of every line of ``LONG`` tokens or more."""
+    for batch in batches:
+        found = [(row, i, xxhash.xxh64_intdigest(b" ".join(tokens)) >> 1)
+                 for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True)
+                 for i, tokens in enumerate(x.split() for x in text.encode().split(b"\n")) if len(tokens) >= LONG]
+        yield pa.RecordBatch.from_pydict({c: pa.array([f[k] for f in found], t) for k, (c, t) in enumerate(
+            [("row", pa.int64()), ("line", pa.int32()), ("said", pa.int64())])})
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(_row_key(id_col, text_col).alias("row"), full_text(text_col).alias("text"))
+
+
 def _leaves(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row, line, leaf, masked: the lines of every text with their leaf of the tree."""
-    texts = docs.select(_row_key(id_col, text_col).alias("row"), full_text(text_col).alias("text"))
-    return texts.mapInArrow(_parsed, "row long, line int, leaf long, masked string")
+    """row, line, leaf, weak, masked: the lines of every text with their leaf of the tree."""
+    return _rows(docs, id_col, text_col).mapInArrow(_parsed, "row long, line int, leaf long, weak boolean, masked string")
+
+
+def _copied_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row, line: the long lines that another document has word for word, but for those of one document."""
+    lines = stored(_rows(docs, id_col, text_col).mapInArrow(_long_lines, "row long, line int, said long"), "long-lines")
+    first = lines.groupBy("said").agg(F.min("row").alias("_first"), F.max("row").alias("_last")).where("_first <> _last")
+    return lines.join(first.select("said", "_first"), "said").where("row <> _first").select("row", "line")
 
 
 def templates(lines: list[list[str]], similarity: float = SIMILARITY) -> list[str]:
@@ -167,7 +196,8 @@ def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, lines: the places of the lines of recurring templates in each text that has any."""
     lines = _leaves(docs, id_col, text_col)
-    reached = lines.select("leaf", "row").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
+    reached = lines.select("leaf", "weak", "row").distinct().groupBy("leaf").agg(F.count("*").alias("count"), F.min("weak").alias("weak"))
+    reached = reached.where(F.col("count") >= F.when(F.col("weak"), MORE * min_docs).otherwise(min_docs)).select("leaf")
     lines = stored(lines.join(stored(reached, "leaves"), "leaf", "left_semi"), "leaf-lines")
     distinct = stored(lines.groupBy("leaf", "masked").agg(F.count("*").alias("seen")), "distinct-lines")
     large = stored(distinct.groupBy("leaf").count().where(F.col("count") > GROUP).select("leaf"), "large-leaves")
@@ -178,9 +208,11 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "do
     found = dealt.mapInArrow(_templates, "leaf long, masked string, template string")
     found = stored(found.unionByName(hot.select("leaf", "masked", F.col("masked").alias("template"))).distinct(), "templates")
     placed = lines.join(found.select("leaf", "masked", F.xxhash64("template").alias("template")), ["leaf", "masked"])
-    placed = stored(placed.select("row", "line", "template"), "template-lines")
-    recur = placed.select("template", "row").distinct().groupBy("template").count().where(F.col("count") >= min_docs).select("template")
-    gone = placed.join(recur, "template", "left_semi").select("row", "line").distinct()
+    placed = stored(placed.select("row", "line", "weak", "template"), "template-lines")
+    recur = placed.groupBy("template", "row").agg(F.max("weak").alias("weak")).groupBy("template").agg(F.count("*").alias("count"), F.max("weak").alias("weak"))
+    recur = recur.where(F.col("count") >= F.when(F.col("weak"), MORE * min_docs).otherwise(min_docs)).select("template")
+    gone = placed.join(recur, "template", "left_semi").select("row", "line")
+    gone = gone.unionByName(_copied_lines(docs, id_col, text_col)).distinct()
     return gone.groupBy("row").agg(F.collect_list("line").alias("_lines")).withColumnRenamed("row", "_row")
 
 

@@ -110,6 +110,22 @@ def test_recurring_lines_go_and_clean_ones_stay(spark):
     assert report[0] == (4, 1, line_templates.sha256_without(rows[0][1], [1])) and report[10][:2] == (0, 0) and report[12][:2] == (3, 0)
 
 
+def test_long_short_and_numeric_lines(spark):
+    """Long lines stay in one of their few documents; short and numeric lines go from 20 documents on."""
+    rng = random.Random(12)
+    passage, sure = sentence(rng, 60, 100_000), lambda: " ".join("".join(rng.choices("klmnopqrst", k=6)) for _ in range(8))
+    own = {i: sure() for i in range(40)}
+    number = lambda: f"2024-0{rng.randrange(1, 9)}-1{rng.randrange(9)} 1{rng.randrange(9)}:{rng.randrange(10, 60)} 10.0.{rng.randrange(9)}.1 {rng.choice([200, 404])} {rng.randrange(9999)}"
+    rows = []
+    for i in range(40):
+        lines = [own[i]] + ["All rights reserved"] * (i < 20) + ["See page 7"] * (i >= 25) + [number()] * (i < 20) + [f"{i + 10} 2.{i} 3 {i}"] * (i >= 25) + [passage] * (i in (3, 33))
+        rows.append((i, "\n".join(lines)))
+    got = {r.doc_id: r.text.split("\n") for r in line_templates.drop_template_lines(docs(spark, rows)).collect()}
+    assert sorted(passage in got[i] for i in (3, 33)) == [False, True]
+    for i, text in rows:
+        assert [x for x in got[i] if x != passage] == ([own[i]] if i < 20 else [x for x in text.split("\n") if x != passage])
+
+
 @pytest.mark.parametrize("group", [4096, 50])
 def test_templates_of_a_large_leaf_are_whole(spark, monkeypatch, group):
     """Few variants of a template among many other lines of their leaf: none stays at any leaf size."""
