@@ -20,7 +20,7 @@ from idlecost.sources.tables import Inputs
 
 class CustomerAnalysis:
     def __init__(self, inputs: Inputs, params: TcoParams, check: bool = True):
-        check_session(inputs.statements.sparkSession)
+        check_session(inputs.spark)
         params.require("customer_name", "lifecycle_metric", "create_actions")
         self.inputs = inputs
         self.params = params
@@ -35,9 +35,8 @@ class CustomerAnalysis:
     @cached_property
     def non_serverless_clusters(self) -> DataFrame:
         p = self.params
-        id_type = self.inputs.endpoints.schema["cluster_id"].dataType.simpleString()
         return op.non_serverless_clusters(self.inputs.cluster_events, p.start_date, p.end_date,
-                                          p.lifecycle_metric, p.create_actions, id_type)
+                                          p.lifecycle_metric, p.create_actions, self.inputs.id_type)
 
     @cached_property
     def customer_clusters(self) -> DataFrame:

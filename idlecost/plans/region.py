@@ -17,7 +17,7 @@ KEYS = ("cluster_id", "endpoint_id", "workspace_id", "customer_name")
 
 class RegionAnalysis:
     def __init__(self, inputs: Inputs, params: TcoParams, check: bool = True):
-        check_session(inputs.statements.sparkSession)
+        check_session(inputs.spark)
         params.require("sales_region")
         self.inputs = inputs
         self.params = params

@@ -30,8 +30,27 @@ AWS_WORKER = "i3.2xlarge"
 SQL_PRIORITIES = ["1-URGENT", "2-HIGH"]
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+#: The columns of the driver's tables that the fixtures read.
+TABLES = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int",
+    "orders": "o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "nation": "n_nationkey int, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
+
+class Tables:
+    """The driver's tables of one folder: each file is opened once, with a declared schema."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+        self.opened: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.opened:
+            self.opened[name] = self.spark.read.schema(TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.opened[name]
 
 
 def _user() -> F.Column:
@@ -51,8 +70,8 @@ def _pick(index: F.Column, values: list[str]) -> F.Column:
     return expr
 
 
-def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _read(spark, sf_dir, "events")
+def statements(tables: Tables) -> DataFrame:
+    ev = tables["events"]
     return ev.select(
         F.col("event_id").alias("statement_id"),
         _per(USERS_PER_CLUSTER).alias("cluster_id"),
@@ -67,8 +86,8 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _read(spark, sf_dir, "events")
+def endpoints(tables: Tables) -> DataFrame:
+    ev = tables["events"]
     return ev.select(
         _per(USERS_PER_CLUSTER).alias("cluster_id"),
         _per(USERS_PER_ENDPOINT).alias("endpoint_id"),
@@ -76,8 +95,8 @@ def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
-def cluster_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = _read(spark, sf_dir, "events").select("user_id").distinct()
+def cluster_events(tables: Tables) -> DataFrame:
+    users = tables["events"].select("user_id").distinct()
     uid = F.col("user_id")
     cluster = F.call_function("div", uid, F.lit(USERS_PER_CLUSTER)).cast("long")
     action = (
@@ -102,20 +121,20 @@ def cluster_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _read(spark, sf_dir, "customer")
+def workspaces(tables: Tables) -> DataFrame:
+    c = tables["customer"]
     return c.select(
         F.col("c_custkey").alias("workspace_id"),
         F.when(F.col("c_custkey") % 2 == 0, F.upper("c_name")).otherwise(F.col("c_name")).alias("customer_name"),
     )
 
 
-def billing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _read(spark, sf_dir, "orders").alias("o")
-    c = _read(spark, sf_dir, "customer").alias("c")
-    n = _read(spark, sf_dir, "nation").alias("n")
-    r = _read(spark, sf_dir, "region").alias("r")
-    a = _read(spark, sf_dir, "customer").alias("a")
+def billing(tables: Tables) -> DataFrame:
+    o = tables["orders"].alias("o")
+    c = tables["customer"].alias("c")
+    n = tables["nation"].alias("n")
+    r = tables["region"].alias("r")
+    a = tables["customer"].alias("a")
     payer = F.call_function("div", F.col("o.o_custkey"), F.lit(CUSTOMERS_PER_ACCOUNT)).cast("long")
     j = (
         o.join(c, F.col("o.o_custkey") == F.col("c.c_custkey"))
@@ -133,8 +152,8 @@ def billing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def workloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _read(spark, sf_dir, "events")
+def workloads(tables: Tables) -> DataFrame:
+    ev = tables["events"]
     uid, eid = F.col("user_id"), F.col("event_id")
     azure = (uid % 13).between(6, 10)
     return ev.select(
@@ -151,15 +170,10 @@ def workloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_fixture_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    """The six logical inputs over ``sf_dir`` (lazy; the files are listed anew at each call)."""
-    return Inputs(
-        statements=statements(spark, sf_dir),
-        endpoints=endpoints(spark, sf_dir),
-        cluster_events=cluster_events(spark, sf_dir),
-        workspaces=workspaces(spark, sf_dir),
-        workloads=workloads(spark, sf_dir),
-        billing=billing(spark, sf_dir),
-    )
+    """The six logical inputs over ``sf_dir``: a query opens the files of the inputs that it reads."""
+    tables = Tables(spark, sf_dir)
+    makers = (statements, endpoints, cluster_events, workspaces, workloads, billing)
+    return Inputs(spark, {make.__name__: (lambda make=make: make(tables)) for make in makers}, id_type="bigint")
 
 
 #: Parameters of the registered queries (FIXTURES.md); the statement log and the billing have their own ranges.

@@ -1,7 +1,8 @@
 """Logical input tables and the columns each operator needs.
 
 Column names are neutral; ids may be any equality-comparable type (the fixtures
-use bigint, production logs often use strings).
+use bigint, production logs often use strings).  Files are read with these schemas, so
+no job infers them; columns that a file has beyond them are not read.
 """
 
 from __future__ import annotations
@@ -67,10 +68,21 @@ SCHEMAS = {
     "workloads": WORKLOADS,
 }
 
+#: Inputs an analysis can do without: columns and defaults are told where they are read.
+OPTIONAL: dict[str, T.StructType] = {}
+
+ID_COLUMNS = ("statement_id", "cluster_id", "endpoint_id", "workspace_id")
+
+
+def declared(table: str, id_type: str = "bigint") -> T.StructType:
+    """The schema of a logical table with ids of ``id_type``."""
+    ids = T.StructType.fromDDL(f"id {id_type}")["id"].dataType
+    return T.StructType([T.StructField(f.name, ids) if f.name in ID_COLUMNS else f for f in ({**SCHEMAS, **OPTIONAL})[table].fields])
+
 
 def require_columns(df: DataFrame, table: str, columns: list[str] | None = None) -> DataFrame:
     """Raise a clear error if ``df`` lacks a column the operators read from ``table``."""
-    wanted = columns if columns is not None else SCHEMAS[table].fieldNames()
+    wanted = columns if columns is not None else ({**SCHEMAS, **OPTIONAL})[table].fieldNames()
     have = {c.lower() for c in df.columns}
     missing = [c for c in wanted if c.lower() not in have]
     if missing:
