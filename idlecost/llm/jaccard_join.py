@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from idlecost.llm.common import full_text, shuffle_partitions, stored, table, with_ids, without_ids
-from idlecost.llm.wordhash import LOWER_AZ, mix, slices, window_hashes, word_hashes, words
+from idlecost.llm.wordhash import LOWER_AZ, free_memory, mix, slices, window_hashes, word_hashes, words
 
 SHINGLE = 5
 #: A link: PERCENT * union <= 100 * intersection.
@@ -51,6 +51,8 @@ MIN_HASHES = 4
 SIZE_STEP = 1.03
 #: Members whose tokens are put together at once, and tokens of a union in one row.
 PART, SLOT = 64, 20_000
+#: Tokens that are packed into blobs at once.
+BLOB_TOKENS = 1 << 20
 
 
 # --- 1. sets ------------------------------------------------------------------
@@ -91,6 +93,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id").slice(at, len(sets)), "n_shingles": pa.array(n),
                 "set_key": pa.array(keys, mask=n == 0)})
+    free_memory()
 
 
 # --- 2. shared tokens ---------------------------------------------------------
@@ -133,19 +136,26 @@ def _blob_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 def _token_blobs(buckets: int):
+    def packed(own: dict[int, np.ndarray]) -> pa.RecordBatch:
+        sizes = np.array([len(s) for s in own.values()])
+        token = np.concatenate(list(own.values()))
+        to = ((token & np.uint64(0xFFFF)) * np.uint64(buckets) >> np.uint64(16)).astype(np.uint16)
+        return _blob_batch(list(_blobs(to, np.repeat(np.array(list(own), dtype=np.uint64), sizes), np.repeat(sizes, sizes), token)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n = {}, 0  # copies that come together once
         for batch in batches:
             for _, sets in _sets(batch.column("text")):
-                own = {}  # copies inside a slice once
                 for s in sets:
                     if len(s):
                         own[int(_set_key(s))] = s
-                if not own:
-                    continue
-                sizes = np.array([len(s) for s in own.values()])
-                token = np.concatenate(list(own.values()))
-                to = ((token & np.uint64(0xFFFF)) * np.uint64(buckets) >> np.uint64(16)).astype(np.uint16)
-                yield _blob_batch(list(_blobs(to, np.repeat(np.array(list(own), dtype=np.uint64), sizes), np.repeat(sizes, sizes), token)))
+                        n += len(s)
+                if n >= BLOB_TOKENS:
+                    yield packed(own)
+                    own, n = {}, 0
+        if own:
+            yield packed(own)
+        free_memory()
     return run
 
 

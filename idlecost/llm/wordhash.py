@@ -7,6 +7,7 @@ equal when their 64-bit hashes are.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from idlecost.llm.common import SPACE_BYTES
 
 #: Bytes of text that are worked on at once (one longer text is worked on alone).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[list(SPACE_BYTES)] = True
@@ -27,6 +28,14 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
                  0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 
 
+def free_memory() -> None:
+    """Give freed memory back to the system: an idle Python worker keeps its process, and with it all it ever held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Words(NamedTuple):
     """Words of consecutive texts: word ``w`` of the slice spans data[start[w]:start[w] + length[w]];
     text ``d`` has the words first[d]:first[d + 1] and the bytes offset[d]:offset[d + 1]."""
