@@ -44,8 +44,8 @@ class TcoParams:
     create_actions: tuple[str, ...] = ()
     # sessions
     session_scope: str = "cluster"
-    # For time-outs below it, the bucket of the two-level scan over session cells
-    # (range / width rows in a key's prefix scan).  Results do not depend on it.
+    # Time-outs below it take the scan over range partitions of session cells, others the
+    # scan over a scope's cells (range / time-out rows).  Results do not depend on it.
     session_bucket_s: int = 60
 
     def __post_init__(self) -> None:

@@ -16,14 +16,18 @@ statement -- on one task.  Instead the scan runs over cells:
    of all earlier cells; its session is the start of the latest opener;
 3. cells of one session are aggregated.
 
-For a time-out below ``bucket`` there are many cells, so the scan itself runs in two
-levels over buckets of cells: inside each bucket a window computes the latest *local*
-opener; a per-bucket summary (max end, last local opener) gets its own prefix scan;
-joined back, a cell's session is its local opener if that one still opens against the
-carry-in, else the carried one.  (True openers of a bucket are a suffix of its local
-openers: their starts grow, so ``start - gap > carry_in`` holds from some point on.)
-Which of the two forms runs depends on the time-out alone; results are the same
-(tests check both against the plain window).  Ends are never before starts.
+For a time-out below ``bucket`` a scope can have a cell a statement.  The cells are then
+dealt to range partitions by (scope, cell) -- sampled borders, so that a burst of a
+minute or a hot cluster spreads over as many partitions as its cells need -- and stored
+with the number of their partition.  The scan runs in two levels: inside each part (the
+cells of one scope in one partition) a window computes the latest *local* opener; a
+summary row a part (max end, last local opener) gets its own prefix scan over the parts
+of its scope, at most one a partition; joined back, a cell's session is its local opener
+if that one still opens against what the part's carry-in holds, else the carried one.  (True openers of
+a part are a suffix of its local openers: their starts grow, so ``start - gap >
+carry_in`` holds from some point on.)  Which of the two forms runs depends on the
+time-out alone; results are the same (tests check both against the plain window).  Ends
+are never before starts.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from idlecost.functions.time import MICROS_PER_SECOND, date_of_us, floor_div, floor_to_second
+from idlecost.session import stored
 
 SESSION_KEY = "_session"
 
@@ -50,23 +55,27 @@ def _with_session(cells: DataFrame, part: list[str], gap: Column) -> DataFrame:
     return cells.withColumn(SESSION_KEY, F.max("_o").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("_o")
 
 
-def _bucketed_cell_sessions(cells: DataFrame, part: list[str], gap: Column, bucket_us: int) -> DataFrame:
-    """The same in two levels: inside buckets of cells, then over one row a bucket."""
-    bkey = [*part, "_bucket"]
-    rows = cells.withColumn("_bucket", floor_div(F.col("_s"), bucket_us))
-    # Spelled out, so that both uses of ``rows`` stay identical and Spark runs them once.
-    rows = rows.filter(F.col("_bucket").isNotNull())
+def _range_parts(cells: DataFrame, part: list[str]) -> DataFrame:
+    """``cells`` in order of scope and cell, dealt to range partitions of about equal size, with the
+    partition's number.  They are stored, so that every use sees the same partitions."""
+    return stored(cells.repartitionByRange(*part, "_cell").withColumn("_range", F.spark_partition_id()), "cells")
+
+
+def _ranged_cell_sessions(cells: DataFrame, part: list[str], gap: Column) -> DataFrame:
+    """The same in two levels: inside each scope's part of a range partition, then over one row a part."""
+    bkey = [*part, "_range"]
+    rows = _range_parts(cells, part)
     w = Window.partitionBy(*bkey).orderBy("_cell")
     rows = rows.select("*", F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
     local = F.when(_opens(F.col("_s"), F.col("_before"), gap), F.col("_s"))
     rows = rows.select(*bkey, "_cell", "_e", F.max(local).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_lo"))
 
-    wb = (Window.partitionBy(*part) if part else Window).orderBy("_bucket")
+    wb = (Window.partitionBy(*part) if part else Window).orderBy("_range")
     earlier = wb.rowsBetween(Window.unboundedPreceding, -1)
-    buckets = rows.groupBy(*bkey).agg(F.max("_e").alias("_bmax"), F.max("_lo").alias("_blo"))
-    buckets = buckets.select(*bkey, "_blo", F.max("_bmax").over(earlier).alias("_cin"))
-    bucket_open = F.when(_opens(F.col("_blo"), F.col("_cin"), gap), F.col("_blo"))
-    carry = buckets.select(*bkey, "_cin", F.max(bucket_open).over(earlier).alias("_copen"))
+    parts = rows.groupBy(*bkey).agg(F.max("_e").alias("_bmax"), F.max("_lo").alias("_blo"))
+    parts = parts.select(*bkey, "_blo", F.max("_bmax").over(earlier).alias("_cin"))
+    part_open = F.when(_opens(F.col("_blo"), F.col("_cin"), gap), F.col("_blo"))
+    carry = parts.select(*bkey, "_cin", F.max(part_open).over(earlier).alias("_copen"))
     session = F.when(_opens(F.col("_lo"), F.col("_cin"), gap), F.col("_lo")).otherwise(F.col("_copen"))
     return rows.join(carry, bkey).select(*part, "_cell", session.alias(SESSION_KEY))
 
@@ -87,7 +96,8 @@ def merge_sessions(
     is split by (the original analysis splits a global session per cluster, endpoint,
     workspace).  Returns ``partition_by + group_by`` columns, ``_session`` (the
     start of the statement that opened the session), ``start_us`` (earliest
-    start), ``end_us`` (latest end) and ``statements``.
+    start), ``end_us`` (latest end) and ``statements``.  ``bucket_us``: time-outs below it
+    take the scan over range partitions.
     """
     if gap_us < 0:
         raise ValueError("gap must be >= 0")
@@ -113,7 +123,7 @@ def merge_sessions(
         if gap_us >= bucket_us:
             sessions = _with_session(scope, part, gap).select(*part, "_cell", SESSION_KEY)
         else:
-            sessions = _bucketed_cell_sessions(scope, part, gap, int(bucket_us))
+            sessions = _ranged_cell_sessions(scope, part, gap)
         cells = cells.join(sessions, [*part, "_cell"])
     return cells.groupBy(*keys, SESSION_KEY).agg(
         F.min("_s").alias("start_us"),

@@ -186,6 +186,7 @@ def _ctes() -> dict[str, str]:
     wkeys = "cluster_id, endpoint_id, workspace_id"
     c["sessions_all"] = _sessions("all_att", m.auto_stop_s, "cluster", wkeys)
     c["sessions_all_global"] = _sessions("all_att", GLOBAL_SESSION_AUTO_STOP_S, "global", wkeys)
+    c["sessions_all_instant"] = _sessions("all_att", 0, "cluster", wkeys)
     c["sessions_all_ivl"] = f"SELECT {wkeys}, start_us, end_autostop_us AS end_us FROM sessions_all"
     c["session_slices"] = _slices("sessions_all_ivl", wkeys)
 
@@ -319,6 +320,8 @@ def _queries() -> dict[str, str]:
         "idle_sessions": f"SELECT {slice_cols}, {_DATE_CAST}, start_us, end_us, end_autostop_us, statements FROM sessions_all",
         "idle_sessions_global": f"""SELECT {slice_cols}, {_DATE_CAST}, start_us, end_us, end_autostop_us, statements
                                     FROM sessions_all_global""",
+        "idle_sessions_instant": f"""SELECT {slice_cols}, {_DATE_CAST}, start_us, end_us, end_autostop_us, statements
+                                     FROM sessions_all_instant""",
         "day_slices": f"SELECT {slice_cols}, {_DATE_CAST}, start_us, end_us FROM session_slices",
         "always_on_daily": f"""SELECT {_DATE_CAST}, cluster_id, endpoint_id, workspace_id, driver_node_type,
                                worker_node_type, region, start_us, end_us, max_pricing_units, max_workers, is_spot,

@@ -1,8 +1,8 @@
 """Single-customer analysis, broken down by endpoint (the first notebook, re-expressed).
 
-Attributes are lazy DataFrames, but for the map of the analysed clusters, a small
-table that is written to the shared folder when first needed (its emptiness is the
-guard).  ``plans.write_reports`` writes every report.
+Attributes are lazy DataFrames, but for two tables that are written to the shared folder
+when first needed: the map of the analysed clusters (its emptiness is the guard), and the
+sessions, from which all costs and reports come.  ``plans.write_reports`` writes every report.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from idlecost import operators as op
 from idlecost.config import TcoParams
@@ -18,6 +19,9 @@ from idlecost.session import check_session, stored
 from idlecost.sources.tables import Inputs
 
 
+KEYS = ("cluster_id", "endpoint_id", "workspace_id")
+
+
 class CustomerAnalysis:
     def __init__(self, inputs: Inputs, params: TcoParams, check: bool = True):
         check_session(inputs.spark)
@@ -60,18 +64,25 @@ class CustomerAnalysis:
         return op.attributed_statements(self.intervals, self.analysed_clusters)
 
     def daily_workloads(self, start_date: dt.date | None = None) -> DataFrame:
-        """Daily workloads of the analysed clusters (from ``start_date`` where it is known)."""
+        """Daily workloads of the analysed clusters (from ``start_date``, else the first day of any session)."""
         ids = self.analysed_clusters.select("cluster_id")
-        return op.daily_workloads(self.inputs.workloads.join(ids, "cluster_id", "left_semi"), self.params.end_date, start_date)
+        return op.daily_workloads(self.inputs.workloads.join(ids, "cluster_id", "left_semi"), self.params.end_date,
+                                  start_date or self.first_day)
 
     # -- always-on -----------------------------------------------------------
     @cached_property
     def active_span(self) -> DataFrame:
         return op.active_span(self.statements)
 
+    @staticmethod
+    def _spans_of(sessions: DataFrame) -> DataFrame:
+        """``active_span`` taken over the sessions: they partition a warehouse's statements, so min start and max end agree."""
+        keys = [c for c in KEYS if c in sessions.columns]
+        return op.active_span(sessions.select(*keys, "start_us", "end_us"), keys)
+
     @cached_property
     def always_on_daily(self) -> DataFrame:
-        return op.always_on_daily(self.active_span, self.daily_workloads())
+        return op.always_on_daily(self._spans_of(self.session_table), self.daily_workloads())
 
     @cached_property
     def always_on_dbu(self) -> DataFrame:
@@ -82,12 +93,8 @@ class CustomerAnalysis:
         return op.vm_cost(self.always_on_dbu, self.params.vm_discount_pct)
 
     def always_on_costs_of(self, sessions: DataFrame, start_date: dt.date | None = None) -> DataFrame:
-        """The same rows as ``always_on_costs``, with each warehouse's span taken over its
-        sessions (they partition its statements, so min start and max end agree): reports
-        that need both cost branches then read the statement log once."""
-        keys = [c for c in ("cluster_id", "endpoint_id", "workspace_id") if c in sessions.columns]
-        spans = op.active_span(sessions.select(*keys, "start_us", "end_us"), keys)
-        daily = op.always_on_daily(spans, self.daily_workloads(start_date))
+        """The same rows as ``always_on_costs``, from the given sessions."""
+        daily = op.always_on_daily(self._spans_of(sessions), self.daily_workloads(start_date))
         return op.vm_cost(op.dbu_cost_always_on(daily, self.params.cost_per_dbu_always_on), self.params.vm_discount_pct)
 
     # -- on-demand -----------------------------------------------------------
@@ -96,13 +103,24 @@ class CustomerAnalysis:
         p = self.params
         return op.idle_sessions(self.statements, p.auto_stop_s, p.session_scope, bucket_s=p.session_bucket_s)
 
+    @cached_property
+    def session_table(self) -> DataFrame:
+        """The sessions, stored when first needed: the analysis' only pass over the statement log.
+        Spans, costs and reports come from this table of one row a session."""
+        return stored(self.sessions, "sessions")
+
+    @cached_property
+    def first_day(self) -> dt.date | None:
+        """The first day any session starts on, an exact lower bound of the workloads that are needed."""
+        return self.session_table.agg(F.min("date")).first()[0]
+
     @cached_property
     def on_demand_usage(self) -> DataFrame:
-        return op.on_demand_usage(self.sessions, self.daily_workloads())
+        return op.on_demand_usage(self.session_table, self.daily_workloads())
 
     @cached_property
     def on_demand_costs(self) -> DataFrame:
-        return self.on_demand_costs_of(self.sessions)
+        return self.on_demand_costs_of(self.session_table)
 
     def on_demand_costs_of(self, sessions: DataFrame, start_date: dt.date | None = None) -> DataFrame:
         p = self.params
@@ -117,14 +135,14 @@ class CustomerAnalysis:
         return op.on_demand_by_endpoint(self.on_demand_costs, sort)
 
     def grand_totals(self) -> DataFrame:
-        return op.grand_totals(self.always_on_costs_of(self.sessions), self.on_demand_costs)
+        return op.grand_totals(self.always_on_costs, self.on_demand_costs)
 
     def cost_comparison_daily(self) -> DataFrame:
-        return op.cost_comparison_daily(self.always_on_costs_of(self.sessions), self.on_demand_costs)
+        return op.cost_comparison_daily(self.always_on_costs, self.on_demand_costs)
 
     def timeline_sessions(self) -> DataFrame:
         """Per-day bars of on-demand sessions including their auto-stop tail."""
-        return _bars(self.sessions, "end_autostop_us")
+        return _bars(self.session_table, "end_autostop_us")
 
     def timeline_statements(self) -> DataFrame:
         return _bars(self.statements, "end_us")

@@ -6,6 +6,7 @@ import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from idlecost import operators as op
 from idlecost.config import TcoParams
@@ -54,9 +55,10 @@ class RegionAnalysis:
         return op.attributed_statements_region(self.intervals, self.account_clusters)
 
     def daily_workloads(self, start_date: dt.date | None = None) -> DataFrame:
-        """Daily workloads of the selected accounts' clusters (from ``start_date`` where it is known)."""
+        """Daily workloads of the selected accounts' clusters (from ``start_date``, else the first day of any session)."""
         ids = self.account_clusters.select("cluster_id")
-        return op.daily_workloads(self.inputs.workloads.join(ids, "cluster_id", "left_semi"), self.params.end_date, start_date)
+        return op.daily_workloads(self.inputs.workloads.join(ids, "cluster_id", "left_semi"), self.params.end_date,
+                                  start_date or self.first_day)
 
     @cached_property
     def active_span(self) -> DataFrame:
@@ -64,7 +66,7 @@ class RegionAnalysis:
 
     @cached_property
     def always_on_daily(self) -> DataFrame:
-        return op.always_on_daily_region(self.active_span, self.daily_workloads())
+        return op.always_on_daily_region(self._spans_of(self.session_table), self.daily_workloads())
 
     @cached_property
     def always_on_costs(self) -> DataFrame:
@@ -75,20 +77,34 @@ class RegionAnalysis:
         return op.vm_cost_region(op.dbu_cost_always_on(daily, p.cost_per_dbu_always_on), p.vm_discount_pct)
 
     def always_on_costs_of(self, sessions: DataFrame, start_date: dt.date | None = None) -> DataFrame:
-        """The same rows as ``always_on_costs``, spans taken over the sessions (one pass
-        over the statement log for reports that need both cost branches)."""
+        """The same rows as ``always_on_costs``, from the given sessions."""
+        return self._priced(op.always_on_daily_region(self._spans_of(sessions), self.daily_workloads(start_date)))
+
+    @staticmethod
+    def _spans_of(sessions: DataFrame) -> DataFrame:
+        """``active_span`` taken over the sessions: they partition a warehouse's statements, so min start and max end agree."""
         keys = [c for c in KEYS if c in sessions.columns]
-        spans = op.active_span(sessions.select(*keys, "start_us", "end_us"), keys)
-        return self._priced(op.always_on_daily_region(spans, self.daily_workloads(start_date)))
+        return op.active_span(sessions.select(*keys, "start_us", "end_us"), keys)
 
     @cached_property
     def sessions(self) -> DataFrame:
         p = self.params
         return op.idle_sessions(self.statements, p.auto_stop_s, p.session_scope, bucket_s=p.session_bucket_s)
 
+    @cached_property
+    def session_table(self) -> DataFrame:
+        """The sessions, stored when first needed: the analysis' only pass over the statement log.
+        Spans, costs and reports come from this table of one row a session."""
+        return stored(self.sessions, "sessions")
+
+    @cached_property
+    def first_day(self) -> dt.date | None:
+        """The first day any session starts on, an exact lower bound of the workloads that are needed."""
+        return self.session_table.agg(F.min("date")).first()[0]
+
     @cached_property
     def on_demand_costs(self) -> DataFrame:
-        return self.on_demand_costs_of(self.sessions)
+        return self.on_demand_costs_of(self.session_table)
 
     def on_demand_costs_of(self, sessions: DataFrame, start_date: dt.date | None = None) -> DataFrame:
         p = self.params
@@ -102,8 +118,7 @@ class RegionAnalysis:
         return op.on_demand_by_customer(self.on_demand_costs, sort)
 
     def cost_comparison(self) -> DataFrame:
-        always_on = op.always_on_by_customer(self.always_on_costs_of(self.sessions), sort=False)
-        return op.cost_comparison(self.on_demand_by_customer(sort=False), always_on)
+        return op.cost_comparison(self.on_demand_by_customer(sort=False), self.always_on_by_customer(sort=False))
 
     def totals(self, sessions: DataFrame, always_on: DataFrame, on_demand: DataFrame) -> dict[str, DataFrame]:
         """Every further report, from the written sessions and costs."""

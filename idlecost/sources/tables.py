@@ -80,8 +80,7 @@ def load_inputs(spark: SparkSession, locations: dict[str, str], fmt: str = "parq
     schemas = schemas or {}
 
     def opener(name: str) -> Callable[[], DataFrame]:
-        schema = schemas[name] if name in schemas else declared(name, id_type)
-        return lambda: read_table(spark, locations[name], fmt, schema)
+        return lambda: read_table(spark, locations[name], fmt, schemas[name] if name in schemas else declared(name, id_type))
 
     catalog = "/" not in locations.get("endpoints", "/")
     return Inputs(spark, {name: opener(name) for name in locations}, None if catalog or "endpoints" in schemas else id_type)

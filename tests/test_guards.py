@@ -1,6 +1,9 @@
 """Guards: time zone, required parameters, case duplicates, stray ids, repeated map rows, pinned prices."""
 
 import hashlib
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from helpers import intervals_df
 from idlecost import TcoParams
 from idlecost import operators as op
 from idlecost.plans import CustomerAnalysis, RegionAnalysis
+from idlecost.sources import load_inputs
 from idlecost.sources import price_book as pb
 from idlecost.sources.fixtures import CUSTOMER_PARAMS, REGION_PARAMS, load_fixture_inputs
 
@@ -34,6 +38,54 @@ def test_parameters_of_the_entry_are_required(spark):
         RegionAnalysis(inputs, bare)
 
 
+def test_a_query_opens_only_its_tables(spark):
+    inputs = load_fixture_inputs(spark, SF_SMALL)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
+    before = len(jobs())
+    CustomerAnalysis(inputs, CUSTOMER_PARAMS).intervals
+    assert list(inputs.opened) == ["statements"] and len(jobs()) == before  # no job infers a schema
+    CustomerAnalysis(inputs, CUSTOMER_PARAMS).non_serverless_clusters
+    assert set(inputs.opened) == {"statements", "cluster_events"}
+
+
+def test_a_run_needs_the_tables_it_reads(spark, tmp_path):
+    fixture = load_fixture_inputs(spark, SF_SMALL)
+    names = ["statements", "endpoints", "cluster_events", "workspaces", "workloads"]
+    for name in names:
+        getattr(fixture, name).write.parquet(f"{tmp_path}/{name}")
+    inputs = load_inputs(spark, {n: f"{tmp_path}/{n}" for n in names})
+    run = CustomerAnalysis(inputs, CUSTOMER_PARAMS)
+    want = sorted(map(tuple, CustomerAnalysis(fixture, CUSTOMER_PARAMS).grand_totals().collect()))
+    assert sorted(map(tuple, run.grand_totals().collect())) == want and "billing" not in inputs.opened
+    with pytest.raises(ValueError, match="reads 'billing'"):
+        RegionAnalysis(inputs, REGION_PARAMS).top_accounts
+    with pytest.raises(ValueError, match="unknown input"):
+        load_inputs(spark, {"statement": f"{tmp_path}/statements"})
+
+
+def test_string_ids_and_single_schemas(spark, tmp_path):
+    """Ids of another type are told once; a file whose types differ brings its own schema."""
+    fixture = load_fixture_inputs(spark, SF_SMALL)
+    ids = ["statement_id", "cluster_id", "workspace_id", "endpoint_id"]
+    for name in ("statements", "endpoints", "cluster_events", "workspaces"):
+        df = getattr(fixture, name)
+        df.withColumns({c: F.concat(F.lit("0"), F.col(c).cast("string")) for c in ids if c in df.columns}).write.parquet(f"{tmp_path}/{name}")
+    inputs = load_inputs(spark, {n: f"{tmp_path}/{n}" for n in ("statements", "endpoints", "workspaces")}, id_type="string",
+                         schemas={"statements": None})
+    assert inputs.id_type == "string" and inputs.endpoints.schema["cluster_id"].dataType.simpleString() == "string"
+    assert inputs.statements.schema["fetch_s"].dataType.simpleString() == "int"
+    run = CustomerAnalysis(inputs, CUSTOMER_PARAMS)
+    assert run.intervals.join(run.customer_clusters, "cluster_id").count() > 0
+
+
+def test_entry_survives_a_missing_optional_module():
+    code = ("import sys; sys.modules['tiktoken'] = None; sys.modules['tokenizers'] = None; import __spark_entry__ as se; "
+            "q = se.queries(); print(len(q), 'cost_comparison' in q, set(se.oracle_sql()) <= set(q))")
+    root = Path(__file__).resolve().parents[1]
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0 and out.stdout.endswith("True True\n"), out.stderr
+
+
 def test_billing_range_follows_the_run(spark):
     p = TcoParams(start_date="2024-01-01", end_date="2024-01-30", sales_region="EMEA", top_accounts=20, only_finished=False)
     assert (p.billing_start_date, p.billing_end_date) == (p.start_date, p.end_date)

@@ -63,7 +63,7 @@ def test_statements_are_aggregated_to_cells_before_their_shuffle(spark, key):
     assert any(op.startswith("HashAggregate") and "_cell" in op and "partial_min" in op for op in below), path
 
 
-@pytest.mark.parametrize("gap", [10, 3600])
+@pytest.mark.parametrize("gap", [0, 10, 3600])
 def test_a_burst_of_one_minute_is_one_row_a_cell(spark, gap):
     """A minute with a third of all rows goes through the shuffle as its cells."""
     from helpers import idle_sessions_plain, intervals_df
@@ -78,6 +78,28 @@ def test_a_burst_of_one_minute_is_one_row_a_cell(spark, gap):
     assert sorted(got.select(*cols).collect()) == sorted(want.select(*cols).collect())
 
 
+def test_a_burst_at_gap_0_spreads_over_tasks(spark):
+    """A third of all rows in one minute of one cluster, every start its own cell: the largest part is near the median."""
+    import statistics
+
+    from helpers import idle_sessions_plain, intervals_df
+    from idlecost.operators import sessions
+
+    rows = [(7, 600 + i * 0.005, 600 + i * 0.005 + (i % 3) * 0.004) for i in range(12_000)] + [(i % 9, i * 37, i * 37 + 5) for i in range(24_000)]
+    df = intervals_df(spark, rows)
+    got = sessions.idle_sessions(df, 0, group_by=["cluster_id"])
+    want = idle_sessions_plain(df, 0, ["cluster_id"], ["cluster_id"])
+    cols = ["cluster_id", "start_us", "end_us", "statements"]
+    assert sorted(got.select(*cols).collect()) == sorted(want.select(*cols).collect())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as many tasks as a large input has
+    try:
+        cells = df.select("cluster_id", df.start_us.alias("_cell"))
+        parts = [r[1] for r in sessions._range_parts(cells, ["cluster_id"]).groupBy("_range").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(parts) > 4 and max(parts) < 2 * statistics.median(parts)
+
+
 def _ancestors(plan: str, needle: str) -> list[str]:
     """Operators on the path from the root to the first line containing ``needle``."""
     lines = plan.split("\n")
@@ -129,12 +151,42 @@ def test_workloads_cut_to_analysed_clusters_before_any_shuffle(spark, key, scan)
     assert any(op.startswith("BroadcastHashJoin") and "LeftSemi" in op for op in before_shuffle), path
 
 
-@pytest.mark.parametrize("key", ["cost_comparison", "grand_totals", "cost_comparison_daily"])
-def test_combined_reports_read_the_statement_log_once(spark, key):
-    df = se.queries()[key](spark, SF_SMALL)
-    df.collect()
-    final = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
-    assert final.count("value:double,props:string>") == 1
+def test_an_analysis_reads_the_statement_log_once(spark, monkeypatch):
+    """The stored sessions are the only pass over the log: no cost query and no report scans it again."""
+    from pyspark.sql import DataFrameWriter
+
+    from idlecost.plans import CustomerAnalysis, RegionAnalysis
+    from idlecost.sources.fixtures import CUSTOMER_PARAMS, REGION_PARAMS, load_fixture_inputs
+
+    needle, written = "value:double,props:string>", []
+    real = DataFrameWriter.parquet
+
+    def parquet(self, *args, **kwargs):
+        written.append(_plan(self._df))
+        return real(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    a = CustomerAnalysis(load_fixture_inputs(spark, SF_SMALL), CUSTOMER_PARAMS)
+    r = RegionAnalysis(load_fixture_inputs(spark, SF_SMALL), REGION_PARAMS)
+    for analysis, reports in ((a, [a.grand_totals, a.cost_comparison_daily, a.always_on_by_endpoint, a.on_demand_by_endpoint,
+                                   a.timeline_sessions, a.timeline_always_on]),
+                              (r, [r.cost_comparison, r.always_on_by_customer, r.on_demand_by_customer])):
+        written.clear()
+        for report in reports:
+            df = report()
+            df.collect()
+            assert needle not in df._jdf.queryExecution().executedPlan().toString()
+        assert sum(plan.count(needle) for plan in written) == 1
+
+
+@pytest.mark.parametrize("key,scan", [
+    ("always_on_daily", "user_id:bigint,value:double>"), ("vm_cost_region", "user_id:bigint,value:double>"),
+    ("on_demand_usage", "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint>"),
+    ("cost_comparison", "user_id:bigint,value:double>"),
+])
+def test_workloads_scan_has_both_date_bounds_without_the_sink(spark, key, scan):
+    lines = [x for x in _plan(se.queries()[key](spark, SF_SMALL)).split("\n") if "FileScan parquet" in x and scan in x]
+    assert lines and all("GreaterThanOrEqual(ts" in x and "LessThan(ts" in x for x in lines)
 
 
 @pytest.mark.parametrize("key", ["always_on_daily", "always_on_daily_region", "on_demand_usage"])
