@@ -21,9 +21,11 @@ from idlecost.operators.reports import (
     always_on_by_endpoint,
     cost_comparison,
     cost_comparison_daily,
+    cost_totals,
     grand_totals,
     on_demand_by_customer,
     on_demand_by_endpoint,
+    reports_of_totals,
 )
 from idlecost.operators.sessions import idle_sessions, merge_sessions
 from idlecost.operators.timeline import timeline_segments
@@ -43,6 +45,7 @@ __all__ = [
     "cluster_map",
     "cost_comparison",
     "cost_comparison_daily",
+    "cost_totals",
     "customer_clusters",
     "customer_workspaces",
     "daily_workloads",
@@ -57,6 +60,7 @@ __all__ = [
     "on_demand_by_customer",
     "on_demand_by_endpoint",
     "on_demand_usage",
+    "reports_of_totals",
     "statement_intervals",
     "timeline_segments",
     "top_accounts",

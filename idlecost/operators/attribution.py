@@ -146,9 +146,14 @@ def attributed_statements(intervals: DataFrame, clusters: DataFrame, kept_cluste
     statements; the (large) lifecycle log is first cut to the customer's
     clusters.  The statement keeps its own workspace id.  Spark broadcasts the
     cluster list into the statement join when it is small; a stored one (the plans
-    write it) has a known size, so the statements are then not shuffled.
+    write it) has a known size, so the statements are then not shuffled.  With a
+    bucketed log (``sources.layout``) and its salted map, bucket meets bucket at any size.
     """
-    return intervals.join(cluster_map(clusters, kept_clusters), "cluster_id").select(
+    if "salt" in intervals.columns and "salt" in clusters.columns:
+        joined = intervals.join(clusters.hint("shuffle_hash"), ["cluster_id", "salt"])
+    else:
+        joined = intervals.join(cluster_map(clusters, kept_clusters), "cluster_id")
+    return joined.select(
         "statement_id", "cluster_id", "workspace_id", "endpoint_id", "start_us", "end_us", "duration_s", "fetch_s"
     )
 
@@ -163,11 +168,18 @@ def attributed_statements_region(intervals: DataFrame, clusters: DataFrame) -> D
     """Statements of the selected accounts with endpoint and customer name (C6, region entry).
 
     ``clusters`` is ``account_clusters(...)``: the mapping of the selected
-    accounts, joined on cluster and workspace.
+    accounts, joined on cluster and workspace.  With a bucketed log and its salted map,
+    bucket meets bucket, and the workspace is compared afterwards: as a key of the join
+    it would ask for another distribution than the buckets'.
     """
-    m = clusters.select("cluster_id", "workspace_id", "endpoint_id", "customer_name")
+    if "salt" in intervals.columns and "salt" in clusters.columns:
+        m = clusters.withColumnRenamed("workspace_id", "_of").hint("shuffle_hash")
+        joined = intervals.join(m, ["cluster_id", "salt"]).where(F.array_contains(F.array("_of"), F.col("workspace_id")))
+    else:
+        m = clusters.select("cluster_id", "workspace_id", "endpoint_id", "customer_name")
+        joined = intervals.join(m, ["cluster_id", "workspace_id"])
     return (
-        intervals.join(m, ["cluster_id", "workspace_id"])
+        joined
         .select("statement_id", "cluster_id", "workspace_id", "endpoint_id", "customer_name",
                 "start_us", "end_us", "duration_s", "fetch_s")
     )

@@ -44,6 +44,7 @@ def statement_intervals(
     end_us = epoch_us("ended_at")
     start_us = floor_to_milli(end_us) - seconds_to_us(F.col("duration_s")) - seconds_to_us(fetch)
     return s.select(
+        *[c for c in ("salt",) if c in s.columns],  # of a bucketed log (``sources.layout``)
         "statement_id",
         "cluster_id",
         "workspace_id",

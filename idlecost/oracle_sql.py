@@ -106,6 +106,61 @@ def _vm_rates(src: str, book: str, discount_pct: int) -> str:
     LEFT JOIN vm_defaults_{book} f ON f.region = x.region_eff"""
 
 
+def _dated_vm_costs(src: str, discount_pct: int) -> str:
+    """Machine dollars by price rows with dates: each price is the latest one of its thing on or before the day."""
+    f = 100 - discount_pct
+    driver, worker = (f"CASE WHEN contains(x.region_eff, '-') THEN {_s(pb.DEFAULT_PAIR_DASHED[i])} ELSE {_s(pb.DEFAULT_PAIR_OTHER[i])} END"
+                      for i in (0, 1))
+
+    def price(node: str, option: str) -> str:
+        return (f"(SELECT arg_max(p.usd, p.valid_from) FROM vm_price_rows p WHERE p.region = x.region_eff AND p.node_type = {node} "
+                f"AND p.option = '{option}' AND p.valid_from <= x.date)")
+
+    cols = ", ".join(f"{price(node, option)} AS {name}_{tag}" for name, node in (
+        ("d", "x.driver_node_type"), ("w", "x.worker_node_type"), ("dd", driver), ("dw", worker))
+        for option, tag in (("ondemand", "od"), ("spot", "sp")))
+
+    def rate(o: str) -> str:
+        return (f"COALESCE(d_{o}, dd_{o}) * {f} / 100 + (CASE WHEN d_{o} IS NOT NULL THEN COALESCE(w_{o}, dw_{o}) ELSE dw_{o} END)"
+                f" * {f} / 100 * COALESCE(max_workers, 1)")
+
+    return f"""
+    SELECT *, vm_on_demand_usd + vm_spot_usd + dbu_usd AS total_usd FROM (
+      SELECT *, CASE WHEN COALESCE(is_spot, false) THEN CAST(0.0 AS DOUBLE) ELSE {rate('od')} END * node_hours AS vm_on_demand_usd,
+             CASE WHEN COALESCE(is_spot, false) THEN {rate('sp')} ELSE CAST(0.0 AS DOUBLE) END * node_hours AS vm_spot_usd
+      FROM (SELECT x.*, {cols} FROM (
+        SELECT s.*, CASE WHEN EXISTS (SELECT 1 FROM vm_price_rows k WHERE k.region = s.region AND k.valid_from <= s.date)
+                    THEN s.region ELSE {_s(pb.FALLBACK_REGION)} END AS region_eff FROM {src} s) AS x) AS y) AS z"""
+
+
+def _price_row_ctes() -> dict[str, str]:
+    def day(value) -> str:
+        return _d(value) if value else "DATE '0001-01-01'"
+
+    vm = ", ".join(f"({_s(r)}, {_s(o)}, {_s(n)}, {_f(usd)}, {day(since)})" for r, o, n, usd, since in fx.vm_price_rows())
+    dbu = ", ".join(f"({_s(r)}, {_f(usd)}, {day(since)})" for r, usd, since in fx.dbu_price_rows())
+    return {"vm_price_rows": f"SELECT * FROM (VALUES {vm}) AS t(region, option, node_type, usd, valid_from)",
+            "dbu_price_rows": f"SELECT * FROM (VALUES {dbu}) AS t(region, usd, valid_from)"}
+
+
+def _totals(tag: str, sets: dict[str, str], vm: str, split: bool) -> str:
+    """Both sides' totals with the database's own grouping sets."""
+    keys = list(dict.fromkeys(k.strip() for s in sets.values() for k in s.split(",") if k.strip()))
+    both = "CAST(NULL AS DOUBLE)"
+    ao = f"SELECT {', '.join(keys)}, 1 AS a, 0 AS o, total_usd, dbu_usd, {'vm_on_demand_usd' if split else both} AS od, " \
+         f"{'vm_spot_usd' if split else both} AS sp, {vm} AS vm, {both} AS n_dbus, {both} AS n_usd FROM ao_costs_{tag}"
+    od = f"SELECT {', '.join(keys)}, 0, 1, {', '.join([both] * 5)}, dbus, on_demand_usd FROM od_costs_{tag}"
+    level = "CASE " + " ".join(
+        "WHEN " + " AND ".join(f"GROUPING({k}) = {int(k not in [x.strip() for x in s.split(',')])}" for k in keys) + f" THEN '{n}'"
+        for n, s in sets.items()) + " END"
+    shown = [f"CAST({k} AS VARCHAR) AS {k}" if k in ("endpoint_id", "cluster_id", "date") else k for k in keys]
+    sums = {"always_on_usd": "total_usd", "dbu_usd": "dbu_usd", "vm_on_demand_usd": "od", "vm_spot_usd": "sp", "vm_usd": "vm",
+            "on_demand_dbus": "n_dbus", "on_demand_usd": "n_usd"}
+    return (f"SELECT {level} AS level, {', '.join(shown)}, CAST(sum(a) AS BIGINT) AS always_on_rows, CAST(sum(o) AS BIGINT) AS on_demand_rows, "
+            + ", ".join(f"{_sum_exact(c)} AS {n}" for n, c in sums.items())
+            + f" FROM ({ao} UNION ALL {od}) AS u GROUP BY GROUPING SETS ({', '.join(f'({s})' for s in sets.values())})")
+
+
 def _book_ctes() -> dict[str, str]:
     out = {}
     dbu = ", ".join(f"({_s(r)}, {_f(p)})" for r, p in pb.ON_DEMAND_DBU_USD)
@@ -280,6 +335,15 @@ def _ctes() -> dict[str, str]:
           SELECT u.*, COALESCE(p.usd, {_f(m.default_on_demand_price)}) * {f} / 100 AS usd_per_dbu
           FROM od_usage_{tag} u LEFT JOIN dbu_book p ON p.region = u.region) AS x"""
 
+    # -- prices with dates ------------------------------------------------------
+    c.update(_price_row_ctes())
+    c["ao_costs_dated"] = _dated_vm_costs("ao_dbu_m", m.vm_discount_pct)
+    c["od_costs_dated"] = f"""
+    SELECT *, dbus * usd_per_dbu AS on_demand_usd FROM (
+      SELECT u.*, COALESCE((SELECT arg_max(p.usd, p.valid_from) FROM dbu_price_rows p WHERE p.region = u.region AND p.valid_from <= u.date),
+                           {_f(m.default_on_demand_price)}) * {100 - m.on_demand_discount_pct} / 100 AS usd_per_dbu
+      FROM od_usage_m u) AS x"""
+
     # -- C15-C19 reports ------------------------------------------------------
     c["ao_by_cust"] = f"""
     SELECT customer_name, {_sum_exact('total_usd')} AS always_on_usd, {_sum_exact('dbu_usd')} AS dbu_usd,
@@ -356,6 +420,17 @@ def _queries() -> dict[str, str]:
                                   UNION ALL
                                   SELECT NULL, NULL, NULL, NULL, on_demand_usd FROM od_costs_m) AS u""",
         "cost_comparison": _comparison("od_by_cust"),
+        "attributed_statements_bucketed": "SELECT * FROM att_m",
+        "attributed_statements_region_bucketed": "SELECT * FROM att_r",
+        "cost_totals": _totals("m", {"all": "", "endpoint": "endpoint_id", "cluster_day": "date, cluster_id"},
+                               "vm_on_demand_usd + vm_spot_usd", True),
+        "cost_totals_region": _totals("r", {"all": "", "endpoint": "endpoint_id", "customer": "customer_name",
+                                            "cluster_day": "date, cluster_id"}, "vm_usd", False),
+        "vm_cost_price_periods": f"""SELECT {_DATE_CAST}, cluster_id, endpoint_id, workspace_id, driver_node_type,
+                                     worker_node_type, region, is_spot, node_hours, vm_on_demand_usd, vm_spot_usd, total_usd
+                                     FROM ao_costs_dated""",
+        "dbu_cost_price_periods": f"""SELECT {_DATE_CAST}, cluster_id, endpoint_id, workspace_id, region, start_us,
+                                      end_autostop_us, dbus, usd_per_dbu, on_demand_usd FROM od_costs_dated""",
         "cost_comparison_global": _comparison("od_by_cust_global"),
         "on_demand_usage_global": f"""SELECT {_DATE_CAST}, cluster_id, endpoint_id, workspace_id, region, start_us,
                                       end_autostop_us, max_pricing_units, max_workers, dbus FROM od_usage_mg""",

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from idlecost import operators as op
 from idlecost.config import TcoParams
 from idlecost.session import check_session, stored
+from idlecost.sources.layout import salted_map
+from idlecost.sources.price_periods import PriceTables, dbu_periods, price_tables
 from idlecost.sources.tables import Inputs
 
 
@@ -61,7 +63,15 @@ class CustomerAnalysis:
     @cached_property
     def statements(self) -> DataFrame:
         """Attributed statements (the shared input of both cost branches)."""
-        return op.attributed_statements(self.intervals, self.analysed_clusters)
+        return self.statements_of(self.intervals)
+
+    @cached_property
+    def _statement_map(self) -> DataFrame:
+        layout = self.inputs.layout
+        return salted_map(self.analysed_clusters, layout) if layout else self.analysed_clusters
+
+    def statements_of(self, intervals: DataFrame) -> DataFrame:
+        return op.attributed_statements(intervals, self._statement_map)
 
     def daily_workloads(self, start_date: dt.date | None = None) -> DataFrame:
         """Daily workloads of the analysed clusters (from ``start_date``, else the first day of any session)."""
@@ -90,12 +100,23 @@ class CustomerAnalysis:
 
     @cached_property
     def always_on_costs(self) -> DataFrame:
-        return op.vm_cost(self.always_on_dbu, self.params.vm_discount_pct)
+        return op.vm_cost(self.always_on_dbu, self.params.vm_discount_pct, self._vm_book)
+
+    @cached_property
+    def _vm_book(self) -> str | PriceTables:
+        """The price tables of the inputs, stored as periods, or the price book of the code."""
+        prices = self.inputs.vm_prices
+        return "customer" if prices is None else PriceTables(*[stored(t, "vm-prices") for t in price_tables(prices)])
+
+    @cached_property
+    def _dbu_book(self) -> DataFrame | None:
+        prices = self.inputs.dbu_prices
+        return None if prices is None else stored(dbu_periods(prices), "dbu-prices")
 
     def always_on_costs_of(self, sessions: DataFrame, start_date: dt.date | None = None) -> DataFrame:
         """The same rows as ``always_on_costs``, from the given sessions."""
         daily = op.always_on_daily(self._spans_of(sessions), self.daily_workloads(start_date))
-        return op.vm_cost(op.dbu_cost_always_on(daily, self.params.cost_per_dbu_always_on), self.params.vm_discount_pct)
+        return op.vm_cost(op.dbu_cost_always_on(daily, self.params.cost_per_dbu_always_on), self.params.vm_discount_pct, self._vm_book)
 
     # -- on-demand -----------------------------------------------------------
     @cached_property
@@ -125,7 +146,7 @@ class CustomerAnalysis:
     def on_demand_costs_of(self, sessions: DataFrame, start_date: dt.date | None = None) -> DataFrame:
         p = self.params
         usage = op.on_demand_usage(sessions, self.daily_workloads(start_date))
-        return op.dbu_cost_on_demand(usage, p.on_demand_discount_pct, p.default_on_demand_price)
+        return op.dbu_cost_on_demand(usage, p.on_demand_discount_pct, p.default_on_demand_price, self._dbu_book)
 
     # -- reports -------------------------------------------------------------
     def always_on_by_endpoint(self, sort: bool = True) -> DataFrame:
@@ -134,6 +155,10 @@ class CustomerAnalysis:
     def on_demand_by_endpoint(self, sort: bool = True) -> DataFrame:
         return op.on_demand_by_endpoint(self.on_demand_costs, sort)
 
+    def cost_totals(self) -> DataFrame:
+        """The totals of both sides at every level, one pass over the costs."""
+        return op.cost_totals(self.always_on_costs, self.on_demand_costs)
+
     def grand_totals(self) -> DataFrame:
         return op.grand_totals(self.always_on_costs, self.on_demand_costs)
 
@@ -151,12 +176,9 @@ class CustomerAnalysis:
         return _bars(self.always_on_costs, "end_us")
 
     def totals(self, sessions: DataFrame, always_on: DataFrame, on_demand: DataFrame) -> dict[str, DataFrame]:
-        """Every further report, from the written sessions and costs."""
-        return {
-            "always_on_by_endpoint": op.always_on_by_endpoint(always_on, sort=False),
-            "on_demand_by_endpoint": op.on_demand_by_endpoint(on_demand, sort=False),
-            "grand_totals": op.grand_totals(always_on, on_demand),
-            "cost_comparison_daily": op.cost_comparison_daily(always_on, on_demand),
+        """Every further report, from the written sessions and costs; one pass over the costs makes all totals."""
+        reports = op.reports_of_totals(stored(op.cost_totals(always_on, on_demand), "cost-totals"))
+        return {name: reports[name] for name in ("always_on_by_endpoint", "on_demand_by_endpoint", "grand_totals", "cost_comparison_daily")} | {
             "timeline_sessions": _bars(sessions, "end_autostop_us"),
             "timeline_always_on": _bars(always_on, "end_us"),
         }

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from idlecost import operators as op
 from idlecost.config import TcoParams
 from idlecost.session import check_session, stored
+from idlecost.sources.layout import salted_map
+from idlecost.sources.price_periods import PriceTables, dbu_periods, price_tables
 from idlecost.sources.tables import Inputs
 
 KEYS = ("cluster_id", "endpoint_id", "workspace_id", "customer_name")
@@ -52,7 +54,15 @@ class RegionAnalysis:
 
     @cached_property
     def statements(self) -> DataFrame:
-        return op.attributed_statements_region(self.intervals, self.account_clusters)
+        return self.statements_of(self.intervals)
+
+    @cached_property
+    def _statement_map(self) -> DataFrame:
+        layout = self.inputs.layout
+        return salted_map(self.account_clusters, layout) if layout else self.account_clusters
+
+    def statements_of(self, intervals: DataFrame) -> DataFrame:
+        return op.attributed_statements_region(intervals, self._statement_map)
 
     def daily_workloads(self, start_date: dt.date | None = None) -> DataFrame:
         """Daily workloads of the selected accounts' clusters (from ``start_date``, else the first day of any session)."""
@@ -74,7 +84,18 @@ class RegionAnalysis:
 
     def _priced(self, daily: DataFrame) -> DataFrame:
         p = self.params
-        return op.vm_cost_region(op.dbu_cost_always_on(daily, p.cost_per_dbu_always_on), p.vm_discount_pct)
+        return op.vm_cost_region(op.dbu_cost_always_on(daily, p.cost_per_dbu_always_on), p.vm_discount_pct, self._vm_book)
+
+    @cached_property
+    def _vm_book(self) -> str | PriceTables:
+        """The price tables of the inputs, stored as periods, or the price book of the code."""
+        prices = self.inputs.vm_prices
+        return "region" if prices is None else PriceTables(*[stored(t, "vm-prices") for t in price_tables(prices)])
+
+    @cached_property
+    def _dbu_book(self) -> DataFrame | None:
+        prices = self.inputs.dbu_prices
+        return None if prices is None else stored(dbu_periods(prices), "dbu-prices")
 
     def always_on_costs_of(self, sessions: DataFrame, start_date: dt.date | None = None) -> DataFrame:
         """The same rows as ``always_on_costs``, from the given sessions."""
@@ -109,7 +130,7 @@ class RegionAnalysis:
     def on_demand_costs_of(self, sessions: DataFrame, start_date: dt.date | None = None) -> DataFrame:
         p = self.params
         usage = op.on_demand_usage(sessions, self.daily_workloads(start_date))
-        return op.dbu_cost_on_demand(usage, p.on_demand_discount_pct, p.default_on_demand_price)
+        return op.dbu_cost_on_demand(usage, p.on_demand_discount_pct, p.default_on_demand_price, self._dbu_book)
 
     def always_on_by_customer(self, sort: bool = True) -> DataFrame:
         return op.always_on_by_customer(self.always_on_costs, sort)
@@ -117,15 +138,14 @@ class RegionAnalysis:
     def on_demand_by_customer(self, sort: bool = True) -> DataFrame:
         return op.on_demand_by_customer(self.on_demand_costs, sort)
 
+    def cost_totals(self) -> DataFrame:
+        """The totals of both sides at every level, one pass over the costs."""
+        return op.cost_totals(self.always_on_costs, self.on_demand_costs)
+
     def cost_comparison(self) -> DataFrame:
         return op.cost_comparison(self.on_demand_by_customer(sort=False), self.always_on_by_customer(sort=False))
 
     def totals(self, sessions: DataFrame, always_on: DataFrame, on_demand: DataFrame) -> dict[str, DataFrame]:
-        """Every further report, from the written sessions and costs."""
-        by_always_on = op.always_on_by_customer(always_on, sort=False)
-        by_on_demand = op.on_demand_by_customer(on_demand, sort=False)
-        return {
-            "always_on_by_customer": by_always_on,
-            "on_demand_by_customer": by_on_demand,
-            "cost_comparison": op.cost_comparison(by_on_demand, by_always_on),
-        }
+        """Every further report, from the written sessions and costs; one pass over the costs makes all totals."""
+        reports = op.reports_of_totals(stored(op.cost_totals(always_on, on_demand), "cost-totals"))
+        return {name: reports[name] for name in ("always_on_by_customer", "on_demand_by_customer", "cost_comparison")}

@@ -93,3 +93,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/idlecost-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_bucketed(df: DataFrame, name: str, buckets: int, columns: list[str]) -> DataFrame:
+    """The same as a table bucketed and sorted by ``columns``; its files lie in the shared folder, too."""
+    spark = df.sparkSession
+    own = f"idlecost-{name}-{uuid.uuid4().hex}"
+    (df.repartition(buckets, *columns).write.format("parquet").bucketBy(buckets, *columns).sortBy(*columns)
+     .option("path", f"{shared_dir(spark)}/{own}").saveAsTable(own.replace("-", "_")))
+    return spark.table(own.replace("-", "_"))

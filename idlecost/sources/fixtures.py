@@ -6,11 +6,18 @@ same logical tables exist on both sides of the correctness check.
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idlecost.config import TcoParams
-from idlecost.sources.tables import Inputs
+from idlecost.session import shared_dir
+from idlecost.sources import price_book as pb
+from idlecost.sources.layout import layout_of, write_statement_log
+from idlecost.sources.schemas import DBU_PRICES, SCHEMAS, VM_PRICES
+from idlecost.sources.tables import Inputs, local_table
 
 # Fixed values of the fixture derivation (FIXTURES.md).
 # Every HOT_EVERY-th statement runs on cluster 0, the others on their user's.
@@ -169,11 +176,43 @@ def workloads(tables: Tables) -> DataFrame:
     )
 
 
-def load_fixture_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    """The six logical inputs over ``sf_dir``: a query opens the files of the inputs that it reads."""
+# Fixed values of the price tables: the price book's prices always, dearer ones from a day on, and a
+# region that the book lacks, priced like another from a day on.
+PRICE_CHANGE, PRICE_FACTOR = dt.date(2024, 1, 16), 1.1
+NEW_REGION, NEW_REGION_FROM, LIKE_REGION, NEW_REGION_FACTOR = "sa-east-1", dt.date(2024, 1, 10), "us-east-1", 1.25
+
+
+def vm_price_rows() -> list[tuple]:
+    """Rows of ``vm_prices``: on-demand prices change, spot prices stay."""
+    book = [(*r, None) for r in pb.vm_price_rows("customer")]
+    dearer = [(r, o, n, usd * PRICE_FACTOR, PRICE_CHANGE) for r, o, n, usd, _ in book if o == "ondemand"]
+    new = [(NEW_REGION, o, n, usd * NEW_REGION_FACTOR, NEW_REGION_FROM) for r, o, n, usd, _ in book if r == LIKE_REGION]
+    return book + dearer + new
+
+
+def dbu_price_rows() -> list[tuple]:
+    book = [(*r, None) for r in pb.ON_DEMAND_DBU_USD]
+    return book + [(r, usd * PRICE_FACTOR, PRICE_CHANGE) for r, usd, _ in book] + [(NEW_REGION, 0.95, NEW_REGION_FROM)]
+
+
+def load_fixture_inputs(spark: SparkSession, sf_dir: str, with_prices: bool = False) -> Inputs:
+    """The six logical inputs over ``sf_dir`` (and price tables): a query opens the files of the inputs that it reads."""
     tables = Tables(spark, sf_dir)
     makers = (statements, endpoints, cluster_events, workspaces, workloads, billing)
-    return Inputs(spark, {make.__name__: (lambda make=make: make(tables)) for make in makers}, id_type="bigint")
+    sources = {make.__name__: (lambda make=make: make(tables)) for make in makers}
+    if with_prices:
+        sources |= {"vm_prices": lambda: local_table(spark, vm_price_rows(), VM_PRICES),
+                    "dbu_prices": lambda: local_table(spark, dbu_price_rows(), DBU_PRICES)}
+    return Inputs(spark, sources, id_type="bigint")
+
+
+def bucketed_fixture_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+    """The same with the statements written as a bucketed table (``sources.layout``)."""
+    fixture = load_fixture_inputs(spark, sf_dir)
+    table = f"idlecost_statements_{uuid.uuid4().hex}"
+    write_statement_log(fixture.statements, table, int(spark.conf.get("spark.sql.shuffle.partitions")), f"{shared_dir(spark)}/{table}")
+    sources = {name: (lambda name=name: fixture.table(name)) for name in SCHEMAS}
+    return Inputs(spark, sources | {"statements": lambda: spark.table(table)}, "bigint", lambda: layout_of(spark, table))
 
 
 #: Parameters of the registered queries (FIXTURES.md); the statement log and the billing have their own ranges.

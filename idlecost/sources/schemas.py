@@ -68,8 +68,21 @@ SCHEMAS = {
     "workloads": WORKLOADS,
 }
 
-#: Inputs an analysis can do without: columns and defaults are told where they are read.
-OPTIONAL: dict[str, T.StructType] = {}
+# Inputs an analysis can do without.  Prices: a row holds from ``valid_from`` (null: always) until the
+# next row of the same region, option and node type; without these inputs the price book of the code holds.
+VM_PRICES = T.StructType([
+    T.StructField("region", T.StringType()),
+    T.StructField("option", T.StringType()),         # 'ondemand' or 'spot'
+    T.StructField("node_type", T.StringType()),
+    T.StructField("usd_per_hour", T.DoubleType()),   # null: no longer priced
+    T.StructField("valid_from", T.DateType()),
+])
+DBU_PRICES = T.StructType([
+    T.StructField("region", T.StringType()),
+    T.StructField("usd_per_dbu", T.DoubleType()),
+    T.StructField("valid_from", T.DateType()),
+])
+OPTIONAL: dict[str, T.StructType] = {"vm_prices": VM_PRICES, "dbu_prices": DBU_PRICES}
 
 ID_COLUMNS = ("statement_id", "cluster_id", "endpoint_id", "workspace_id")
 

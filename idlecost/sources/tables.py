@@ -9,11 +9,13 @@ pruning into the scan.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from idlecost.sources.layout import Layout, layout_of
 from idlecost.sources.schemas import OPTIONAL, SCHEMAS, declared, require_columns
 
 
@@ -23,10 +25,12 @@ class Inputs:
     ``sources`` maps a logical name (the keys of ``SCHEMAS`` and ``OPTIONAL``) to a
     DataFrame or to a function that opens one.  An analysis needs only the inputs that
     it reads; a missing one is reported when it is asked for.  ``id_type`` is the type of
-    cluster ids (default: that of ``endpoints``, which is then opened).
+    cluster ids (default: that of ``endpoints``, which is then opened); ``layout`` tells how the
+    statements are bucketed, if they are.
     """
 
-    def __init__(self, spark: SparkSession, sources: dict[str, DataFrame | Callable[[], DataFrame]], id_type: str | None = None):
+    def __init__(self, spark: SparkSession, sources: dict[str, DataFrame | Callable[[], DataFrame]], id_type: str | None = None,
+                 layout: Callable[[], Layout | None] | None = None):
         unknown = [n for n in sources if n not in SCHEMAS and n not in OPTIONAL]
         if unknown:
             raise ValueError(f"unknown input(s) {unknown}; known are {[*SCHEMAS, *OPTIONAL]}")
@@ -34,6 +38,11 @@ class Inputs:
         self._sources = dict(sources)
         self._id_type = id_type
         self.opened: dict[str, DataFrame] = {}
+        self._layout = layout
+
+    @cached_property
+    def layout(self) -> Layout | None:
+        return self._layout() if self._layout else None
 
     def __contains__(self, name: str) -> bool:
         return name in self._sources
@@ -56,6 +65,9 @@ class Inputs:
     workspaces = property(lambda self: self.table("workspaces"))
     workloads = property(lambda self: self.table("workloads"))
     billing = property(lambda self: self.table("billing"))
+    #: Optional price tables (None: the price book of the code).
+    vm_prices = property(lambda self: self.table("vm_prices") if "vm_prices" in self else None)
+    dbu_prices = property(lambda self: self.table("dbu_prices") if "dbu_prices" in self else None)
 
 
 def read_table(spark: SparkSession, name_or_path: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
@@ -75,7 +87,8 @@ def load_inputs(spark: SparkSession, locations: dict[str, str], fmt: str = "parq
 
     Only the inputs that the analysis reads need a location.  Files are read with the
     declared schemas of ``sources.schemas`` (ids of ``id_type``); ``schemas`` replaces
-    single ones, where a file's types differ, and None there infers from the files.
+    single ones, where a file's types differ, and None there infers from the files.  A
+    statement table of ``sources.layout`` is attributed bucket by bucket.
     """
     schemas = schemas or {}
 
@@ -83,7 +96,9 @@ def load_inputs(spark: SparkSession, locations: dict[str, str], fmt: str = "parq
         return lambda: read_table(spark, locations[name], fmt, schemas[name] if name in schemas else declared(name, id_type))
 
     catalog = "/" not in locations.get("endpoints", "/")
-    return Inputs(spark, {name: opener(name) for name in locations}, None if catalog or "endpoints" in schemas else id_type)
+    log = locations.get("statements", "/")
+    return Inputs(spark, {name: opener(name) for name in locations}, None if catalog or "endpoints" in schemas else id_type,
+                  None if "/" in log else lambda: layout_of(spark, log))
 
 
 def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
