@@ -27,7 +27,7 @@ from idlecost.operators.reports import (
     on_demand_by_endpoint,
     reports_of_totals,
 )
-from idlecost.operators.sessions import idle_sessions, merge_sessions
+from idlecost.operators.sessions import idle_sessions, merge_sessions, resume_sessions
 from idlecost.operators.timeline import timeline_segments
 from idlecost.operators.usage import always_on_daily, always_on_daily_region, daily_workloads, on_demand_usage
 
@@ -61,6 +61,7 @@ __all__ = [
     "on_demand_by_endpoint",
     "on_demand_usage",
     "reports_of_totals",
+    "resume_sessions",
     "statement_intervals",
     "timeline_segments",
     "top_accounts",

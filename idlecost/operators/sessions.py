@@ -88,6 +88,7 @@ def merge_sessions(
     start: str = "start_us",
     end: str = "end_us",
     bucket_us: int = 60 * MICROS_PER_SECOND,
+    weight: str | None = None,
 ) -> DataFrame:
     """Sessions of ``df``'s intervals.
 
@@ -97,7 +98,8 @@ def merge_sessions(
     workspace).  Returns ``partition_by + group_by`` columns, ``_session`` (the
     start of the statement that opened the session), ``start_us`` (earliest
     start), ``end_us`` (latest end) and ``statements``.  ``bucket_us``: time-outs below it
-    take the scan over range partitions.
+    take the scan over range partitions.  ``weight``: the column that says how many
+    statements a row stands for (default: one).
     """
     if gap_us < 0:
         raise ValueError("gap must be >= 0")
@@ -106,7 +108,8 @@ def merge_sessions(
     gap = F.lit(int(gap_us))
 
     cells = df.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"),
-                      floor_div(F.col(start), max(int(gap_us), 1)).alias("_cell"))
+                      floor_div(F.col(start), max(int(gap_us), 1)).alias("_cell"),
+                      (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
     # Null checks spelled out, including the ones the join below would infer
     # for one side only, so both uses of ``cells`` stay identical below the
     # shuffle and Spark runs the statement branch and its shuffle once.
@@ -114,7 +117,7 @@ def merge_sessions(
     for k in part:
         not_null = not_null & F.col(k).isNotNull()
     cells = cells.filter(not_null).groupBy(*keys, "_cell").agg(
-        F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.count(F.lit(1)).alias("_n"))
+        F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.sum("_w").alias("_n"))
     if part and gap_us >= bucket_us:
         # Few cells a scope: the scan runs over the cells themselves, the statements are read once.
         cells = _with_session(cells, part, gap)
@@ -159,6 +162,24 @@ def idle_sessions(
         group_by=group_by,
         bucket_us=bucket_s * MICROS_PER_SECOND,
     )
+    return _timed(s, auto_stop_s)
+
+
+def resume_sessions(sessions: DataFrame, more: DataFrame, auto_stop_s: int, group_by: list[str], bucket_s: int = 60) -> DataFrame:
+    """The sessions of two sets of statements, from the sessions of each (cluster scope).
+
+    A session's rows cover nothing that isn't in it, and together all that its
+    statements cover, so merging sessions as intervals joins exactly those that the
+    statements would have joined; statement counts add up.
+    """
+    columns = [*group_by, "start_us", "end_us", "statements"]
+    both = sessions.select(*columns).unionByName(more.select(*columns))
+    merged = merge_sessions(both, auto_stop_s * MICROS_PER_SECOND, ["cluster_id"], group_by, bucket_us=bucket_s * MICROS_PER_SECOND,
+                            weight="statements")
+    return _timed(merged, auto_stop_s)
+
+
+def _timed(s: DataFrame, auto_stop_s: int) -> DataFrame:
     return s.select(
         *[c for c in s.columns if c not in ("start_us", "end_us", "statements", SESSION_KEY)],
         date_of_us("start_us").alias("date"),

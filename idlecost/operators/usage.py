@@ -47,25 +47,36 @@ def _run_end_us(start_us: str, node_hours: str) -> F.Column:
     return floor_to_second(start_us) + seconds_to_us(F.col(node_hours) * F.lit(3600))
 
 
-def always_on_daily(spans: DataFrame, daily: DataFrame) -> DataFrame:
+def _span_slices(spans: DataFrame, days: list[dt.date] | None) -> tuple[DataFrame, list[str]]:
+    """The spans' day slices; of ``days`` only, with the day kept as ``span_date``, where they are given."""
+    slices = day_slices(spans)
+    if days is None:
+        return slices, []
+    return slices.where(F.col("date").isin(days)).withColumn("span_date", F.col("date")), ["span_date"]
+
+
+def always_on_daily(spans: DataFrame, daily: DataFrame, days: list[dt.date] | None = None) -> DataFrame:
     """Always-on usage per day, single-customer form.
 
     The warehouse's active span (one row a warehouse) is cut at midnights; each day
     slice meets its cluster's ``daily_workloads`` of that day; the machines run from
     the slice start for the largest node hours (the run end grows with them), and the
     run is cut at midnights again: its hours are whole seconds between the slice
-    bounds.  ``is_spot`` is true if any row of the group ran on spot.
+    bounds.  ``is_spot`` is true if any row of the group ran on spot.  ``days``: only the
+    slices of these days of the spans, which ``span_date`` then tells.
     """
-    runs = day_slices(spans).join(daily, ["date", "cluster_id"]).select(
-        "date", *_keys(spans), *NODE_KEYS, "start_us", _run_end_us("start_us", "node_hours").alias("end_us"),
+    slices, kept = _span_slices(spans, days)
+    runs = slices.join(daily, ["date", "cluster_id"]).select(
+        "date", *kept, *_keys(spans), *NODE_KEYS, "start_us", _run_end_us("start_us", "node_hours").alias("end_us"),
         "max_pricing_units", "max_workers", "is_spot")
     return day_slices(runs, extra={"node_hours": hours_between("start_us", "end_us")})
 
 
-def always_on_daily_region(spans: DataFrame, daily: DataFrame) -> DataFrame:
+def always_on_daily_region(spans: DataFrame, daily: DataFrame, days: list[dt.date] | None = None) -> DataFrame:
     """Always-on usage per day, per-region form (C10): hours are the day's largest node hours."""
-    return day_slices(spans).join(daily, ["date", "cluster_id"]).select(
-        "date", *_keys(spans), *NODE_KEYS, "start_us", "end_us", _run_end_us("start_us", "node_hours").alias("run_end_us"),
+    slices, kept = _span_slices(spans, days)
+    return slices.join(daily, ["date", "cluster_id"]).select(
+        "date", *kept, *_keys(spans), *NODE_KEYS, "start_us", "end_us", _run_end_us("start_us", "node_hours").alias("run_end_us"),
         "node_hours", "max_pricing_units", "max_workers")
 
 

@@ -422,6 +422,8 @@ def _queries() -> dict[str, str]:
         "cost_comparison": _comparison("od_by_cust"),
         "attributed_statements_bucketed": "SELECT * FROM att_m",
         "attributed_statements_region_bucketed": "SELECT * FROM att_r",
+        "sessions_day_by_day": f"""SELECT {slice_cols}, {_DATE_CAST}, start_us, end_us, end_autostop_us, statements
+                                   FROM sessions_m""",
         "cost_totals": _totals("m", {"all": "", "endpoint": "endpoint_id", "cluster_day": "date, cluster_id"},
                                "vm_on_demand_usd + vm_spot_usd", True),
         "cost_totals_region": _totals("r", {"all": "", "endpoint": "endpoint_id", "customer": "customer_name",

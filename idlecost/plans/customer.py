@@ -73,10 +73,10 @@ class CustomerAnalysis:
     def statements_of(self, intervals: DataFrame) -> DataFrame:
         return op.attributed_statements(intervals, self._statement_map)
 
-    def daily_workloads(self, start_date: dt.date | None = None) -> DataFrame:
+    def daily_workloads(self, start_date: dt.date | None = None, end_date: dt.date | None = None) -> DataFrame:
         """Daily workloads of the analysed clusters (from ``start_date``, else the first day of any session)."""
         ids = self.analysed_clusters.select("cluster_id")
-        return op.daily_workloads(self.inputs.workloads.join(ids, "cluster_id", "left_semi"), self.params.end_date,
+        return op.daily_workloads(self.inputs.workloads.join(ids, "cluster_id", "left_semi"), end_date or self.params.end_date,
                                   start_date or self.first_day)
 
     # -- always-on -----------------------------------------------------------
@@ -115,8 +115,15 @@ class CustomerAnalysis:
 
     def always_on_costs_of(self, sessions: DataFrame, start_date: dt.date | None = None) -> DataFrame:
         """The same rows as ``always_on_costs``, from the given sessions."""
-        daily = op.always_on_daily(self._spans_of(sessions), self.daily_workloads(start_date))
-        return op.vm_cost(op.dbu_cost_always_on(daily, self.params.cost_per_dbu_always_on), self.params.vm_discount_pct, self._vm_book)
+        return self._priced(op.always_on_daily(self._spans_of(sessions), self.daily_workloads(start_date)))
+
+    def always_on_costs_on(self, spans: DataFrame, days: list[dt.date]) -> DataFrame:
+        """The costs of the spans' slices on ``days``, which ``span_date`` tells."""
+        return self._priced(op.always_on_daily(spans, self.daily_workloads(min(days), max(days)), days))
+
+    def _priced(self, daily: DataFrame) -> DataFrame:
+        p = self.params
+        return op.vm_cost(op.dbu_cost_always_on(daily, p.cost_per_dbu_always_on), p.vm_discount_pct, self._vm_book)
 
     # -- on-demand -----------------------------------------------------------
     @cached_property

@@ -64,10 +64,10 @@ class RegionAnalysis:
     def statements_of(self, intervals: DataFrame) -> DataFrame:
         return op.attributed_statements_region(intervals, self._statement_map)
 
-    def daily_workloads(self, start_date: dt.date | None = None) -> DataFrame:
+    def daily_workloads(self, start_date: dt.date | None = None, end_date: dt.date | None = None) -> DataFrame:
         """Daily workloads of the selected accounts' clusters (from ``start_date``, else the first day of any session)."""
         ids = self.account_clusters.select("cluster_id")
-        return op.daily_workloads(self.inputs.workloads.join(ids, "cluster_id", "left_semi"), self.params.end_date,
+        return op.daily_workloads(self.inputs.workloads.join(ids, "cluster_id", "left_semi"), end_date or self.params.end_date,
                                   start_date or self.first_day)
 
     @cached_property
@@ -101,6 +101,10 @@ class RegionAnalysis:
         """The same rows as ``always_on_costs``, from the given sessions."""
         return self._priced(op.always_on_daily_region(self._spans_of(sessions), self.daily_workloads(start_date)))
 
+    def always_on_costs_on(self, spans: DataFrame, days: list[dt.date]) -> DataFrame:
+        """The costs of the spans' slices on ``days``, which ``span_date`` tells."""
+        return self._priced(op.always_on_daily_region(spans, self.daily_workloads(min(days), max(days)), days))
+
     @staticmethod
     def _spans_of(sessions: DataFrame) -> DataFrame:
         """``active_span`` taken over the sessions: they partition a warehouse's statements, so min start and max end agree."""

@@ -1,9 +1,10 @@
 """A statement log laid out so that attribution needs no shuffle.
 
 The log is a catalog table partitioned by ``date`` and bucketed by (cluster_id, salt).  The
-salt is 0 but for hot clusters: one that holds more than a bucket's share of all statements is
-dealt over as many salts as it has shares, by a hash of the statement.  ``<table>_salts`` names
-these clusters -- fewer than there are buckets, by the definition of hot.  The map of the
+salt is 0 but for hot clusters: one that holds more than a piece, ``1 / PIECES`` of a bucket's
+share of all statements, is dealt over as many salts as it has pieces, by a hash of the
+statement.  So every (cluster, salt) is a small part of a bucket.  ``<table>_salts`` names the hot
+clusters -- fewer than ``PIECES`` for each bucket, by the definition of hot.  The map of the
 analysed clusters gets a row for each salt of a cluster and the same buckets, so that
 bucket meets bucket whatever the map's size is, and no task holds a hot cluster.
 
@@ -21,6 +22,7 @@ from idlecost.session import stored, stored_bucketed
 from idlecost.sources.schemas import require_columns
 
 SALT = "salt"
+PIECES = 4
 BUCKET_COLUMNS = ["cluster_id", SALT]
 
 
@@ -32,16 +34,16 @@ class Layout(NamedTuple):
 
 
 def hot_clusters(statements: DataFrame, buckets: int) -> DataFrame:
-    """(cluster_id, salts) of the clusters that hold more than a bucket's share of the statements."""
+    """(cluster_id, salts) of the clusters that hold more than a piece of a bucket's share of the statements."""
     counts = stored(statements.groupBy("cluster_id").agg(F.count("*").alias("n")), "cluster-sizes")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    share = max(1, -(-total // buckets))
-    return counts.where((F.col("n") > share) & F.col("cluster_id").isNotNull()).select(
-        "cluster_id", F.ceil(F.col("n") / share).cast("int").alias("salts"))
+    piece = max(1, -(-total // (buckets * PIECES)))
+    return counts.where((F.col("n") > piece) & F.col("cluster_id").isNotNull()).select(
+        "cluster_id", F.ceil(F.col("n") / piece).cast("int").alias("salts"))
 
 
 def _salted(statements: DataFrame, salts: DataFrame) -> DataFrame:
-    """``statements`` with their salt; ``salts`` has fewer rows than the table has buckets."""
+    """``statements`` with their salt; ``salts`` has fewer rows than ``PIECES`` times the table's buckets."""
     joined = statements.join(F.broadcast(salts), "cluster_id", "left")
     return joined.withColumn(SALT, F.pmod(F.xxhash64("statement_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
 

@@ -5,7 +5,7 @@ import tempfile
 
 from conftest import SF_SMALL
 from idlecost.operators.sessions import idle_sessions
-from idlecost.streaming import start_session_stream, streaming_idle_sessions
+from idlecost.streaming import start_session_stream, streaming_cluster_sessions, streaming_idle_sessions
 
 import __spark_entry__ as se
 
@@ -37,6 +37,50 @@ def test_streaming_sessions_match_batch(spark):
     assert closed <= got_sel
 
 
+def _two_endpoints(spark):
+    """Each cluster serves two endpoints in turn, so that sessions of a cluster span both."""
+    att = se._all_warehouses(spark, SF_SMALL).select("cluster_id", "workspace_id", "start_us", "end_us")
+    return att.withColumn("endpoint_id", att.cluster_id * 2 + (att.start_us % 2)).select(
+        "cluster_id", "endpoint_id", "workspace_id", "start_us", "end_us")
+
+
+def test_stream_keyed_by_cluster_matches_batch_with_two_endpoints(spark):
+    base = tempfile.mkdtemp(prefix="idlecost-stream-")
+    att = _two_endpoints(spark)
+    lo, hi = att.agg({"start_us": "min"}).first()[0], att.agg({"start_us": "max"}).first()[0] + 1
+    cuts = [lo + (hi - lo) * i // 4 for i in range(5)]
+    for a, b in zip(cuts, cuts[1:]):
+        att.filter((att.start_us >= a) & (att.start_us < b)).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stop = 7200
+    stream = spark.readStream.schema(att.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    q = start_session_stream(streaming_cluster_sessions(stream, stop, "2 hours"), f"{base}/out", f"{base}/ckpt", trigger={"availableNow": True})
+    q.awaitTermination(300)
+    cols = ["cluster_id", "endpoint_id", "workspace_id", "date", "start_us", "end_us", "end_autostop_us", "statements"]
+    got = [tuple(r) for r in spark.read.parquet(f"{base}/out").select(*cols).collect()]
+    want = {tuple(r) for r in idle_sessions(spark.read.parquet(f"{base}/in"), stop, "cluster").select(*cols).collect()}
+    assert len(got) == len(set(got)) and set(got) <= want
+    last_start = max(w[4] for w in want)
+    whole = {w[0]: max(x[6] for x in want if x[0] == w[0] and x[4] <= w[6]) for w in want}
+    closed = {w for w in want if w[6] + stop * 1_000_000 < last_start - 2 * 3600 * 1_000_000}
+    assert closed and closed <= set(got) and whole
+    # the window form, keyed by endpoint, too, splits sessions that the other endpoint keeps alive
+    by_key = {tuple(r) for r in idle_sessions(spark.read.parquet(f"{base}/in"), stop, "cluster").select("cluster_id", "start_us").collect()}
+    assert len(by_key) > 1
+
+
+def test_cluster_state_merges_out_of_order_and_across_endpoints():
+    import pandas as pd
+
+    from idlecost.streaming.cluster_sessions import merged
+
+    rows = pd.DataFrame({"cluster_id": 1, "endpoint_id": [5, 6, 5, 6], "start_us": [100, 0, 30, 500], "end_us": [110, 20, 60, 510], "statements": [1, 2, 3, 4]})
+    got = merged(rows, ["cluster_id", "endpoint_id"], 40)
+    assert [tuple(r) for r in got.itertuples(index=False)] == [(1, 1, 5, 30, 110, 4), (1, 1, 6, 0, 20, 2), (2, 1, 6, 500, 510, 4)]
+    apart = merged(rows, ["cluster_id", "endpoint_id"], 39)
+    assert apart["_session"].tolist() == [1, 1, 2, 3]
+    assert merged(got.drop(columns="_session"), ["cluster_id", "endpoint_id"], 40).equals(got)
+
+
 def _stream(spark, arrivals, watermark):
     """Sessions of statements that arrive one file each, in the given order."""
     import time
