@@ -17,6 +17,11 @@ SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 _shipped: set[str] = set()
 
+#: Rows of an Arrow batch, where the session has Spark's default of 10,000: texts have kilobytes, and
+#: each task holds a batch in the JVM, another on its way and two in its Python worker.
+ARROW_ROWS, DEFAULT_ARROW_ROWS = 1000, 10_000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def ship(spark: SparkSession) -> None:
     """Give this package to the Python workers once a session (as ``--py-files`` would),
@@ -24,6 +29,8 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
+    if int(spark.conf.get(_ARROW)) == DEFAULT_ARROW_ROWS:
+        spark.conf.set(_ARROW, str(ARROW_ROWS))
     package = Path(__file__).resolve().parents[1]
     path = f"{tempfile.mkdtemp(prefix='llm-code-')}/{package.name}.zip"
     with zipfile.ZipFile(path, "w") as out:

@@ -7,9 +7,10 @@ rows give the Nystroem map; one-versus-rest kernel ridge regression on it gives
 weight for each landmark and language.  Scoring is a product of batches of presence
 vectors with landmarks times weights, which is folded into one matrix beforehand.
 
-Learning rows are bounded: ``PER_LANGUAGE`` rows of each of the ``LANGUAGES`` most
-frequent languages, those lowest in a hash order of the id.  Only their presence
-vectors (2 KB each) reach the driver.
+Every language of the learning rows is learned.  Rows are bounded: ``PER_LANGUAGE`` of
+each language, fewer where there are so many languages that ``SAMPLE`` rows in all would be
+passed (one of each at least), those lowest in a hash order of the id.  Only their
+presence vectors (2 KB each) reach the driver.
 
 Defined cases: a text that is null or has no letter gets ``und`` with score 0, as do
 all texts when there is nothing to learn from; repeated rows get equal results; a
@@ -28,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idlecost.llm.common import crc_mod, full_text, lowest_by_hash, table
-from idlecost.llm.wordhash import slices
+from idlecost.llm.wordhash import free_memory, slices
 
 BITS = 14
 PER_LANGUAGE = 300
-LANGUAGES = 64
+SAMPLE = 19_200
 LANDMARKS = 400
 RIDGE = 1e-2
 SHARPNESS = 4.0
@@ -83,11 +84,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on the bounded sample of the rows of ``docs`` outside the held-out fold."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), full_text(text_col).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & (crc_mod("doc_id", 3) != 1))
-    top = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    chosen = lowest_by_hash(rows.where(F.col("lang").isin(top)).select("doc_id", "lang"), "lang", "doc_id", PER_LANGUAGE)
+    of_each = max(1, min(PER_LANGUAGE, SAMPLE // max(1, rows.select("lang").distinct().count())))
+    chosen = lowest_by_hash(rows.select("doc_id", "lang"), "lang", "doc_id", of_each)
     ids = [r[0] for r in chosen.select("doc_id").distinct().collect()]
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    bits = (rows.where(F.col("doc_id").isin([i for i in ids if i is not None]) & F.col("lang").isin(top) & F.col("text").rlike(r"\p{L}"))
+    bits = (rows.where(F.col("doc_id").isin([i for i in ids if i is not None]) & F.col("text").rlike(r"\p{L}"))
             .mapInArrow(_learning_rows, f"doc_id {id_type}, lang string, bits binary")
             .groupBy("doc_id", "lang").agg(F.min("bits").alias("bits")).orderBy("lang", "doc_id").collect())
     return fit([r["lang"] for r in bits], np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in bits], dtype=np.float32))
@@ -160,9 +161,12 @@ def known_language(docs: DataFrame, min_score: float = MIN_SCORE, id_col: str =
                 score[a:b] = (power / power.sum(axis=1, keepdims=True)).max(axis=1)
             keep = pa.array(letters & (score >= min_score))
             yield batch.select(range(batch.num_columns - 1)).filter(keep)
+        free_memory()
 
-    marked = docs.withColumn("_llm_letters", full_text(text_col).rlike(r"\p{L}"))
-    return marked.mapInArrow(run, keep_types)
+    letters = "letters"
+    while letters in map(str.lower, docs.columns):
+        letters += "_"
+    return docs.withColumn(letters, full_text(text_col).rlike(r"\p{L}")).mapInArrow(run, keep_types)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

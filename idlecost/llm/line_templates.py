@@ -36,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from idlecost.llm.common import full_text, stored, table
 
@@ -238,7 +239,7 @@ def _marked(docs: DataFrame, keep: list[Column], min_docs: int, id_col: str, tex
     # The dropped lines grow with the corpus: they are merged at every size, never broadcast.
     rows = texts.join(gone.hint("merge"), "_row", "left")
     kept = [f for f in rows.schema.fields if f.name not in ("_text", "_lines", "_row")]
-    return rows.mapInArrow(_cleaned, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "_dropped long", "_clean string"]))
+    return rows.mapInArrow(_cleaned, T.StructType([*kept, T.StructField("_dropped", T.LongType()), T.StructField("_clean", T.StringType())]))
 
 
 def line_report(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,8 +253,11 @@ def line_report(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id
 
 def drop_template_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines of recurring templates taken out of ``text_col``."""
-    rows = _marked(docs, [F.col(f"`{c}`") for c in docs.columns], min_docs, id_col, text_col)
-    return rows.withColumn(text_col, F.when(F.col("_dropped") > 0, F.col("_clean")).otherwise(F.col(text_col))).select(*docs.columns)
+    # The caller's row travels as one column, whatever its columns are called.
+    rows = _marked(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")], min_docs, id_col, text_col)
+    own = {c: F.col("doc").getField(c) for c in docs.columns}
+    own[text_col] = F.when(F.col("_dropped") > 0, F.col("_clean")).otherwise(own[text_col])
+    return rows.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def sha256_without(text: str, lines: list[int]) -> str:

@@ -162,7 +162,9 @@ def mix(docs: DataFrame, mix: Mix = PRODUCTION, id_col: str = "doc_id", text_col
     cols = (text_col, lang_col, source_col)
     cuts = _cuts(_meta(docs, mix, id_col, *cols), mix)
     tree = _tree(docs, mix, id_col, *cols)[:3]
-    return _selected(docs.select("*", *tree), cuts, mix, id_col).select(*docs.columns)
+    # The caller's row travels as one column, whatever its columns are called.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), *tree)
+    return _selected(rows, cuts, mix, "_id").select("_row.*")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

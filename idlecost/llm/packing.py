@@ -2,10 +2,10 @@
 
 Every document becomes token ids and an end id; longer ones are cut into full
 sequences and one rest.  Each partition packs its pieces best-fit in falling order
-of length and emits its nearly full bins; the underfull bins of several partitions
-then meet as items of the next round's best-fit, in fewer partitions each time, until
-one partition is left or a round no longer saves bins.  A round's task holds at most
-about ``ITEMS`` bins, whatever the input is.
+of length and emits its nearly full bins; the underfull bins then meet as items of the next
+round's best-fit, dealt out anew by another hash each round, until one task held all that are
+left or a round saves less than ``LEAST_SAVING`` of them.  A round has as many tasks as its
+bins need: each holds about ``ITEMS`` of them, whatever the input is.
 
 Ids are those of the tokenizer file; they are computed with the library that reads
 the same vocabulary as ranks, several times faster, and by the tokenizer itself for
@@ -44,6 +44,8 @@ NEARLY_FULL = 2
 ITEMS = 50_000
 #: A round that saves a smaller share of the bins is the last.
 LEAST_SAVING = 0.002
+#: What the numbers of bins have room for; each round saves its share, so fewer are made.
+MOST_ROUNDS = 255
 
 
 @functools.cache
@@ -126,15 +128,18 @@ def _packed_locally(capacity: int):
     return run
 
 
-def _packed_again(capacity: int, base: int):
-    """Bins as items: (bin, used) -> (bin, to, shift, to_used), one partition's bins together."""
+def _packed_again(capacity: int, level: int):
+    """Bins as items: (bin, used) -> (bin, to, shift, to_used), one partition's bins together.
+
+    Bins are numbered by round, partition and place, above those of the first packing.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]
         if not rows:
             return
         all_rows = pa.Table.from_batches(rows)
         to, place, used = best_fit(all_rows.column("used").to_numpy(), capacity)
-        first = base + (TaskContext.get().partitionId() << 40)
+        first = (1 << 60) + (level << 52) + (TaskContext.get().partitionId() << 24)
         yield pa.RecordBatch.from_pydict({
             "bin": all_rows.column("bin").combine_chunks(), "to": pa.array(to + first), "shift": pa.array(place),
             "to_used": pa.array(np.where(place == 0, used[to], 0))})
@@ -159,14 +164,12 @@ def pack(items: DataFrame, length: int = LENGTH) -> DataFrame:
     bins = local.where(F.col("used") > 0).select("bin", "used")
     moves = None  # where each bin that was packed again is now
     open_bins = bins.where(F.col("used") < length - NEARLY_FULL)
-    n, width, level = open_bins.count(), None, 1
+    n, level = open_bins.count(), 1
     while n > 1:
         parts = max(1, -(-n // ITEMS))
-        if width is not None:
-            parts = min(parts, max(1, width // 4))
         # Dealt out by a hash of the bin, so that each task gets all kinds of room.
         dealt = open_bins.repartition(parts, F.xxhash64("bin", F.lit(level)))
-        again = stored(dealt.mapInArrow(_packed_again(length, level << 60), "bin long, to long, shift long, to_used long"), f"round-{level}")
+        again = stored(dealt.mapInArrow(_packed_again(length, level), "bin long, to long, shift long, to_used long"), f"round-{level}")
         if moves is None:
             moves = again.select("bin", F.col("to").alias("now"), "shift")
         else:
@@ -176,8 +179,8 @@ def pack(items: DataFrame, length: int = LENGTH) -> DataFrame:
         made = after.count()
         saved = n - made
         open_bins = after.where(F.col("used") < length - NEARLY_FULL)
-        n, width, level = open_bins.count(), parts, level + 1
-        if parts == 1 or saved < LEAST_SAVING * made or level == 8:
+        n, level = open_bins.count(), level + 1
+        if parts == 1 or saved < LEAST_SAVING * made or level == MOST_ROUNDS:
             break
     if moves is None:
         return local.select(*items.columns, F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))

@@ -126,14 +126,16 @@ def with_spans(docs: DataFrame, text_col: str = "text", out: str = "pii_spans")
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with each span in ``text_col`` replaced by its kind in brackets; of overlapping spans the first."""
-    found = with_spans(docs, text_col, "_pii")
-    text = full_text(text_col)
+    # The caller's row travels as one column, whatever its columns are called.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    found = with_spans(rows, "text", "spans")
+    text = full_text("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("_pii", start, lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(
+    masked = F.aggregate("spans", start, lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(
         s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out"))))
-    return found.withColumn("_masked", masked).withColumn(
-        text_col, F.when(F.size("_pii") > 0, F.concat("_masked.out", F.substring(text, F.col("_masked.at") + 1, F.length(text)))).otherwise(F.col(text_col))
-    ).select(*docs.columns)
+    new = F.when(F.size("spans") > 0, F.concat("masked.out", F.substring(text, F.col("masked.at") + 1, F.length(text)))).otherwise(F.col("text"))
+    return found.withColumn("masked", masked).select(
+        *[(new if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
@@ -156,8 +157,27 @@ def test_merge_rounds_in_small_tasks(spark, monkeypatch):
     monkeypatch.setattr(packing, "ITEMS", 20)
     rng = random.Random(4)
     rows = [(i, sentence(rng, rng.choice([3, 20, 60, 150]))) for i in range(300)]
-    used, bound = check_packing(rows, packing.pack(packing.pieces(docs(spark, rows).repartition(20))).collect())
-    assert used <= 1.15 * bound + 1
+    items = packing.pieces(docs(spark, rows).repartition(20))
+    kind, tasks = type(items), []
+    dealt = kind.repartition
+
+    def repartition(self, n, *cols):
+        out = dealt(self, n, *cols)
+        tasks.append([r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()])
+        return out
+
+    monkeypatch.setattr(kind, "repartition", repartition)
+    used, bound = check_packing(rows, packing.pack(items).collect())
+    assert used <= 1.1 * bound + 1
+    assert len(tasks) > 1 and max(map(max, tasks)) <= 2.5 * packing.ITEMS
+    # no round has fewer tasks than its bins need
+    assert all(len(sizes) >= sum(sizes) / (2 * packing.ITEMS) for sizes in tasks)
+
+
+def test_mix_with_clashing_names(spark):
+    df = docs(spark, odd_rows()).withColumnsRenamed({"keep_id": "_domain", "score": "_epochs", "part": "_row", "set_key": "_id", "n": "_cut"})
+    got = mixing.mix(df)
+    assert got.columns == df.columns and got.count() > 0
 
 
 # --- chat ---------------------------------------------------------------------

@@ -25,6 +25,25 @@ def test_language_keeps_clean_documents(spark):
     assert kept.count() >= 0.99 * d.where("text rlike '[a-z]'").count()
 
 
+def test_every_language_is_learned(spark):
+    """Seventy languages, more than the sample has rows for at the usual number each."""
+    rng = random.Random(70)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(70):
+        syllables = ["".join(rng.choices(letters, k=3)) for _ in range(12)]
+        rows += [(100 * k + i, " ".join(rng.choice(syllables) + rng.choice(syllables) for _ in range(40)), f"l{k:02}") for i in range(24)]
+    df = docs(spark, rows)
+    got = [r for r in language_id.languages(df).join(df.select("doc_id", "lang"), "doc_id").collect() if r.held_out]
+    assert {r.lang_pred for r in got} == {f"l{k:02}" for k in range(70)} and np.mean([r.lang == r.lang_pred for r in got]) > 0.98
+
+
+def test_known_language_with_clashing_names(spark):
+    df = docs(spark, odd_rows()).withColumnsRenamed({"keep_id": "letters", "part": "_llm_letters"})
+    got = language_id.known_language(df)
+    assert got.columns == df.columns and got.count() > 0
+
+
 def test_language_odd_cases(spark):
     rows = odd_rows() + [(60, "123 456 !!"), (61, "日本")]
     got = {r.doc_id: r for r in language_id.languages(docs(spark, rows)).collect()}

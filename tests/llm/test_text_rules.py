@@ -86,6 +86,17 @@ def test_redact(spark):
     assert {r.doc_id: r.text for r in df.collect()} == {1: "write to [email] or [ip]!", 2: None, 3: "nothing"}
 
 
+def test_redact_and_drop_lines_with_clashing_names(spark):
+    rows = [(1, "write to a@b.co"), (2, None), (3, "nothing")] + [(10 + i, f"own line {i} of its own text\nreport number {i} was sent on time") for i in range(6)]
+    names = {"keep_id": "_pii", "score": "_masked", "part": "_text", "set_key": "_lines", "n": "_row"}
+    df = docs(spark, rows).withColumnsRenamed(names).withColumnsRenamed({"sequence_id": "_clean"})
+    for got in (pii.redact(df), line_templates.drop_template_lines(df)):
+        assert got.columns == df.columns
+        keep = [c for c in df.columns if c != "text"]
+        assert sorted(map(str, got.select(*keep).collect())) == sorted(map(str, df.select(*keep).collect()))
+    assert pii.redact(df).where("doc_id = 1").first().text == "write to [email]"
+
+
 def test_templates_generalise_fields():
     lines = ["user ann logged in from the office", "user bob logged in from the office", "disk full on the main storage node"]
     assert line_templates.templates([x.split(" ") for x in lines]) == [
