@@ -1,12 +1,14 @@
 """Chat formatting in budgeted windows.
 
-Running sums of turn tokens cut each conversation into turn-aligned spans: a turn
-belongs to the stride of the sum in which it begins.  A span becomes one window: the
-system turn (kept in every window), the end of the previous span as far as ``history``
-tokens reach, then the span's own turns.  The loss mask covers the texts of the span's
-own assistant turns; repeated ones are masked out, so each target counts once.  With
-strides of half of what the budget leaves after system turn and history, a window
-keeps to the budget unless one turn alone is longer than that; turns are never cut.
+Prefix sums of turn tokens cut each conversation into turn-aligned spans.  A span grows
+turn by turn and ends where system turn, history and its own turns would pass the
+budget together; the next turn opens the next span.  A span becomes one window: the
+system turn (kept in every window), the end of what came before as far as ``history``
+tokens reach, then the span's own turns.  History gives way first: where the opening
+turn leaves less than ``history`` tokens, it is as long as they allow.  So a window
+keeps to the budget unless its system turn and one turn alone are longer than that;
+turns are never cut.  The loss mask covers the texts of the span's own assistant turns;
+repeated ones are masked out, so each target counts once.
 
 The template is ``<|turn|>role<|says|>text<|end|>``.  Inside roles and texts every
 backslash is doubled and a backslash is put into control strings of this and other
@@ -14,13 +16,16 @@ templates (``<\\|turn|>``, ``<\\/s>``, ``[\\INST]``), so none occurs in the outp
 the template's own; dropping the backslash before any sign gives the text back.
 
 All of it is DataFrame functions.  Running sums go over blocks of ``BLOCK`` turn
-numbers and over the blocks' sums, so a long conversation does not meet in one task
-before its windows are made; only the digests of the query need whole conversations.
+numbers and over the blocks' sums, and spans are cut in cells of ``CELL`` budgets: the
+first turn that begins in a cell opens a span in any case.  So a long conversation does
+not meet in one task before its windows are made, and its windows don't depend on how
+it is partitioned; only the digests of the query need whole conversations.
 
 Defined cases: null text and role count as empty; a null turn number comes first; turns
 of equal number are ordered by role and text; repeated rows are turns of their own; a
 null conversation id is a conversation; an empty table gives the added conversation
-only; other columns are ignored.
+only; a system turn that leaves no room stands before each turn alone; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ HISTORY = 96
 POINTS_PER_TOKEN = 4
 TURN_TOKENS = 4
 BLOCK = 64
+#: A cell's tokens, in budgets: turns have tokens of their own, so a cell holds a bounded number of them.
+CELL = 32
 
 OPEN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
 #: Where a backslash breaks a control string: after its first sign.
@@ -55,41 +62,80 @@ def _turns(conversations: DataFrame) -> DataFrame:
         "conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("conv"),
         F.col("turn").cast("long").alias("turn"), full_text("role").alias("role"), full_text("text").alias("text"))
     tokens = F.ceil(F.length("text") / POINTS_PER_TOKEN).cast("long") + TURN_TOKENS
-    return t.withColumns({"tokens": tokens, "block": F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK)})
+    # A turn without a number stands in a block before all others.
+    block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62)))
+    return t.withColumns({"tokens": tokens, "block": block})
 
 
-def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """conv_id, window, formatted, loss (array of start and end in code points), n_repeated, n_turns."""
-    turns = _turns(conversations)
+def _placed(turns: DataFrame) -> DataFrame:
+    """``turns`` with their place (block, nth) and the tokens before them; the system turn begins at 0 and takes none."""
     order = [F.asc_nulls_first("turn"), F.asc("role"), F.asc("text")]
-    first = turns.groupBy("conv").agg(F.min(F.struct(F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), "role", "text", "tokens")).alias("first"))
+    first = turns.groupBy("conv").agg(F.min(F.struct(F.col("turn").isNotNull().alias("numbered"), "turn", "role", "text", "tokens")).alias("first"))
     has_system = F.col("first.role") == SYSTEM
     first = first.select("conv", F.when(has_system, F.col("first.text")).alias("system"),
                          F.when(has_system, F.col("first.tokens")).otherwise(0).alias("system_tokens"))
-    blocks = turns.groupBy("conv", "block").agg(F.sum("tokens").alias("_sum"))
-    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_sum").over(
-        Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    blocks = turns.groupBy("conv", "block").agg(F.sum("tokens").alias("sum"))
+    blocks = blocks.select("conv", "block", F.coalesce(F.sum("sum").over(
+        Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     in_block = Window.partitionBy("conv", "block").orderBy(*order)
     turns = turns.withColumns({
-        "_run": F.coalesce(F.sum("tokens").over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "run": F.coalesce(F.sum("tokens").over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         "nth": F.row_number().over(in_block)})
-    turns = turns.join(blocks.drop("_sum"), ["conv", "block"]).join(first, "conv")
-    # The system turn begins at 0 and takes nothing from the spans.
-    start = F.greatest(F.col("_before") + F.col("_run") - F.col("system_tokens"), F.lit(0))
-    stride = F.floor(F.greatest(budget - history - F.col("system_tokens"), F.lit(2 * history)) / 2)
-    is_system = (F.col("_before") + F.col("_run") == 0) & F.col("system").isNotNull()
-    turns = turns.withColumns({"start": start, "window": F.floor(start / stride), "is_system": is_system})
-    turns = turns.withColumn("_end", F.max(F.col("start") + F.when(F.col("is_system"), 0).otherwise(F.col("tokens"))).over(
-        Window.partitionBy("conv", "window")))
-    again = ~F.col("is_system") & (F.col("_end") - F.col("start") <= history)
-    places = F.array(F.struct("window", F.lit(False).alias("repeated")), F.struct((F.col("window") + 1).alias("window"), F.lit(True).alias("repeated")))
-    rows = turns.withColumn("_in", F.explode(F.when(again, places).otherwise(F.slice(places, 1, 1))))
+    turns = turns.join(blocks, ["conv", "block"]).join(first, "conv")
+    at = F.col("before") + F.col("run")
+    return turns.withColumns({"is_system": (at == 0) & F.col("system").isNotNull(),
+                              "start": F.greatest(at - F.col("system_tokens"), F.lit(0))}).drop("before", "run")
+
+
+def _cells(turns: DataFrame, cell: int, history: int) -> DataFrame:
+    """The turns but system turns by cell; those that can be history of the next cell's first span stand there too (``carried``)."""
+    own = F.floor(F.col("start") / cell)
+    here, next_ = (F.struct(c.alias("cell"), F.lit(k).alias("carried")) for c, k in ((own, False), (own + 1, True)))
+    places = F.when(F.col("start") >= (own + 1) * cell - history, F.array(here, next_)).otherwise(F.array(here))
+    return turns.where(~F.col("is_system")).withColumn("in", F.explode(places)).select("*", "in.cell", "in.carried").drop("in")
+
+
+def _spans(cells: DataFrame, budget: int, history: int) -> DataFrame:
+    """conv, cell, start, reach: where each span begins, and where its history does."""
+    before = Window.partitionBy("conv", "cell").orderBy("start").rangeBetween(-history, 0)
+    turns = cells.select("conv", "cell", "carried", "start", "tokens", (F.lit(budget) - F.col("system_tokens")).alias("room"),
+                         F.min("start").over(before).alias("reach"))
+    sorted_ = F.array_sort(F.collect_list(F.struct("start", "tokens", "reach", "room")))
+    begin = F.struct(F.lit(None).cast("long").alias("limit"), F.array().cast("array<struct<start:bigint,reach:bigint>>").alias("out"))
+
+    def step(a: Column, t: Column) -> Column:
+        reach = F.greatest(t["reach"], F.least(t["start"], t["start"] + t["tokens"] - t["room"]))
+        opened = F.struct((reach + t["room"]).alias("limit"), F.concat(a["out"], F.array(F.struct(t["start"].alias("start"), reach.alias("reach")))).alias("out"))
+        return F.when(t["start"] + t["tokens"] <= a["limit"], a).otherwise(opened)
+
+    cut = turns.where(~F.col("carried")).groupBy("conv", "cell").agg(F.aggregate(sorted_, begin, step, lambda a: a["out"]).alias("spans"))
+    return cut.select("conv", "cell", F.explode("spans").alias("span")).select("conv", "cell", "span.start", "span.reach")
+
+
+def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """conv_id, window, formatted, loss (array of start and end in code points), n_repeated, n_turns.
+
+    A window's number is that of the tokens before it.
+    """
+    turns = _placed(_turns(conversations))
+    cells = _cells(turns, CELL * max(budget, history), history)
+    spans = _spans(cells, budget, history).withColumn("span", F.struct(F.col("start").alias("window"), "reach"))
+    opened = cells.join(spans.select("conv", "cell", "start", "span"), ["conv", "cell", "start"], "left")
+    in_cell = Window.partitionBy("conv", "cell").orderBy("start")
+    # A turn's own window is the last one opened, and it is history of those that reach back to it.
+    own = F.last("span.window", ignorenulls=True).over(in_cell)
+    later = F.collect_list("span").over(in_cell.rangeBetween(1, history))
+    opened = opened.withColumns({"own": own, "later": F.filter(later, lambda w: w["reach"] <= F.col("start"))})
+    places = F.transform("later", lambda w: F.struct(w["window"].alias("window"), F.lit(True).alias("repeated")))
+    mine = F.array(F.struct(F.col("own").alias("window"), F.lit(False).alias("repeated")))
+    columns = ["conv_id", "conv", "block", "nth", "role", "text", "system", "is_system"]
+    rows = opened.select(*columns, F.explode(F.when(F.col("carried"), places).otherwise(F.concat(mine, places))).alias("_in"))
+    rows = rows.unionByName(turns.where("is_system").select(*columns, F.struct(
+        F.lit(0).cast("long").alias("window"), F.lit(False).alias("repeated")).alias("_in")))
     turn = F.struct("block", "nth", F.col("_in.repeated").alias("repeated"), "is_system", escaped(F.col("role")).alias("role"),
                     escaped(F.col("text")).alias("text"), ((F.col("role") == TARGET) & ~F.col("_in.repeated")).alias("target"))
     made = rows.groupBy("conv", F.col("_in.window").alias("window")).agg(
         F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(turn)).alias("turns"), F.first("system").alias("system"))
-    # A window without turns of its own is none.
-    made = made.where(F.exists("turns", lambda t: ~t["repeated"]))
     lead = F.struct(F.lit(0).cast("long").alias("block"), F.lit(0).alias("nth"), F.lit(True).alias("repeated"), F.lit(True).alias("is_system"),
                     F.lit(SYSTEM).alias("role"), escaped(F.col("system")).alias("text"), F.lit(False).alias("target"))
     own_system = F.exists("turns", lambda t: t["is_system"])
@@ -136,7 +182,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = rf"""
-WITH c AS (
+WITH RECURSIVE c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT {ADDED_ID}, 0, 'user', '{ADDED_TEXT}' UNION ALL SELECT {ADDED_ID}, 1, 'assistant', '{ADDED_TEXT}'),
 t AS (SELECT *, CAST(ceil(length(text) / {POINTS_PER_TOKEN}.0) AS BIGINT) + {TURN_TOKENS} AS tokens,
@@ -144,18 +190,21 @@ t AS (SELECT *, CAST(ceil(length(text) / {POINTS_PER_TOKEN}.0) AS BIGINT) + {TUR
 s AS (SELECT t.*, CASE WHEN f.role = '{SYSTEM}' THEN f.tokens ELSE 0 END AS system_tokens, f.role = '{SYSTEM}' AS with_system, f.text AS first_text
   FROM t JOIN t f ON f.conv_id IS NOT DISTINCT FROM t.conv_id AND f.nth = 1),
 p AS (SELECT *, greatest(coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-  - system_tokens, 0) AS start, with_system AND nth = 1 AS is_system,
-  greatest({BUDGET} - {HISTORY} - system_tokens, {2 * HISTORY}) // 2 AS stride,
+  - system_tokens, 0)::BIGINT AS start, with_system AND nth = 1 AS is_system, {BUDGET} - system_tokens AS room,
   {len(OPEN) + len(SAYS) + len(END)} + length(regexp_replace(replace(role, '\', '\\'), '([<\[])(\||/?s>|<?/?SYS>|/?INST\])', '\1\\\2', 'g'))
   + length(regexp_replace(replace(text, '\', '\\'), '([<\[])(\||/?s>|<?/?SYS>|/?INST\])', '\1\\\2', 'g')) AS points FROM s),
-w AS (SELECT *, start // stride AS wnd FROM p),
-e AS (SELECT *, max(start + CASE WHEN is_system THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id, wnd) AS span_end FROM w),
-made AS (SELECT DISTINCT conv_id, wnd FROM e),
-again AS (SELECT e.conv_id, sum(points) AS n FROM e JOIN made m ON m.conv_id IS NOT DISTINCT FROM e.conv_id AND m.wnd = e.wnd + 1
-  WHERE NOT is_system AND span_end - start <= {HISTORY} GROUP BY 1),
-leads AS (SELECT m.conv_id, sum(x.points) AS n FROM made m JOIN e x ON x.conv_id IS NOT DISTINCT FROM m.conv_id AND x.is_system AND x.wnd <> m.wnd GROUP BY 1),
+o AS (SELECT conv_id, start, tokens, points, room, start // {CELL * max(BUDGET, HISTORY)} AS cell, row_number() OVER (PARTITION BY conv_id ORDER BY nth) AS k,
+  greatest(min(start) OVER (PARTITION BY conv_id ORDER BY start RANGE BETWEEN {HISTORY} PRECEDING AND CURRENT ROW),
+  least(start, start + tokens - room)) AS reach FROM p WHERE NOT is_system),
+g AS (SELECT conv_id, k, cell, start AS wnd, reach, reach + room AS until FROM o WHERE k = 1
+  UNION ALL SELECT o.conv_id, o.k, o.cell, CASE WHEN goes_on THEN g.wnd ELSE o.start END, CASE WHEN goes_on THEN g.reach ELSE o.reach END,
+  CASE WHEN goes_on THEN g.until ELSE o.reach + o.room END
+  FROM g JOIN o ON o.conv_id IS NOT DISTINCT FROM g.conv_id AND o.k = g.k + 1, LATERAL (SELECT o.cell = g.cell AND o.start + o.tokens <= g.until AS goes_on)),
+made AS (SELECT DISTINCT conv_id, wnd, reach FROM g),
+again AS (SELECT o.conv_id, sum(points) AS n FROM o JOIN made m ON m.conv_id IS NOT DISTINCT FROM o.conv_id AND o.start >= m.reach AND o.start < m.wnd GROUP BY 1),
+leads AS (SELECT m.conv_id, sum(x.points) AS n FROM made m JOIN p x ON x.conv_id IS NOT DISTINCT FROM m.conv_id AND x.is_system AND m.wnd > 0 GROUP BY 1),
 r AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
-  coalesce(string_agg(CASE WHEN role = '{TARGET}' THEN text END, '' ORDER BY nth), '') AS loss, sum(points) AS n FROM e GROUP BY 1)
+  coalesce(string_agg(CASE WHEN role = '{TARGET}' THEN text END, '' ORDER BY nth), '') AS loss, sum(points) AS n FROM p GROUP BY 1)
 SELECT r.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
   CAST(r.n + coalesce(a.n, 0) + coalesce(l.n, 0) AS BIGINT) AS formatted_chars
 FROM r LEFT JOIN again a ON a.conv_id IS NOT DISTINCT FROM r.conv_id LEFT JOIN leads l ON l.conv_id IS NOT DISTINCT FROM r.conv_id

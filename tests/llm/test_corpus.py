@@ -223,25 +223,67 @@ def test_windows_read_back(spark):
     assert len(got) == len(by_conversation(rows))
 
 
-def test_windows_keep_budget_system_and_history(spark):
-    rows = chat_rows()
-    tokens = lambda t: -(-len(t or "") // 4) + 4
-    made = chat_format.windows(chat_df(spark, rows)).collect()
+def chat_tokens(text):
+    return -(-len(text or "") // 4) + 4
+
+
+def greedy_windows(turns, budget, history, cell):
+    """(repeated turns, own turns) of every window as indices, and the system turn's text: turn by turn."""
+    system = turns[0][3] if turns[0][2] == "system" else None
+    room = budget - (chat_tokens(system) if system is not None else 0)
+    own = list(range(system is not None, len(turns)))
+    start, at = {}, 0
+    for i in own:
+        start[i], at = at, at + chat_tokens(turns[i][3])
+    out, used, last_cell = [], 0, None
+    for i in own:
+        size = chat_tokens(turns[i][3])
+        if start[i] // cell == last_cell and used + size <= room:
+            out[-1][1].append(i)
+            used += size
+            continue
+        back = [j for j in own if j < i and start[i] - start[j] <= min(history, room - size)]
+        # What the history could have taken counts as used if the opening turn made it give way.
+        wanted = max([start[i] - start[j] for j in own if j <= i and start[i] - start[j] <= history])
+        used = size + min(wanted, max(room - size, 0))
+        out.append((back, [i]))
+        last_cell = start[i] // cell
+    return out or [([], [])], system
+
+
+@pytest.mark.parametrize(("budget", "history"), [(chat_format.BUDGET, chat_format.HISTORY), (40, 12), (90, 60), (64, 0)])
+def test_windows_keep_budget_system_and_history(spark, budget, history):
+    rows = chat_rows() + [(80, 0, "system", "only a system turn"), (90, None, "system", "first"), (90, -500, "user", "second"), (90, -70, "assistant", "third")]
+    rows += [(95, t, ["user", "assistant"][t % 2], "x" * (4 * n)) for t, n in enumerate([200, 300, 90, 420, 3, 2, 480, 20, 512, 508, 509, 1])]
+    made = chat_format.windows(chat_df(spark, rows), budget, history).collect()
     of = collections.defaultdict(list)
-    for w in made:
-        of[w.conv_id].append(w)
-    for c, ws in of.items():
-        turns = by_conversation(rows)[c]
-        system = turns[0][3] if turns[0][2] == "system" else None
-        for w in sorted(ws, key=lambda w: w.window):
-            parts = [p.removeprefix("<|turn|>").split("<|says|>") for p in w.formatted.split("<|end|>")[:-1]]
-            assert len(parts) == w.n_turns
-            if system is not None:
-                assert parts[0][0] == "system"
-            cost = sum(tokens(p[1]) for p in parts)
-            longest = max(tokens(p[1]) for p in parts)
-            assert cost <= chat_format.BUDGET * 1.2 or longest > chat_format.BUDGET / 4
-    assert any(w.n_repeated > 1 for w in of[50]) and len(of[50]) > 5
+    for w in sorted(made, key=lambda w: w.window):
+        parts = [p.removeprefix("<|turn|>").split("<|says|>") for p in w.formatted.split("<|end|>")[:-1]]
+        assert len(parts) == w.n_turns
+        of[w.conv_id].append((w.n_repeated, [(r, chat_format_plain(t)) for r, t in parts]))
+    assert set(of) == set(by_conversation(rows))
+    for c, turns in by_conversation(rows).items():
+        want, system = greedy_windows(turns, budget, history, chat_format.CELL * max(budget, history))
+        got = []
+        for k, (n_repeated, parts) in enumerate(of[c]):
+            lead = system is not None
+            assert not lead or parts[0] == ("system", system)
+            n_back = n_repeated - (lead and k > 0)
+            said = parts[lead:]
+            got.append(([t for _, t in said[:n_back]], [t for _, t in said[n_back:]]))
+            cost, alone = sum(chat_tokens(t) for _, t in parts), lead + 1
+            assert cost <= budget or len(parts) <= alone, (c, k, cost)
+        assert got == [([turns[i][3] for i in back], [turns[i][3] for i in own]) for back, own in want], c
+    assert budget < chat_format.BUDGET or any(n > 1 for n, _ in of[50]) and len(of[50]) > 5
+
+
+def chat_format_plain(text):
+    out, i = [], 0
+    while i < len(text):
+        i += text[i] == "\\"
+        out.append(text[i])
+        i += 1
+    return "".join(out)
 
 
 def test_query_against_its_table(spark):
