@@ -30,7 +30,7 @@ are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from idlecost.llm.common import full_text, table
@@ -57,34 +57,40 @@ def unescaped(s: Column) -> Column:
     return F.regexp_replace(s, r"(?s)\\(.)", "$1")
 
 
+def _tokens(text: Column) -> Column:
+    return F.ceil(F.length(text) / POINTS_PER_TOKEN).cast("long") + TURN_TOKENS
+
+
 def _turns(conversations: DataFrame) -> DataFrame:
     t = conversations.select(
         "conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("conv"),
         F.col("turn").cast("long").alias("turn"), full_text("role").alias("role"), full_text("text").alias("text"))
-    tokens = F.ceil(F.length("text") / POINTS_PER_TOKEN).cast("long") + TURN_TOKENS
     # A turn without a number stands in a block before all others.
-    block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62)))
-    return t.withColumns({"tokens": tokens, "block": block})
-
-
-def _placed(turns: DataFrame) -> DataFrame:
-    """``turns`` with their place (block, nth) and the tokens before them; the system turn begins at 0 and takes none."""
-    order = [F.asc_nulls_first("turn"), F.asc("role"), F.asc("text")]
-    first = turns.groupBy("conv").agg(F.min(F.struct(F.col("turn").isNotNull().alias("numbered"), "turn", "role", "text", "tokens")).alias("first"))
-    has_system = F.col("first.role") == SYSTEM
-    first = first.select("conv", F.when(has_system, F.col("first.text")).alias("system"),
-                         F.when(has_system, F.col("first.tokens")).otherwise(0).alias("system_tokens"))
-    blocks = turns.groupBy("conv", "block").agg(F.sum("tokens").alias("sum"))
+    return t.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
+
+
+def _in_block() -> WindowSpec:
+    return Window.partitionBy("conv", "block").orderBy(F.asc_nulls_first("turn"), F.asc("role"), F.asc("text"))
+
+
+def _placed(turns: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Each turn's place (conv, block, nth), tokens and the tokens before it; the system turn begins at 0 and takes none.
+
+    No texts, so all that follows until the windows are known moves numbers only.
+    """
+    blocks = turns.groupBy("conv", "block").agg(F.sum(_tokens(F.col("text"))).alias("sum"))
     blocks = blocks.select("conv", "block", F.coalesce(F.sum("sum").over(
         Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    in_block = Window.partitionBy("conv", "block").orderBy(*order)
-    turns = turns.withColumns({
-        "run": F.coalesce(F.sum("tokens").over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "nth": F.row_number().over(in_block)})
-    turns = turns.join(blocks, ["conv", "block"]).join(first, "conv")
+    first = turns.groupBy("conv").agg(F.first("conv_id").alias("conv_id"), F.min(F.struct(
+        F.col("turn").isNotNull().alias("numbered"), "turn", "role", "text")).alias("first"))
+    blocks = blocks.join(first.select("conv", "conv_id", F.when(
+        F.col("first.role") == SYSTEM, _tokens(F.col("first.text"))).otherwise(0).alias("system_tokens")), "conv")
+    run = F.coalesce(F.sum("tokens").over(_in_block().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = numbered.withColumn("tokens", _tokens(F.col("text"))).withColumn("run", run)
+    placed = placed.select("conv", "block", "nth", "tokens", "run").join(blocks, ["conv", "block"])
     at = F.col("before") + F.col("run")
-    return turns.withColumns({"is_system": (at == 0) & F.col("system").isNotNull(),
-                              "start": F.greatest(at - F.col("system_tokens"), F.lit(0))}).drop("before", "run")
+    return placed.select("conv", "conv_id", "block", "nth", "tokens", "system_tokens", ((at == 0) & (F.col("system_tokens") > 0)).alias("is_system"),
+                         F.greatest(at - F.col("system_tokens"), F.lit(0)).alias("start"))
 
 
 def _cells(turns: DataFrame, cell: int, history: int) -> DataFrame:
@@ -117,8 +123,10 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
 
     A window's number is that of the tokens before it.
     """
-    turns = _placed(_turns(conversations))
-    cells = _cells(turns, CELL * max(budget, history), history)
+    turns = _turns(conversations)
+    numbered = turns.drop("conv_id").withColumn("nth", F.row_number().over(_in_block()))
+    placed = _placed(turns, numbered)
+    cells = _cells(placed, CELL * max(budget, history), history)
     spans = _spans(cells, budget, history).withColumn("span", F.struct(F.col("start").alias("window"), "reach"))
     opened = cells.join(spans.select("conv", "cell", "start", "span"), ["conv", "cell", "start"], "left")
     in_cell = Window.partitionBy("conv", "cell").orderBy("start")
@@ -128,18 +136,17 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     opened = opened.withColumns({"own": own, "later": F.filter(later, lambda w: w["reach"] <= F.col("start"))})
     places = F.transform("later", lambda w: F.struct(w["window"].alias("window"), F.lit(True).alias("repeated")))
     mine = F.array(F.struct(F.col("own").alias("window"), F.lit(False).alias("repeated")))
-    columns = ["conv_id", "conv", "block", "nth", "role", "text", "system", "is_system"]
+    columns = ["conv", "conv_id", "block", "nth"]
     rows = opened.select(*columns, F.explode(F.when(F.col("carried"), places).otherwise(F.concat(mine, places))).alias("_in"))
-    rows = rows.unionByName(turns.where("is_system").select(*columns, F.struct(
-        F.lit(0).cast("long").alias("window"), F.lit(False).alias("repeated")).alias("_in")))
-    turn = F.struct("block", "nth", F.col("_in.repeated").alias("repeated"), "is_system", escaped(F.col("role")).alias("role"),
+    # The system turn is in every window, and new in the first one only.
+    system = placed.where("is_system").join(spans.select("conv", "span.window"), "conv", "left")
+    window = F.coalesce("window", F.lit(0))
+    rows = rows.unionByName(system.select(*columns, F.struct(window.alias("window"), (window > 0).alias("repeated")).alias("_in")))
+    rows = numbered.join(rows, ["conv", "block", "nth"])
+    turn = F.struct("block", "nth", F.col("_in.repeated").alias("repeated"), escaped(F.col("role")).alias("role"),
                     escaped(F.col("text")).alias("text"), ((F.col("role") == TARGET) & ~F.col("_in.repeated")).alias("target"))
     made = rows.groupBy("conv", F.col("_in.window").alias("window")).agg(
-        F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(turn)).alias("turns"), F.first("system").alias("system"))
-    lead = F.struct(F.lit(0).cast("long").alias("block"), F.lit(0).alias("nth"), F.lit(True).alias("repeated"), F.lit(True).alias("is_system"),
-                    F.lit(SYSTEM).alias("role"), escaped(F.col("system")).alias("text"), F.lit(False).alias("target"))
-    own_system = F.exists("turns", lambda t: t["is_system"])
-    made = made.withColumn("turns", F.when(F.col("system").isNotNull() & ~own_system, F.concat(F.array(lead), "turns")).otherwise(F.col("turns")))
+        F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(turn)).alias("turns"))
     written = F.transform("turns", lambda t: F.concat(F.lit(OPEN), t["role"], F.lit(SAYS), t["text"], F.lit(END)))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
 
