@@ -12,9 +12,12 @@ the whole text: a few toxic words count the same in a short and in a very long t
 Learning: at first every window carries its document's label, then each document is
 represented by its highest windows.  The learning rows are a bounded sample: of the
 labelled rows outside the held-out fold the ``PER_CLASS`` of each label lowest in a
-hash order of the id, and of a text longer than ``LEARN_POINTS`` code points
-``LEARN_PARTS`` parts spread evenly over all of it.  Scoring has no such bounds.  For scoring the softmax is folded into the table, one
-number an n-gram bucket, which is all that goes to the executors (512 KB).
+hash order of the id.  Of these the whole texts are learned: tasks find each one's
+words in order of their first occurrence, which is all that windows need, and the
+driver gets these.  Learning windows step by half a window, and one ends at the last
+word.  The threshold is set on the windows that scoring uses.  For scoring the softmax
+is folded into the table, one number an n-gram bucket, which is all that goes to the
+executors (512 KB).
 
 Defined cases: null counts as empty; a text without words has the score of a mean of
 zero; without labels of both kinds to learn from every score is 0; documents without a
@@ -39,8 +42,6 @@ BITS = 17
 DIM = 8
 WINDOW = 16
 PER_CLASS = 1200
-LEARN_POINTS = 20_000
-LEARN_PARTS = 40
 SEED = 7
 
 _SIGN = np.full(256, 32, dtype=np.uint32)
@@ -105,27 +106,47 @@ def _window_means(values: np.ndarray, bounds: np.ndarray, width: int = WINDOW) -
 # --- learning -----------------------------------------------------------------
 
 class _Bags(NamedTuple):
-    """Windows of the learning texts: window w has the words word_of[w] (-1: none); word u the buckets of bag[u]."""
+    """Windows of the learning texts, and their buckets: word u has bag[bag_start[u]:bag_start[u + 1]]."""
 
     bag: np.ndarray  # bucket of each (word, n-gram), words one after the other
     bag_start: np.ndarray
     windows: np.ndarray  # windows x WINDOW, -1 beyond a short text
     text_of: np.ndarray
+    words: np.ndarray  # the texts' words, text t having words[bounds[t]:bounds[t + 1]]
+    bounds: np.ndarray
+
+
+def _first_words(text: bytes) -> list[bytes]:
+    """The words of a text, each with its boundary signs, in order of their first occurrence."""
+    c, start, end = _signs(np.frombuffer(text, np.uint8))
+    low = c.astype(np.uint8).tobytes()
+    return list(dict.fromkeys(low[a - 1:b + 2] for a, b in zip(start.tolist(), end.tolist(), strict=True)))
+
+
+def _condensed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts cut down to the first occurrences of their words."""
+    for batch in batches:
+        words = [b" ".join(w[1:-1] for w in _first_words(t.encode())) for t in batch.column("_text").to_pylist()]
+        yield pa.RecordBatch.from_pydict({"_id": batch.column("_id"), "_words": pa.array(words, pa.binary())})
+
+
+def _window_starts(n: int) -> list[int]:
+    """Where the learning windows of ``n`` words begin; the last one ends at the last word."""
+    starts = list(range(0, max(n - WINDOW, 0) + 1, WINDOW // 2)) if n else []
+    return starts + [n - WINDOW] if n > WINDOW and starts[-1] < n - WINDOW else starts
 
 
 def _bags(texts: list[bytes]) -> _Bags:
     seen: dict[bytes, int] = {}
-    windows, text_of = [], []
+    windows, text_of, words, bounds = [], [], [], [0]
     for t, text in enumerate(texts):
-        data = np.frombuffer(text, np.uint8)
-        c, start, end = _signs(data)
-        low = c.astype(np.uint8).tobytes()
-        ids = list(dict.fromkeys(seen.setdefault(low[a - 1:b + 2], len(seen)) for a, b in zip(start.tolist(), end.tolist(), strict=True)))
-        for at in range(0, max(len(ids), 1), WINDOW // 2):
+        ids = [seen.setdefault(w, len(seen)) for w in _first_words(text)]
+        for at in _window_starts(len(ids)):
             part = ids[at:at + WINDOW]
-            if part and (len(part) == WINDOW or at == 0):
-                windows.append(part + [-1] * (WINDOW - len(part)))
-                text_of.append(t)
+            windows.append(part + [-1] * (WINDOW - len(part)))
+            text_of.append(t)
+        words += ids
+        bounds.append(len(words))
     bags = []
     for word in seen:
         c = np.frombuffer(word, np.uint8).astype(np.uint32)
@@ -133,7 +154,8 @@ def _bags(texts: list[bytes]) -> _Bags:
         bags.append(np.concatenate([b[:max(len(c) - n + 1, 0)] for n, b in _buckets(padded)]))
     starts = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(np.int64)
     return _Bags(np.concatenate(bags).astype(np.int64) if bags else np.zeros(0, np.int64), starts,
-                 np.array(windows, dtype=np.int64).reshape(-1, WINDOW), np.array(text_of, dtype=np.int64))
+                 np.array(windows, dtype=np.int64).reshape(-1, WINDOW), np.array(text_of, dtype=np.int64),
+                 np.array(words, dtype=np.int64), np.array(bounds, dtype=np.int64))
 
 
 def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 4, rounds: int = 4, batch: int = 256, rate: float = 0.3) -> Model:
@@ -184,10 +206,13 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 4, rounds: int = 4
     soft[0] = -soft[1]
     for _ in range(epochs):
         train(random.permutation(len(bags.windows)))
-    def window_scores() -> np.ndarray:
+
+    def word_values() -> np.ndarray:
         weight = table_ @ (soft[1] - soft[0])
-        values = np.add.reduceat(weight[bags.bag], bags.bag_start[:-1]) / np.diff(bags.bag_start)
-        there = bags.windows >= 0
+        return np.add.reduceat(weight[bags.bag], bags.bag_start[:-1]) / np.diff(bags.bag_start)
+
+    def window_scores() -> np.ndarray:
+        values, there = word_values(), bags.windows >= 0
         return np.where(there, values[bags.windows], 0).sum(axis=1) / np.maximum(there.sum(axis=1), 1) + bias[1] - bias[0]
 
     for _ in range(rounds):  # then each text by its highest windows
@@ -199,9 +224,7 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 4, rounds: int = 4
             train(random.permutation(chosen))
     # The threshold stands midway between the learning texts of both labels, and not below the
     # score of unknown words, so that these alone don't make a text toxic.
-    top = np.full(len(labels), -np.inf)
-    np.maximum.at(top, bags.text_of, window_scores())
-    top = np.where(np.isneginf(top), bias[1] - bias[0], top)
+    top = _window_means(word_values()[bags.words], bags.bounds) + bias[1] - bias[0]
     middle = (np.percentile(top[labels == 0], 99) + np.percentile(top[labels == 1], 1)) / 2
     threshold = max(float(middle), float(bias[1] - bias[0]) + 0.25)
     return Model((table_ @ (soft[1] - soft[0])).astype(np.float32), float(bias[1] - bias[0]) - threshold)
@@ -215,13 +238,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = {r["_id"]: r["_toxic"] for r in lowest_by_hash(known, "_toxic", "_id", PER_CLASS).collect()}
     if not sample:
         return Model(np.zeros(1 << BITS, dtype=np.float32), -np.inf)
-    text, size = full_text(text_col), F.length(full_text(text_col))
-    parts = F.transform(F.sequence(F.lit(0), F.lit(LEARN_PARTS - 1)), lambda i: F.substring(
-        text, (F.lit(1) + F.floor(i * size / LEARN_PARTS)).cast("int"), F.lit(LEARN_POINTS // LEARN_PARTS)))
-    texts = docs.where(F.col(id_col).isin(list(sample))).select(
-        F.col(id_col).alias("_id"), F.when(size > LEARN_POINTS, F.array_join(parts, " ")).otherwise(text).alias("_text"))
-    rows = texts.groupBy("_id").agg(F.min("_text").alias("_text")).orderBy("_id").collect()
-    return fit([r["_text"].encode() for r in rows], np.array([sample[r["_id"]] for r in rows], dtype=np.int64))
+    texts = docs.where(F.col(id_col).isin(list(sample))).select(F.col(id_col).alias("_id"), full_text(text_col).alias("_text"))
+    id_type = texts.schema["_id"].dataType.simpleString()
+    words = texts.mapInArrow(_condensed, f"_id {id_type}, _words binary")
+    rows = words.groupBy("_id").agg(F.min("_words").alias("_words")).orderBy("_id").collect()
+    return fit([bytes(r["_words"]) for r in rows], np.array([sample[r["_id"]] for r in rows], dtype=np.int64))
 
 
 # --- scoring ------------------------------------------------------------------

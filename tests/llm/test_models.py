@@ -98,3 +98,34 @@ def test_toxicity_odd_cases(spark):
     labels = spark.createDataFrame([(1, None), (None, 1), (2, 0), (3, 1), (3, 1), (777, 1)], "doc_id long, toxic int")
     assert len(toxicity.toxicity(docs(spark, odd), toxicity.learn(docs(spark, odd), labels)).collect()) == len(odd)
     assert toxicity.toxicity(docs(spark, []), toxicity.learn(docs(spark, []), none)).collect() == []
+
+
+def test_learning_windows_reach_the_last_word():
+    for n in range(200):
+        starts = toxicity._window_starts(n)
+        assert len(starts) == len(set(starts)) and (not starts) == (n == 0)
+        assert {i for a in starts for i in range(a, min(a + toxicity.WINDOW, n))} == set(range(n))
+        assert all(a + toxicity.WINDOW <= n for a in starts) or n < toxicity.WINDOW
+
+
+def test_toxic_last_words_of_short_and_very_long_texts_are_learned(spark):
+    """The only toxic words are the last new ones, behind up to 60,000 code points of others."""
+    rng = random.Random(4)
+    plain = ["".join(rng.choices("abcdefghijklm", k=6)) for _ in range(6000)]
+    bad = ["zorvux", "quuxyz", "wyzzor", "xuvrop"]
+    rows, labels = [], []
+    for i in range(240):
+        toxic = i % 2
+        words = rng.sample(plain, rng.choice([17, 19, 22, 60])) if i % 8 else [rng.choice(plain) for _ in range(9000)]
+        rows.append((i, " ".join(words + (rng.sample(bad, 3) if toxic else []))))
+        labels.append((i, 1, toxic))
+    df, known = docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(df, toxicity.learn(df, known)).collect()
+    held = [r for r in got if r.held_out]
+    assert len(got) == 240 and len(held) > 30 and np.mean([r.predicted == r.doc_id % 2 for r in held]) > 0.95
+
+
+def test_toxicity_learns_from_texts_without_words(spark):
+    df = docs(spark, [(i, None if i % 2 else " ") for i in range(20)])
+    known = spark.createDataFrame([(i, 1, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    assert {r.predicted for r in toxicity.toxicity(df, toxicity.learn(df, known)).collect()} <= {0, 1}
