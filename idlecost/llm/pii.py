@@ -11,6 +11,7 @@ a kind's tell-tale character is skipped for that kind.
 Base kinds (email, ip, card, phone) are kept whenever their check holds.  The added
 kinds need a score of ``MIN_SCORE``: their own score plus ``NEAR_BONUS`` if one of their
 context words stands within ``NEAR`` code points, minus ``FAR_MALUS`` if a denying word does.
+Context words are whole words (``classname`` is no ``ssn``); one that the distance cuts is not near.
 
 Defined cases: null counts as empty; without a match counts are 0 and both span
 strings empty; matches that fail their check are dropped without another try; repeated
@@ -49,17 +50,17 @@ _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 # The base patterns of the contract in possessive form, and the added kinds.
 KINDS = [
     Kind("email", "@", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9,
-         r"(?i)e-?mail|contact|correo|courriel|write to|@", True),
+         r"(?i)\b(?:e-?mails?|contact|correos?|courriels?|write to)\b", True),
     Kind("ip", r"[0-9]\.[0-9]", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6,
-         r"(?i)\bip\b|address|server|host|adresse", True),
+         r"(?i)\b(?:ips?|address(?:es)?|servers?|hosts?|adressen?)\b", True),
     Kind("card", "[0-9]", r"[0-9](?:[\x20-]?+[0-9])++", 0.6,
-         r"(?i)card|visa|master|credit|karte|tarjeta|carte", True),
+         r"(?i)\b(?:cards?|visa|master(?:card)?|credit|(?:kredit)?karten?|tarjetas?|cartes?)\b", True),
     Kind("phone", r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6,
-         r"(?i)phone|tel|call|mobile|fax|anruf|llam", True),
+         r"(?i)\b(?:(?:tele)?phones?|tel|call|mobile|fax|anruf|anrufen|llama|llamar)\b", True),
     Kind("iban", "[A-Z][A-Z][0-9][0-9]", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", 0.7,
-         r"(?i)iban|account|konto|bank|cuenta|compte", False),
+         r"(?i)\b(?:ibans?|accounts?|konto|kontonummer|banks?|bankverbindung|cuentas?|comptes?)\b", False),
     Kind("ssn", "[0-9]-[0-9][0-9]-[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.4,
-         r"(?i)ssn|social security|tax id", False),
+         r"(?i)\b(?:ssns?|social security|tax ids?)\b", False),
 ]
 _ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -105,8 +106,11 @@ def _spans(text: Column, order: int, kind: Kind) -> Column:
         lambda a: a["out"])
 
     def scored(s: Column) -> Column:
-        near = F.concat_ws(" ", F.substring(text, F.greatest(s["start"] - NEAR + 1, F.lit(1)), F.least(s["start"], F.lit(NEAR))),
-                           F.substring(text, s["end"] + 1, F.lit(NEAR)))
+        # One code point more than NEAR tells whether the distance cuts a word.
+        before = F.substring(text, F.greatest(s["start"] - NEAR, F.lit(1)), F.least(s["start"], F.lit(NEAR + 1)))
+        after = F.substring(text, s["end"] + 1, F.lit(NEAR + 1))
+        near = F.concat_ws(" ", F.when(s["start"] > NEAR, F.regexp_replace(before, r"^\w+", "")).otherwise(before),
+                           F.when(F.length(after) > NEAR, F.regexp_replace(after, r"\w+$", "")).otherwise(after))
         score = F.lit(kind.score) + F.when(near.rlike(kind.context), NEAR_BONUS).otherwise(0.0) - F.when(near.rlike(DENYING), FAR_MALUS).otherwise(0.0)
         return F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind.name).alias("kind"),
                         F.round(F.least(score, F.lit(1.0)), 2).alias("score"))
