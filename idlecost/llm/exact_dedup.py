@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from idlecost.llm.common import SPACE_CLASS, full_text, stored, table, without_ids
+from idlecost.llm.common import SPACE_CLASS, full_text, stored, table, with_ids, without_ids
 
 FIRST_RUN, LAST_RUN = 1, 2
 KEY_POINTS = 32
@@ -122,14 +122,13 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         _runs, f"doc_id {id_type}, n_points long, keep_id {id_type}, group_size long, head boolean, "
                "text_sha256 string, part int, edge int, edge_text string")
     rows = stored(rows, "content-runs")
-    # Two rows a range partition at most: a bound set by the number of partitions.
-    fixed = F.broadcast(_border_runs(rows))
-    joined = rows.drop("edge_text").join(fixed, ["part", "edge"], "left")
-    border = F.col("_size").isNotNull()
-    return joined.select(
-        "doc_id", F.when(border, F.col("_keep")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("_size", "group_size").alias("group_size"),
-        (F.col("head") & F.coalesce("_stays", F.lit(True))).alias("kept"), "text_sha256")
+    # Stored, so that Spark knows its size and broadcasts it or not; runs inside a partition need no join.
+    fixed = stored(_border_runs(rows), "border-runs")
+    inner = rows.where("edge = 0").select("doc_id", "keep_id", "group_size", F.col("head").alias("kept"), "text_sha256")
+    border = rows.where("edge > 0").drop("edge_text").join(fixed, ["part", "edge"]).select(
+        "doc_id", F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"),
+        (F.col("head") & F.col("_stays")).alias("kept"), "text_sha256")
+    return inner.unionByName(border)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,11 +138,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept = groups.where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_sha"))
     main = without_ids(docs, id_col, gone)
     # An id with rows on both sides: repeated ids, or rows repeated as they are.
-    both = gone.join(kept, F.col("_gone").eqNullSafe(F.col("_kept"))).select("_gone").distinct()
+    both = stored(gone.join(kept.select("_kept").distinct(), F.col("_gone").eqNullSafe(F.col("_kept"))).select("_gone"), "doubtful-ids")
     if both.isEmpty():
         return main
-    repeated = docs.join(both, F.col(id_col).eqNullSafe(F.col("_gone")), "left_semi")
-    repeated = repeated.withColumn("_own_sha", F.sha2(normalised(text_col), 256))
+    repeated = with_ids(docs, id_col, both).withColumn("_own_sha", F.sha2(normalised(text_col), 256))
     nth = Window.partitionBy(id_col, "_own_sha").orderBy(F.desc(F.length(full_text(text_col))),
                                                          *[F.col(f"`{c}`").cast("string") for c in docs.columns])
     one = repeated.withColumn("_nth", F.row_number().over(nth)).where("_nth = 1")
