@@ -100,20 +100,34 @@ def lowest_by_hash(rows: DataFrame, group: str, id_col: str, n: int, parts: int
     return some.where(F.col("_n") <= n).drop("_part", "_n")
 
 
-#: Words of 64 bits in the map of ``without_ids``: 1 MB of bits at any size of the input.
-MAP_WORDS = 1 << 17
+#: Bits an id in the map of ``without_ids``, and its words of 64 bits at least and at most (16 MB of rows).
+MAP_BITS, LEAST_WORDS, MOST_WORDS = 16, 1 << 10, 1 << 20
 
 
-def _by_map(docs: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows of ``docs`` whose id is surely not in the one column of ``ids``, the other rows, and the stored ids.
+def map_words(n: int) -> int | None:
+    """Words of the map of ``n`` ids, a power of two; None where it would take more than ``MOST_WORDS``."""
+    words = max(LEAST_WORDS, 1 << max(0, -(-n * MAP_BITS // 64) - 1).bit_length())
+    return words if words <= MOST_WORDS else None
 
-    A bit map of the hashed ids, ``MAP_WORDS`` rows at most and so broadcast, tells for
-    most rows that their id is not among them, without moving their texts.
+
+def _by_map(docs: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame | None, DataFrame, DataFrame, bool]:
+    """The rows of ``docs`` whose id is surely not in the one column of ``ids`` (None: no map), the other
+    rows with an id, the stored ids, and whether null is one of them.
+
+    A bit map of the hashed ids tells for most rows that their id is not among them, without moving
+    their texts.  Its size follows the number of ids; up to ``MOST_WORDS`` it is broadcast, beyond
+    there is none and all rows with an id are left to a join.  Rows with a null id need neither:
+    they all share its fate.
     """
     ids = stored(ids.select(ids[ids.columns[0]].alias("_gone")).distinct(), "gone")
+    n, nulls = ids.agg(F.count("*"), F.count_if(F.col("_gone").isNull())).first()
+    words = map_words(n)
+    own = docs[f"`{id_col}`"]
+    if words is None:
+        return None, docs.where(own.isNotNull()), ids, nulls > 0
 
     def place(column: Column) -> Column:
-        return F.pmod(F.xxhash64(column.cast("string")), F.lit(MAP_WORDS * 64))
+        return F.pmod(F.xxhash64(column.cast("string")), F.lit(words * 64))
 
     def word(column: Column) -> Column:
         return F.call_function("div", place(column), F.lit(64))
@@ -123,23 +137,27 @@ def _by_map(docs: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, Da
 
     bits = ids.select(word(ids["_gone"]).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(ids["_gone"])).alias("_bit"))
     bits = stored(bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), "gone-map")
-    marked = docs.join(F.broadcast(bits), word(docs[id_col]) == bits["_word"], "left")
-    is_set = F.coalesce(F.call_function("shiftrightunsigned", bits["_bits"], bit(docs[id_col])) % 2, F.lit(0)) != 0
+    marked = docs.join(F.broadcast(bits), word(own) == bits["_word"], "left")
+    is_set = F.coalesce(F.call_function("shiftrightunsigned", bits["_bits"], bit(own)) % 2, F.lit(0)) != 0
     columns = [docs[f"`{c}`"] for c in docs.columns]
-    return marked.where(~is_set).select(*columns), marked.where(is_set).select(*columns), ids
+    return (marked.where(own.isNotNull() & ~is_set).select(*columns), marked.where(own.isNotNull() & is_set).select(*columns),
+            ids, nulls > 0)
 
 
 def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id (null is an id, too) is not in the one column of ``gone``.
 
-    Only rows whose bit is set in the map of the ids meet the ids in a join.  If
-    ``gone`` fills the map, that join takes all rows.
+    Only rows whose bit is set in the map of the ids meet the ids in a join.
     """
-    sure, maybe, gone = _by_map(docs, id_col, gone)
-    return sure.unionByName(maybe.join(gone, maybe[id_col].eqNullSafe(gone["_gone"]), "left_anti"))
+    sure, maybe, gone, null_goes = _by_map(docs, id_col, gone)
+    rows = maybe.join(gone, maybe[f"`{id_col}`"] == gone["_gone"], "left_anti")
+    if sure is not None:
+        rows = sure.unionByName(rows)
+    return rows if null_goes else rows.unionByName(docs.where(docs[f"`{id_col}`"].isNull()))
 
 
 def with_ids(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id (null is an id, too) is in the one column of ``ids``."""
-    _, maybe, ids = _by_map(docs, id_col, ids)
-    return maybe.join(ids, maybe[id_col].eqNullSafe(ids["_gone"]), "left_semi")
+    _, maybe, ids, null_stays = _by_map(docs, id_col, ids)
+    rows = maybe.join(ids, maybe[f"`{id_col}`"] == ids["_gone"], "left_semi")
+    return rows.unionByName(docs.where(docs[f"`{id_col}`"].isNull())) if null_stays else rows

@@ -115,12 +115,13 @@ def test_star_components(spark):
     assert got == {(x, root(x)) for x in parent}
 
 
-@pytest.mark.parametrize("words", [1, 1 << 17])
-def test_without_ids(spark, monkeypatch, words):
-    """Exact whether the bit map tells ids apart (many words) or is full (one word)."""
+@pytest.mark.parametrize("sizes", [(0, 1, 1), (16, 1 << 10, 1 << 20), (16, 1, 1)])
+def test_without_ids(spark, monkeypatch, sizes):
+    """Exact whether the bit map is full (one word), tells ids apart, or would be too large to be made."""
     from idlecost.llm import common
 
-    monkeypatch.setattr(common, "MAP_WORDS", words)
+    for name, size in zip(("MAP_BITS", "LEAST_WORDS", "MOST_WORDS"), sizes, strict=True):
+        monkeypatch.setattr(common, name, size)
     rng = random.Random(7)
     rows = [(rng.randrange(4000), f"t{i}") for i in range(3000)] + [(None, "a"), (None, "b")]
     gone = {rng.randrange(4000) for _ in range(900)}
@@ -130,6 +131,38 @@ def test_without_ids(spark, monkeypatch, words):
         assert got.columns == docs(spark, rows).columns
         want = sorted((r for r in rows if r[0] not in gone | set(extra)), key=row_key)
         assert sorted(((r.doc_id, r.text) for r in got.collect()), key=row_key) == want
+        got = common.with_ids(docs(spark, rows), "doc_id", ids)
+        want = sorted((r for r in rows if r[0] in gone | set(extra)), key=row_key)
+        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=row_key) == want
+
+
+def test_drop_map_follows_the_number_of_ids():
+    from idlecost.llm.common import LEAST_WORDS, MOST_WORDS, map_words
+
+    assert map_words(0) == map_words(1) == LEAST_WORDS
+    assert [map_words(n) for n in (4097, 100_000, 1_000_000)] == [2048, 1 << 15, 1 << 18]
+    assert map_words(4 * MOST_WORDS) == MOST_WORDS and map_words(4 * MOST_WORDS + 1) is None
+
+
+def test_exact_groups_over_many_partitions_without_broadcasts(spark):
+    """One group over all range partitions, joined at their borders by a merge."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    rng = random.Random(12)
+    rows = [(i, "a b c" if i % 3 else "ab  c" if i % 2 else sentence(rng, 5)) for i in range(300)] + [(None, "abc")] * 3
+    try:
+        for k, v in zip(old, ("-1", "23", "false"), strict=True):
+            spark.conf.set(k, v)
+        table = docs(spark, rows)
+        got = [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.content_groups(table).collect()]
+        kept = [(r.doc_id, r.text) for r in exact_dedup.exact_dedup(table).collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    same = [i for i, t in rows if t.replace(" ", "") == "abc"]
+    alone = [(i, t) for i, t in rows if t.replace(" ", "") != "abc"]
+    best = min(i for i, t in rows if t in ("a b c", "ab  c"))
+    assert sorted(got, key=row_key) == sorted([(i, best, len(same), i == best) for i in same] + [(i, i, 1, True) for i, _ in alone], key=row_key)
+    assert sorted(kept) == sorted([*alone, (best, dict(rows)[best])])
 
 
 def test_near_dedup_keeps_one_of_each_group(spark):
