@@ -1,15 +1,15 @@
 """Best-fit packing by hierarchical residual packing.
 
 Every document becomes token ids and an end id; longer ones are cut into full
-sequences and one rest.  Each partition packs its pieces best-fit in falling order
-of length and emits its nearly full bins; the underfull bins then meet as items of the next
+sequences and one rest, which comes last or, with ``rest_first``, first.  Each
+partition packs its pieces best-fit in falling order of length and emits its nearly full bins; the underfull bins then meet as items of the next
 round's best-fit, dealt out anew by another hash each round, until one task held all that are
 left or a round saves less than ``LEAST_SAVING`` of them.  A round has as many tasks as its
 bins need: each holds about ``ITEMS`` of them, whatever the input is.
 
 Ids are those of the tokenizer file; they are computed with the library that reads
 the same vocabulary as ranks, several times faster, and by the tokenizer itself for
-texts that hold its special token.
+texts that hold its special token or a run of white space too long for that library.
 
 Defined cases: null counts as empty and gives the end id alone; very long texts are
 tokenised whole; repeated rows are packed each; a null id stays null; an empty table
@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +40,8 @@ LENGTH = 1024
 END_ID = 2
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 SPECIAL = "<|endoftext|>"
+#: Longer runs of white space go through the tokenizer: the library of ranks fails from a million characters on.
+LONGEST_BLANK = 500_000
 #: Bins with at most this much room are emitted, not packed again.
 NEARLY_FULL = 2
 #: Underfull bins that one task of a round packs.
@@ -60,9 +64,13 @@ def _by_file(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+def _long_blank(text: str) -> bool:
+    return len(text) > LONGEST_BLANK and any(run.end() - run.start() > LONGEST_BLANK for run in re.finditer(r"\s+", text))
+
+
 def token_ids(text: str, tokenizer: str, ranks: str) -> np.ndarray:
     """The tokenizer's ids of a whole text, without added special tokens."""
-    if SPECIAL in text:
+    if SPECIAL in text or _long_blank(text):
         return np.array(_by_file(tokenizer).encode(text, add_special_tokens=False).ids, dtype="<u4")
     return np.array(_by_ranks(ranks).encode_ordinary(text), dtype="<u4")
 
@@ -95,14 +103,16 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return to, place, np.array(used, dtype=np.int64)
 
 
-def _pieces(length: int, end_id: int, tokenizer: str, ranks: str, with_ids: bool):
+def _pieces(length: int, end_id: int, tokenizer: str, ranks: str, with_ids: bool, rest_first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, piece, start, n, crc, ids = [], [], [], [], [], []
             for r, text in enumerate(batch.column("text").to_pylist()):
                 own = np.append(token_ids(text, tokenizer, ranks), np.uint32(end_id)).astype("<u4")
-                for k, at in enumerate(range(0, len(own), length)):
-                    part = own[at:at + length]
+                head = (len(own) - 1) % length + 1 if rest_first else length
+                cuts = [0, *range(head, len(own), length), len(own)]
+                for k, (at, end) in enumerate(itertools.pairwise(cuts)):
+                    part = own[at:end]
                     row.append(r), piece.append(k), start.append(at), n.append(len(part))
                     crc.append(zlib.crc32(part.tobytes()))
                     if with_ids:
@@ -147,13 +157,16 @@ def _packed_again(capacity: int, level: int):
 
 
 def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text",
-           tokenizer: str | None = None, ranks: str | None = None, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and the ids) of every piece of every row of ``docs``."""
+           tokenizer: str | None = None, ranks: str | None = None, with_ids: bool = False, rest_first: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 (and the ids) of every piece of every row of ``docs``.
+
+    The pieces of a cut document are full but for its last one or, with ``rest_first``, its first.
+    """
     tokenizer = tokenizer or public_tokenizers.path(TOKENIZER)
     ranks = ranks or public_tokenizers.path(RANKS)
     texts = docs.select(F.col(id_col).alias("doc_id"), full_text(text_col).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(_pieces(length, end_id, tokenizer, ranks, with_ids),
+    return texts.mapInArrow(_pieces(length, end_id, tokenizer, ranks, with_ids, rest_first),
                             f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
 
 
@@ -190,4 +203,4 @@ def pack(items: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(pieces(table(spark, sf_dir, "documents")))
+    return pack(pieces(table(spark, sf_dir, "documents"), rest_first=True))

@@ -123,6 +123,13 @@ def test_packing_odd_cases(spark):
     assert packing.pack(packing.pieces(docs(spark, []))).collect() == []
 
 
+@pytest.mark.parametrize("text", ["ab" + " " * 1_100_000 + "x yz", "ab c" * 200_000 + "\r\n" * 600_000 + "x", " \u3000" * 600_000])
+def test_ids_of_very_long_blanks(text):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = packing.token_ids(text, public_tokenizers.path(packing.TOKENIZER), public_tokenizers.path(packing.RANKS))
+    assert got.tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_is_close_to_the_bound(spark):
     rng = random.Random(2)
     rows = [(i, sentence(rng, rng.choice([3, 20, 60, 150, 700]))) for i in range(400)]
@@ -136,6 +143,58 @@ def test_pieces_carry_their_ids(spark):
     assert zlib.crc32(np.array(got[0].ids, "<u4").tobytes()) == got[0].ids_crc32
 
 
+@pytest.mark.parametrize("length", [1, 2, 5, 1024])
+def test_rest_first_or_last(spark, length):
+    rng = random.Random(length)
+    rows = [(i, sentence(rng, rng.randint(0, 40))) for i in range(30)] + [(30, ""), (31, None), (None, "no id"), (31, "again " * 9)]
+    cut = [packing.pieces(docs(spark, rows), length=length, with_ids=True, rest_first=first).collect() for first in (False, True)]
+    for got, rest_first in zip(cut, (False, True)):
+        whole = collections.defaultdict(list)
+        for i, t in rows:
+            whole[i].append(packing.token_ids(t or "", public_tokenizers.path(packing.TOKENIZER), public_tokenizers.path(packing.RANKS)).tolist() + [2])
+        want = collections.Counter()
+        for i, texts in whole.items():
+            for ids in texts:
+                parts, left = [], ids
+                while left:  # cut off full pieces at the end or the start
+                    n = len(left) - length if rest_first else length
+                    parts.append(left[max(n, 0):] if rest_first else left[:n])
+                    left = left[:max(n, 0)] if rest_first else left[n:]
+                parts = parts[::-1] if rest_first else parts
+                assert sum(parts, []) == ids
+                for k, part in enumerate(parts):
+                    want[i, k, sum(map(len, parts[:k])), len(part), tuple(part)] += 1
+        assert collections.Counter((r.doc_id, r.piece, r.start, r.length, tuple(r.ids)) for r in got) == want
+    assert len(cut[0]) == len(cut[1])
+
+
+def test_op6_cuts_the_rest_first(spark, tmp_path):
+    """Of a document of over 1024 ids the first piece is the shorter one."""
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(6)
+    sizes = [0, 1, 1022, 1023, 1024, 2046, 2047, 2048, 2500]  # ids without the end id
+    rows = [(i, " x" * n) for i, n in enumerate(sizes)] + [(20, sentence(rng, 3000)), (21, None), (20, "a second row of this id"), (None, " y" * 1500)]
+    docs(spark, rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = packing.op6_best_fit_packing(spark, str(tmp_path)).collect()
+    want = collections.Counter()
+    for i, t in rows:
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [2]
+        if i is not None and i < len(sizes):
+            assert len(ids) == sizes[i] + 1
+        full = (len(ids) - 1) // packing.LENGTH  # pieces after the first
+        cuts = [0] + [len(ids) - k * packing.LENGTH for k in range(full, -1, -1)]
+        for k, (at, end) in enumerate(zip(cuts, cuts[1:])):
+            want[i, k, at, end - at, zlib.crc32(np.array(ids[at:end], "<u4").tobytes())] += 1
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    assert [(r.start, r.length) for r in sorted(got, key=lambda r: r.piece) if r.doc_id == 8] == [(0, 453), (453, 1024), (1477, 1024)]
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for parts in bins.values():
+        ends = [0] + [offset + n for offset, n in sorted(parts)]
+        assert [offset for offset, _ in sorted(parts)] == ends[:-1] and ends[-1] <= packing.LENGTH
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_best_fit(seed):
     rng = np.random.default_rng(seed)
